@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketlake.llm import html_text, mixing, piece_codec, quality_rules, token_counts, warc
+from docketlake.llm import html_text, mixing, ngram_join, piece_codec, quality_rules, token_counts, warc
 from docketlake.session import ship_package
 
 
@@ -34,6 +34,10 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"), size=3, threshold=(9, 10))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
@@ -54,6 +58,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op4_html_text": op4_html_text,
+    "op5_ngram_join": op5_ngram_join,
     "op6_warc": op6_warc,
     "op7_token_counts": op7_token_counts,
     "op8_quality_rules": op8_quality_rules,
