@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docketlake.llm import html_text, mixing, ngram_join, piece_codec, quality_rules, token_counts, warc
+from docketlake.llm import html_text, line_dedup, mixing, ngram_join, piece_codec, quality_rules, token_counts, warc
 from docketlake.session import ship_package
 
 
@@ -55,6 +56,14 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_documents(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marks = line_dedup.removed_lines(docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")))
+    counts = marks.select(F.col("id").alias("doc_id"), "n_lines", "n_kept", F.transform("removed", lambda r: r["line"]).alias("marked_lines"))
+    rows = docs.select("doc_id").join(counts, "doc_id", "left")
+    return rows.select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_kept", F.lit(0)).alias("n_kept"), "marked_lines")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op4_html_text": op4_html_text,
@@ -63,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_counts": op7_token_counts,
     "op8_quality_rules": op8_quality_rules,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 # What DuckDB can say. The others are tested against brute force in tests/llm.
