@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlake.llm import html_text, line_dedup, mixing, ngram_join, piece_codec, quality_rules, token_counts, warc
+from docketlake.llm import embedding_dedup, html_text, line_dedup, mixing, ngram_join, paragraph_dedup, piece_codec, quality_rules, token_counts, warc
 from docketlake.session import ship_package
 
 
@@ -31,6 +31,14 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
@@ -66,6 +74,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_paragraph_dedup": op2_paragraph_dedup,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_html_text": op4_html_text,
     "op5_ngram_join": op5_ngram_join,
     "op6_warc": op6_warc,
