@@ -173,6 +173,7 @@ class _Flow:
         self.marker = ""
         self.gap = 0
         self.after_blank = True
+        self.verbatim = False
 
     def inline(self, text: str) -> None:
         """Text in which white space collapses."""
@@ -184,18 +185,20 @@ class _Flow:
             self.after_blank = text.endswith(" ")
 
     def preformatted(self, text: str) -> None:
+        self.verbatim = True
         first, *rest = text.replace("\r\n", "\n").split("\n")
         self.parts.append(first)
         for line in rest:
             self.line(keep=True)
+            self.verbatim = True
             self.parts.append(line)
         self.after_blank = False
 
     def line(self, keep: bool = False) -> None:
         """End the line; an empty one counts only if ``keep``."""
         text = "".join(self.parts)
-        text = text.rstrip() if keep else text.strip()
-        self.parts, self.after_blank = [], True
+        text = text.rstrip() if keep or self.verbatim else text.strip()
+        self.parts, self.after_blank, self.verbatim = [], True, False
         if not text and not keep:
             return
         if self.lines and self.gap and (text or keep):

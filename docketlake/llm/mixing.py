@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketlake.llm.frames import anonymous
 from docketlake.llm.storage import staged
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,6 +27,8 @@ MAX_PASSES = 3
 SEED = 20240817
 #: Words that the dynamic program may have to fit: bounds its table.
 CAPACITY = 1 << 16
+#: Documents of each short length that the proportional fill leaves to it.
+GIVEN_BACK = 4
 _HASH_BUCKETS_SHIFT = 56
 
 
@@ -74,6 +77,12 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, target: float, passes: int
                 k = min(counts[i] - extra[i], max(0, rest - slack) // sizes[i])
                 extra[i] += k
                 rest -= k * sizes[i]
+        for i in sorted((i for i in range(len(sizes)) if sizes[i]), key=lambda i: sizes[i]):  # some short ones back, for the program to choose from
+            k = min(extra[i], GIVEN_BACK)
+            if rest + k * sizes[i] > CAPACITY:
+                break
+            extra[i] -= k
+            rest += k * sizes[i]
         for i, k in _knapsack(sizes, [c - k for c, k in zip(counts, extra, strict=True)], min(rest, CAPACITY)):
             extra[i] += k
     return whole, np.array(extra, np.int64)
@@ -121,13 +130,15 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     length; documents are joined to it once.
     """
     results = ["size", "source_size", "target", "taken"]
+    inner, named = anonymous(docs)
     added = {
-        "skey": F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")),
-        "size": word_count(F.col(text).cast("string")),
-        "__h": F.xxhash64(F.lit(seed), F.col(key), F.col(text)),
+        "source": named[source].cast("string"),
+        "skey": F.coalesce(F.concat(F.lit("="), named[source].cast("string")), F.lit("")),
+        "size": word_count(named[text].cast("string")),
+        "__h": F.xxhash64(F.lit(seed), named[key], named[text]),
     }
-    rows = docs.drop(*results).withColumns(added)
-    counted = rows.withColumn("b", F.shiftright("__h", _HASH_BUCKETS_SHIFT)).groupBy("skey", "size", "b").agg(F.count(F.lit(1)).alias("n"), F.first(source).alias("source"))
+    rows = inner.withColumns(added)
+    counted = rows.withColumn("b", F.shiftright("__h", _HASH_BUCKETS_SHIFT)).groupBy("skey", "size", "b").agg(F.count(F.lit(1)).alias("n"), F.max("source").alias("source"))
     counted = staged(counted, "lengths")
     sizes = counted.groupBy("skey").agg(F.first("source").alias("source"), F.sum(F.col("size") * F.col("n")).alias("source_size"))
     targets = staged(source_targets(sizes), "targets").withColumn("skey", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
@@ -148,6 +159,5 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
 
     extra = (F.col("extra") == F.col("n")) | (F.col("__h") <= F.col("threshold"))
     copies = F.col("whole") + F.when((F.col("extra") > 0) & extra, 1).otherwise(0)
-    kept = [c for c in docs.columns if c not in results]
     joined = rows.join(plan, ["skey", "size"])
-    return joined.select(*[F.col(c) for c in kept], "size", "source_size", "target", (copies * F.col("size")).alias("taken"))
+    return joined.select(*[c.alias(name) for name, c in named.items() if name not in results], "size", "source_size", "target", (copies * F.col("size")).alias("taken"))

@@ -30,6 +30,23 @@ META = "▁"
 #: Distinct words, and their ids, that a worker remembers.
 REMEMBERED = 1_500_000
 STEP_BYTES = 2 << 20
+#: A longer text is cut at the starts of words into parts of about so many characters.
+PART_CHARS = 4 << 20
+
+
+def text_parts(text: str) -> list[str]:
+    """Parts whose ids, one after the other, are those of the text: each cut drops the space that a part is given anyway."""
+    parts = []
+    while len(text) > PART_CHARS:
+        at = PART_CHARS
+        while 0 < at < len(text) - 1 and not (text[at] in (" ", META) and text[at - 1] not in (" ", META)):
+            at += 1
+        if at >= len(text) - 1:
+            break
+        parts.append(text[:at])
+        text = text[at + 1 :]
+    return [*parts, text]
+
 
 
 class Codec:
@@ -119,7 +136,13 @@ class Encoder:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids without end ids, ids per row)."""
-        texts = [" " + t.replace(META, " ") if t else "" for t in column.to_pylist()]
+        if len(column) == 1 and len(column[0].as_py() or "") > PART_CHARS:
+            parts = [self._encode([t])[0] for t in text_parts(column[0].as_py())]
+            return np.concatenate(parts), np.array([sum(map(len, parts))])
+        return self._encode(column.to_pylist())
+
+    def _encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [" " + t.replace(META, " ") if t else "" for t in texts]
         raw = "".join(texts).encode()
         data = np.frombuffer(raw, np.uint8)
         sizes = np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts))

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docketlake.llm import kernels as K
+from docketlake.llm.frames import anonymous
 from docketlake.llm.storage import staged
 
 MIN_WORDS = 10
@@ -39,6 +40,8 @@ _SYMBOL[list(SYMBOLS)] = True
 
 
 def _per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    if len(offsets) == 2:  # one text, however long
+        return np.array([np.count_nonzero(flags)], np.int64)
     total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
     return total[offsets[1:]] - total[offsets[:-1]]
 
@@ -135,13 +138,15 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", max_rate: f
     broadcast by its own size check.
     """
     results = [*METRICS, "base_failed", "suspect_host", "kept"]
-    key = "__host"
-    prepared = docs.drop(*results) if set(results) & set(docs.columns) else docs
-    prepared = prepared.withColumn(key, F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("")))
-    measured = prepared.withColumn("__m", _measured(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    m = F.col("__m")
-    measured = measured.withColumn("__base", base_failed(m)).withColumn("__soft", soft_failed(m))
-    verdicts = staged(host_verdicts(measured.select(key, (F.col("__base") | F.col("__soft")).alias("failed")), key, max_rate=max_rate), "hosts")
-    joined = measured.join(verdicts.select(key, "suspect"), key, "left")
-    kept = ~F.col("__base") & ~(F.coalesce(F.col("suspect"), F.lit(False)) & F.col("__soft"))
-    return joined.select(*[c for c in prepared.columns if c != key], *[m[c].alias(c) for c in METRICS], F.col("__base").alias("base_failed"), F.coalesce(F.col("suspect"), F.lit(False)).alias("suspect_host"), kept.alias("kept"))
+    inner, named = anonymous(docs)
+    key = F.coalesce(F.concat(F.lit("="), named[host].cast("string")), F.lit(""))
+    measured = inner.withColumns({"host": key, "m": _measured(F.coalesce(named[text].cast("string"), F.lit("")))})
+    m = F.col("m")
+    measured = measured.withColumns({"base": base_failed(m), "soft": soft_failed(m)})
+    verdicts = staged(host_verdicts(measured.select("host", (F.col("base") | F.col("soft")).alias("failed")), max_rate=max_rate), "hosts")
+    joined = measured.join(verdicts.select("host", "suspect"), "host", "left")
+    suspect = F.coalesce("suspect", F.lit(False))
+    return joined.select(
+        *[c.alias(name) for name, c in named.items() if name not in results], *[m[c].alias(c) for c in METRICS],
+        F.col("base").alias("base_failed"), suspect.alias("suspect_host"), (~F.col("base") & ~(suspect & F.col("soft"))).alias("kept"),
+    )
