@@ -170,7 +170,10 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     total, labels, width = classes.agg(F.count(F.lit(1)), F.approx_count_distinct("label"), F.max("dim")).first()
     if not total:
         return vectors.select(F.col(key), F.lit(0).cast("long").alias("n_links"), F.col(key).cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    sample = classes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("embedding").collect()
+    hashed = classes.select(F.xxhash64("node").alias("h"), "node", "embedding")
+    chosen = hashed.select("h").orderBy("h").limit(SAMPLE).collect()
+    sample = sorted(hashed.filter(F.col("h") <= chosen[-1]["h"]).limit(2 * SAMPLE).select("h", "embedding").collect())
+    sample = [(r["embedding"],) for r in sample]
     units = [unit_rows(np.array(r[0]), len(r[0]))[0] for r in sample]
     width = max(2, width if width == len(units[0]) else max(map(len, units)))
     fitted = spark.sparkContext.broadcast(fit_grid(np.stack([np.pad(u, (0, width - len(u))) for u in units]), total, labels, threshold, recall))

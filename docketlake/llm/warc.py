@@ -196,7 +196,10 @@ def train_dictionary(pages: DataFrame, html: str = "html") -> bytes:
     import zstandard
 
     picked = pages.select(F.xxhash64(F.col("page_id")).alias("h"), F.substring(F.col(html), 1, SAMPLE_CHARS).alias("t")).filter(F.length("t") > 64)
-    samples = [r["t"].encode() for r in picked.orderBy("h", "t").limit(SAMPLE_PAGES).collect()]
+    # First which pages, by eight bytes each, so that tasks don't send the driver a sample apiece.
+    chosen = [r["h"] for r in picked.select("h").orderBy("h").limit(SAMPLE_PAGES).collect()]
+    texts = picked.filter(F.col("h") <= chosen[-1]).limit(2 * SAMPLE_PAGES).collect() if chosen else []
+    samples = [t.encode() for t in sorted(r["t"] for r in texts)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes() if len(samples) >= 8 else b""
     except zstandard.ZstdError:  # samples too alike or too short for a dictionary
