@@ -4,7 +4,8 @@ Alternates large-star and small-star steps until the edges are stars around
 the smallest node of each component. Every step is a grouped minimum and a
 join, so a node with very many edges is aggregated before the shuffle and its
 join partition can be split; rows never exceed the edges. Steps are written to
-the shared folder, which bounds the lineage.
+the shared folder, which bounds the lineage, in as many parts as the number of
+edges asks for.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ from docketlake.llm.storage import staged
 MAX_STEPS = 60
 
 
-def _star(pairs: DataFrame) -> DataFrame:
+def _star(pairs: DataFrame, rows: int) -> DataFrame:
     """(v, m) for each pair (u, v) with m the smallest of u and all its partners."""
-    least = staged(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
+    least = staged(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima", rows)
     return pairs.join(least, "u")
 
 
@@ -31,17 +32,16 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     """
     e = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = staged(e, name)
-    before = None
     for _ in range(MAX_STEPS):
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if not now[0] or now == before:
+        rows, nodes = e.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
+        # Done when each node has one edge and no node is both below and above another: all are stars.
+        if not rows or (rows == nodes and e.join(e.select(F.col("v").alias("u")), "u", "left_semi").isEmpty()):
             break
-        before = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = staged(large, name)
-        small = _star(large)
+        large = _star(both, rows).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = staged(large, name, rows)
+        small = _star(large, rows)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter(F.col("u") != F.col("v")).unionByName(large.groupBy("u").agg(F.min("v").alias("v"))).distinct()
-        e = staged(small, name)
+        e = staged(small, name, rows)
     roots = e.select(F.col("v").alias("node")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))

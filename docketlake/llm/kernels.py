@@ -174,10 +174,22 @@ def windows(hashes: np.ndarray, first: np.ndarray, size: int, short_whole: bool
     return out, rows
 
 
+def sort_rows(values: np.ndarray, lengths: np.ndarray) -> None:
+    """Sort each of the consecutive runs of ``values`` in place: many short sorts are far cheaper than one by two keys."""
+    end = np.cumsum(lengths)
+    for s, e in zip((end - lengths).tolist(), end.tolist(), strict=True):
+        if e - s > 1:
+            values[s:e].sort()
+
+
 def distinct(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct (row, value) pairs, by row and then by value."""
-    order = np.lexsort((values, rows))
-    values, rows = values[order], rows[order]
+    if len(rows) and (rows[1:] < rows[:-1]).any():
+        order = np.argsort(rows, kind="stable")
+        values, rows = values[order], rows[order]
+    values = values.copy()
+    starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1])) if len(rows) else np.zeros(0, np.int64)
+    sort_rows(values, np.diff(np.append(starts, len(rows))))
     new = np.ones(len(values), dtype=bool)
     new[1:] = (values[1:] != values[:-1]) | (rows[1:] != rows[:-1])
     return values[new], rows[new]

@@ -23,14 +23,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docketlake.llm import kernels as K
+from docketlake.llm.frames import anonymous
 from docketlake.llm.minhash import band_keys, tune
 from docketlake.llm.resolve import resolve
-from docketlake.llm.sets import similar_pairs
-from docketlake.llm.storage import staged
+from docketlake.llm.sets import Sets
+from docketlake.llm.storage import small_side, staged
 
 SHINGLE = 10
 THRESHOLD = (4, 5)
 RECALL, MAX_BANDS = 0.99, 7
+#: Bits of a set's sketch.
+SKETCH_BITS = 512
 STEP_BYTES = 1 << 20
 
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F)
@@ -137,28 +140,22 @@ def line_signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> Dat
     return docs.mapInArrow(sign, f"id {kind}, line int, k1 long, k2 long, copies int, " + ", ".join(f"{c} long" for c in names))
 
 
-def shingle_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """(node, grams) of the lines ``nodes`` (node struct<id, line>) names."""
+def line_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the lines that ``nodes`` (node struct<id, line>) names."""
     wanted = nodes.select("node.id", "node.line").groupBy("id").agg(F.collect_set("line").alias("lines"))
-    picked = docs.dropna(subset=["id"]).join(wanted, "id").select("id", "text", "lines")
+    picked = docs.join(small_side(staged(wanted, "wanted")), "id")
+    lines = picked.select("id", F.split("text", "\n").alias("all"), F.explode("lines").alias("line"))
+    return lines.select(F.struct("id", "line").alias("node"), F.get("all", "line").alias("text")).dropDuplicates(["node"])
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, texts in _text_steps(batch.column(1)):
-                lines = Lines(texts)
-                first = np.flatnonzero(lines.number == 0)
-                lists = batch.column(2).slice(a, b - a)
-                counts = lists.value_lengths().to_numpy(zero_copy_only=False)
-                row = np.repeat(np.arange(b - a), counts)
-                at = first[row] + lists.flatten().to_numpy()
-                members, n = lines.shingles(at, shingle)
-                members, owner = K.distinct(members, np.repeat(np.arange(len(at)), n))
-                ids = batch.column(0).slice(a, b - a).take(pa.array(row))
-                yield K.batch({"id": ids, "line": pa.array(lines.number[at].astype(np.int32)), "grams": K.list_column(members, np.bincount(owner, minlength=len(at)))})
 
-    kind = docs.schema["id"].dataType.simpleString()
-    made = picked.mapInArrow(build, f"id {kind}, line int, grams array<long>")
-    return made.select(F.struct("id", "line").alias("node"), "grams").dropDuplicates(["node"])
+def line_sets(shingle: int) -> Sets:
+    def build(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lines = Lines(column.to_pylist())
+        at = np.arange(len(column))
+        members, n = lines.shingles(at, shingle)
+        return K.distinct(members, np.repeat(at, n))
+
+    return build
 
 
 def line_components(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL, max_bands: int = MAX_BANDS) -> tuple[DataFrame, DataFrame]:
@@ -171,13 +168,9 @@ def line_components(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[in
 
     keyed = distinct.select("id", "line", F.explode(F.array(*names)).alias("key"))
     shared = staged(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "shared")
-    buckets = keyed.join(shared, "key").select("key", F.struct("id", "line").alias("node"))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        nodes = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-        return similar_pairs(pairs, staged(shingle_sets(docs, nodes, shingle), "sets"), threshold)
-
-    labels = resolve(buckets, verify)
+    buckets = staged(keyed.join(shared, "key").select("key", F.struct("id", "line").alias("node")), "buckets")
+    texts = staged(line_texts(docs, buckets.select("node").distinct()), "texts")
+    labels = resolve(buckets, texts, line_sets(shingle), SKETCH_BITS, threshold)
     moved = labels.filter(F.col("node") != F.col("component")).select("node.id", "node.line", F.col("component.id").alias("to_id"), F.col("component.line").alias("to_line"))
     kept = distinct.select("k1", "k2", "id", "line").join(moved, ["id", "line"], "left")
     kept = kept.select("k1", "k2", F.coalesce("to_id", "id").alias("keep_id"), F.coalesce("to_line", "line").alias("keep_line"))
@@ -221,7 +214,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", **para
     """
     marks = removed_lines(docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")), **parameters)
     marks = staged(marks.select(F.col("id").alias("__id"), F.col("n_lines").alias("__n"), F.col("n_kept").alias("__k"), F.col("removed").alias("__r")), "marks")
-    base = docs.drop(*[c for c in ("n_lines", "n_kept") if c in docs.columns])
-    joined = base.join(marks, F.col(key) == F.col("__id"), "left")
-    columns = [_rebuilt(F.col(text).cast("string"), F.col("__r")).alias(text) if c == text else F.col(c) for c in base.columns]
+    inner, named = anonymous(docs)
+    joined = inner.join(marks, named[key] == F.col("__id"), "left")
+    columns = [_rebuilt(c.cast("string"), F.col("__r")).alias(name) if name == text else c.alias(name) for name, c in named.items() if name not in ("n_lines", "n_kept")]
     return joined.select(*columns, F.coalesce("__n", F.lit(0)).alias("n_lines"), F.coalesce("__k", F.lit(0)).alias("n_kept"))

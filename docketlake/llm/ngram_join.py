@@ -5,8 +5,8 @@ of all n-grams, two sets with a Jaccard index of at least t share a member of
 their prefixes of |x| - ceil(t |x|) + 1 members. Documents with one and the same
 set are a class; classes with identical prefix and size collapse into a group;
 groups that share a prefix member and whose sizes and positions allow the index
-are candidates, and are expanded into their members, which are verified on the
-whole sets (module ``resolve``; links are found without testing all pairs of a
+are candidates, and are expanded into their members, which are screened by
+sketches of their sets (without loss) and then verified on the whole sets (module ``resolve``; links are found without testing all pairs of a
 large group of copies).
 
 Any order is exact. N-grams that are frequent come last, so that prefixes hold
@@ -30,12 +30,14 @@ from pyspark.sql import functions as F
 
 from docketlake.llm import kernels as K
 from docketlake.llm.resolve import at_least, resolve
-from docketlake.llm.sets import similar_pairs
-from docketlake.llm.storage import staged
+from docketlake.llm.sets import Sets
+from docketlake.llm.storage import small_side, staged
 
 #: Bound of the list of frequent n-grams (8 bytes each), and the count in one step of a task from which one is reported.
 FREQUENT, REPORTED = 1 << 16, 4
 STEP_BYTES = 8 << 20
+#: Bits of a set's sketch.
+SKETCH_BITS = 2048
 
 
 def text_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +82,14 @@ def profile(docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame
                 is_often = np.zeros(len(members), dtype=bool)
                 inside = place < len(often)
                 is_often[inside] = often[place[inside]] == members[inside]
-                order = np.lexsort((members, is_often, rows))
+                # Rare members first; both kinds keep their order.
+                rare = np.concatenate([[0], np.cumsum(~is_often)])
+                rare_in_row = rare[starts + n] - rare[starts]
+                first = starts[rows]
+                place_rare = first + rare[:-1] - rare[first]
+                place_often = first + rare_in_row[rows] + (np.arange(len(members)) - first) - (rare[:-1] - rare[first])
+                ordered = np.empty_like(members)
+                ordered[np.where(is_often, place_often, place_rare)] = members
                 # |x| - ceil(t |x|) + 1 members, none of an empty set
                 length = np.where(n > 0, n - (p * n + q - 1) // q + 1, 0)
                 at = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length) + np.repeat(starts, length)
@@ -92,22 +101,17 @@ def profile(docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame
                             key[full] = np.add.reduceat(K.mix(members ^ salt), starts[full])
                 yield K.batch({
                     "id": batch.column(0).slice(a, b - a), "n": pa.array(n), "k1": pa.array(keys[0].view(np.int64)), "k2": pa.array(keys[1].view(np.int64)),
-                    "prefix": K.list_column(members[order][at], length),
+                    "prefix": K.list_column(ordered[at], length),
                 })
 
     return docs.select("id", "text").mapInArrow(measure, f"id {docs.schema['id'].dataType.simpleString()}, n long, k1 long, k2 long, prefix array<long>")
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(node, grams) of those of ``docs`` (id, text) that ``nodes`` names; of rows that repeat an id, one."""
+def shingle_sets(size: int) -> Sets:
+    def build(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return text_sets(*K.buffers(column), size)
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, members, rows in _steps(batch.column(1), size):
-                yield K.batch({"node": batch.column(0).slice(a, b - a), "grams": K.list_column(members, np.bincount(rows, minlength=b - a))})
-
-    picked = docs.join(nodes.select(F.col("node").alias("id")), "id", "left_semi").select("id", "text")
-    return picked.mapInArrow(build, f"node {docs.schema['id'].dataType.simpleString()}, grams array<long>").dropDuplicates(["node"])
+    return build
 
 
 def ngram_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (4, 5), text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -126,19 +130,20 @@ def ngram_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int]
     prefixes = staged(one.select("g", "n", "prefix"), "prefixes")
     postings = prefixes.select("g", "n", F.posexplode("prefix").alias("pos", "key"))
     shared = staged(postings.groupBy("key").agg(F.count(F.lit(1)).alias("groups")).filter("groups > 1").select("key"), "shared")
-    active = postings.join(shared, "key").select(F.col("key"), "g", "n", "pos")
+    met = postings.join(shared, "key").select("key", "g", "n", "pos")
     within = groups.filter("members > 1").select(F.xxhash64("g", F.lit("group")).alias("key"), "g", "n", F.lit(0).alias("pos"))
-    expanded = active.unionByName(within).join(classes.select("g", "node"), "g").select("key", "node", "n", "pos")
+    expanded = met.unionByName(within).join(classes.select("g", "node"), "g").select("key", "node", "n", "pos")
 
     def may_link(x: str, y: str):
         n, m, i, j = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.pos"), F.col(f"{y}.pos")
         return at_least(threshold, F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1), n, m)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        nodes = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-        return similar_pairs(pairs, staged(sets_of(docs, nodes, size), "sets"), threshold)
-
-    labels = resolve(expanded, verify, may_link)
+    buckets = staged(expanded, "buckets")
+    active = staged(buckets.select("node").distinct(), "active")
+    texts = staged(docs.withColumnRenamed("id", "node").join(small_side(active), "node", "left_semi"), "texts")
+    if texts.count() > active.count():  # rows repeat ids
+        texts = staged(texts.dropDuplicates(["node"]), "texts")
+    labels = resolve(buckets, texts, shingle_sets(size), SKETCH_BITS, threshold, may_link, short=False)
     by_class = classes.join(labels, "node", "left").select(*set_key, F.coalesce("component", "node").alias("component_id"))
     by_class = staged(by_class.groupBy(*set_key).agg(F.min("component_id").alias("component_id")), "by_class")
     joined = profiles.drop("prefix").join(by_class, set_key, "left")

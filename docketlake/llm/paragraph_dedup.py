@@ -29,15 +29,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docketlake.llm import kernels as K
+from docketlake.llm.frames import anonymous
 from docketlake.llm.minhash import band_keys, tune
 from docketlake.llm.resolve import resolve
-from docketlake.llm.sets import similar_pairs
-from docketlake.llm.storage import staged
+from docketlake.llm.storage import small_side, staged
 
 SHINGLE = 5
 THRESHOLD = (4, 5)
 MIN_WORDS = 25
 RECALL, MAX_BANDS = 0.99, 5
+#: Bits of a set's sketch.
+SKETCH_BITS = 512
 STEP_BYTES = 2 << 20
 #: Where text has no punctuation, a word in so many (by hash) starts a sentence.
 UNPUNCTUATED = 32
@@ -166,27 +168,32 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(sign, f"id {kind}, first int, words int, k1 long, k2 long, again boolean, " + ", ".join(f"b{i} long" for i in range(bands)))
 
 
-def paragraph_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, grams) of the paragraphs that ``nodes`` (node struct<id, first>) names."""
+def paragraph_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the paragraphs that ``nodes`` (node struct<id, first>) names."""
     wanted = nodes.select("node.id", "node.first").groupBy("id").agg(F.collect_set("first").alias("firsts"))
-    picked = docs.join(wanted, "id").select("id", "text", "firsts")
+    picked = docs.join(small_side(staged(wanted, "wanted")), "id").select("id", "text", "firsts")
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, units in _steps(batch.column(1)):
+            data, offsets = K.buffers(batch.column(1))
+            for a, b in K.row_slices(offsets, STEP_BYTES):
+                part = data[offsets[a] : offsets[b]]
+                units, raw = Units(part, offsets[a : b + 1] - offsets[a]), part.tobytes()
                 lists = batch.column(2).slice(a, b - a)
                 row = np.repeat(np.arange(b - a), lists.value_lengths().to_numpy(zero_copy_only=False))
-                starts = units.words.first[row] + lists.flatten().to_numpy()
-                lines = np.searchsorted(units.line_first, starts)
-                order = np.argsort(lines, kind="stable")
-                lines, row, starts = lines[order], row[order], starts[order]
-                members, n = units.shingles(lines, SHINGLE)
-                members, owner = K.distinct(members, np.repeat(np.arange(len(lines)), n))
-                ids = batch.column(0).slice(a, b - a).take(pa.array(row))
-                yield K.batch({"id": ids, "first": pa.array((starts - units.words.first[row]).astype(np.int32)), "grams": K.list_column(members, np.bincount(owner, minlength=len(lines)))})
+                first = lists.flatten().to_numpy()
+                starts = units.words.first[row] + first
+                lasts = units.line_first[np.searchsorted(units.line_first, starts) + 1] - 1
+                texts = [raw[s:e].decode() for s, e in zip(units.words.starts[starts].tolist(), units.words.ends[lasts].tolist(), strict=True)]
+                yield K.batch({"id": batch.column(0).slice(a, b - a).take(pa.array(row)), "first": pa.array(first), "text": pa.array(texts, pa.string())})
+
+    made = picked.mapInArrow(cut, f"id {docs.schema['id'].dataType.simpleString()}, first int, text string")
+    return made.select(F.struct("id", "first").alias("node"), "text").dropDuplicates(["node"])
 
-    made = picked.mapInArrow(build, f"id {docs.schema['id'].dataType.simpleString()}, first int, grams array<long>")
-    return made.select(F.struct("id", "first").alias("node"), "grams").dropDuplicates(["node"])
+
+def paragraph_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    words = K.Words(*K.buffers(column), lower=True)
+    return K.distinct(*K.windows(words.hashes, words.first, SHINGLE))
 
 
 def repeated_units(docs: DataFrame) -> DataFrame:
@@ -203,13 +210,9 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     distinct = staged(distinct, "distinct")
     keyed = distinct.select("id", "first", F.explode(F.array(*names)).alias("key"))
     shared = staged(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "shared")
-    buckets = keyed.join(shared, "key").select("key", place.alias("node"))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        nodes = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-        return similar_pairs(pairs, staged(paragraph_sets(docs, nodes), "sets"), THRESHOLD)
-
-    labels = resolve(buckets, verify)
+    buckets = staged(keyed.join(shared, "key").select("key", place.alias("node")), "buckets")
+    texts = staged(paragraph_texts(docs, buckets.select("node").distinct()), "texts")
+    labels = resolve(buckets, texts, paragraph_sets, SKETCH_BITS, THRESHOLD)
     moved = labels.filter(F.col("node") != F.col("component")).select("node.id", "node.first", F.col("component.id").alias("to_id"), F.col("component.first").alias("to_first"))
     kept_lines = distinct.select("k1", "k2", "id", "first").join(moved, ["id", "first"], "left")
     kept_lines = kept_lines.select("k1", "k2", F.coalesce("to_id", "id").alias("keep_id"), F.coalesce("to_first", "first").alias("keep_first"))
@@ -266,5 +269,6 @@ def _cut(text: pa.Array, spans: pa.Array) -> pa.Array:
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` without the repeated spans in their texts; all rows and columns stay."""
     spans = staged(repeated_spans(docs, text, key).select(F.col(key).alias("__id"), F.col("spans").alias("__spans")), "spans")
-    joined = docs.join(spans, F.col(key) == F.col("__id"), "left")
-    return joined.select(*[_cut(F.col(text).cast("string"), F.col("__spans")).alias(text) if c == text else F.col(c) for c in docs.columns])
+    inner, named = anonymous(docs)
+    joined = inner.join(spans, named[key] == F.col("__id"), "left")
+    return joined.select(*[_cut(c.cast("string"), F.col("__spans")).alias(name) if name == text else c.alias(name) for name, c in named.items()])

@@ -1,69 +1,196 @@
 """From buckets of candidates to components of verified links.
 
 Nodes that share a bucket are candidates. To test every pair within a bucket
-would be quadratic in copies, so each round tests every node against one hub of
+would be quadratic in copies, so a round tests every node against one hub of
 each of its buckets, links what passes, and drops buckets whose nodes are all
-in one component. Once few pairs are left between components (or after a fixed
-number of rounds) all of those are tested, which makes the result exact: two
-candidates that are similar end in one component, whichever round joins them.
+in one component. What is left is tested pair by pair, between components
+only: two candidates that are similar end in one component, whichever step
+joins them. Pairs are screened by sizes and sketches of the sets, which loses
+none. Buckets of many nodes go through this in blocks: short texts are verified
+within a task, which passes on a spanning forest of the links; of long ones the
+pairs that the sketches allow are passed on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docketlake.llm.components import connected_components
+from docketlake.llm.sets import Sets, similar_pairs, traits_of
 from docketlake.llm.storage import staged
 
-#: Further hub rounds run while pairs left to test outnumber bucket rows by this factor.
-PAIRS_PER_ROW = 4
-MAX_HUB_ROUNDS = 6
+#: Further hub rounds run while pairs left outnumber bucket rows by this factor.
+PAIRS_PER_ROW = 256
+MAX_HUB_ROUNDS = 2
+#: Buckets of more nodes than SMALL are compared in blocks of at most BLOCK.
+SMALL, BLOCK = 24, 256
 
 
-def resolve(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], may_link: Callable[[str, str], Column] | None = None) -> DataFrame:
+def _relabel(labels: DataFrame | None, found: DataFrame, rows: int) -> DataFrame:
+    """Labels (node, component) after links (a, b) between nodes: only what they join is worked on."""
+    ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    if labels is None:
+        return staged(connected_components(found), "labels", rows)
+    fresh = ends.join(labels.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
+    known = staged(labels.unionByName(fresh), "known", rows)
+    end = lambda x: known.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    joins = found.join(end("a"), "a").join(end("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    merged = staged(connected_components(joins), "merged", rows).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return staged(known.join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels", rows)
+
+
+def block_links(members: np.ndarray, rows: np.ndarray, left: np.ndarray, right: np.ndarray, label: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
+    """Whether the sets ``left`` and ``right`` of a group are similar, for pairs of different labels; counts members in common by products of 0/1 tables."""
+    p, q = threshold
+    size = np.bincount(rows, minlength=len(label))
+    values, number = np.unique(members, return_inverse=True)
+    shared = np.bincount(number, minlength=len(values)) > 1
+    column = np.cumsum(shared) - 1
+    keep = shared[number]
+    rows, column = rows[keep], column[number[keep]]
+    common = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(shared.sum()), 4096):
+        inside = (column >= start) & (column < start + 4096)
+        table = np.zeros((len(label), 4096), np.float32)
+        table[rows[inside], column[inside] - start] = 1
+        common += table[left] @ table[right].T
+    total = size[left][:, None] + size[right][None]
+    return (common > 0) & ((p + q) * common.astype(np.int64) >= p * total) & (label[left][:, None] != label[right][None])
+
+
+def forest(links: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, smallest place of its component) for each of ``n`` places that the links join to a smaller one."""
+    least = np.arange(n)
+    while True:
+        before = least.copy()
+        np.minimum.at(least, left, np.where(links, least[right][None], n).min(axis=1, initial=n))
+        np.minimum.at(least, right, np.where(links, least[left][:, None], n).min(axis=0, initial=n))
+        if (before == least).all():
+            break
+    moved = np.flatnonzero(least != np.arange(n))
+    return moved, least[moved]
+
+
+def sketch_links(sketch: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray, label: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
+    """Whether sizes and sketches allow the sets ``left`` and ``right`` to be similar, for pairs of different labels."""
+    p, q = threshold
+    out = np.zeros((len(left), len(right)), dtype=bool)
+    for start in range(0, len(left), 32):
+        part = left[start : start + 32]
+        apart = np.bitwise_count(sketch[part][:, None] ^ sketch[right][None]).sum(axis=2, dtype=np.int64)
+        total = size[part][:, None] + size[right][None]
+        out[start : start + 32] = ((p + q) * ((total - apart) // 2) >= p * total) & (label[part][:, None] != label[right][None])
+    return out
+
+
+def _blocked(rows: DataFrame, sets: Sets | None, threshold: tuple[int, int]) -> DataFrame:
+    """(a, b) over large buckets (key, size, node, label), block by block.
+
+    With ``sets`` and a column text the links are verified here, and a spanning
+    forest of them comes out; without, with columns n and sketch, the pairs
+    that these allow.
+    """
+
+    def compare(_key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        column = lambda c: table.column(c).combine_chunks()
+        own, label, node = column("own").to_numpy(), column("label").to_numpy(), column("node")
+        i, j = column("i")[0].as_py(), column("j")[0].as_py()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        a = b = np.zeros(0, np.int64)
+        if len(left) and len(right) and (label != label[0]).any():
+            if sets is not None:
+                a, b = forest(block_links(*sets(column("text")), left, right, label, threshold), left, right, len(own))
+            else:
+                sketch = column("sketch").flatten().to_numpy().view(np.uint64).reshape(len(own), -1)
+                x, y = np.nonzero(sketch_links(sketch, column("n").to_numpy(), left, right, label, threshold))
+                a, b = left[x], right[y]
+                once = (a < b) if i == j else np.ones(len(a), dtype=bool)
+                a, b = a[once], b[once]
+        return pa.table({"a": node.take(pa.array(a)), "b": node.take(pa.array(b))})
+
+    carried = ["text"] if sets is not None else ["n", "sketch"]
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    placed = rows.select("key", "node", F.xxhash64("label").alias("label"), *carried, own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    placed = placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", *carried)
+    node = rows.schema["node"].dataType
+    return placed.groupBy("key", "i", "j").applyInArrow(compare, T.StructType([T.StructField("a", node), T.StructField("b", node)]))
+
+
+def _sizes_allow(x: str, y: str, threshold: tuple[int, int]) -> Column:
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    return at_least(threshold, F.least(n, m), n, m)
+
+
+def _allowed(x: str, y: str, threshold: tuple[int, int]) -> Column:
+    """Whether sizes and sketches of two rows allow the index."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    apart = F.aggregate(F.zip_with(F.col(f"{x}.sketch"), F.col(f"{y}.sketch"), lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda total, v: total + v)
+    return _sizes_allow(x, y, threshold) & at_least(threshold, F.floor((n + m - apart) / 2), n, m)
+
+
+def resolve(buckets: DataFrame, texts: DataFrame, sets: Sets, bits: int, threshold: tuple[int, int], may_link: Callable[[str, str], Column] | None = None, short: bool = True) -> DataFrame:
     """(node, component) of all nodes with a link.
 
-    ``buckets``: key, node and what ``may_link`` needs; ``verify`` keeps of the
-    pairs (a, b) those that are similar enough; ``may_link`` takes two aliases
+    ``buckets`` (a written table): key, node and what ``may_link`` needs;
+    ``texts`` (written too): node and text, of which ``sets`` makes the sets to
+    compare; ``bits`` of a sketch screen pairs; blocks hold the texts if these
+    are ``short``, else the sketches; ``may_link`` takes two aliases
     of bucket rows and gives a cheap necessary condition.
     """
+    traits = staged(traits_of(texts, sets, bits), "traits")
     extra = [c for c in buckets.columns if c not in ("key", "node")]
-    buckets = staged(buckets, "buckets")
     rows = buckets.count()
-    edges, labels = None, None
+    labels = None
+
+    def screened(pairs: DataFrame) -> DataFrame:
+        side = lambda end: traits.select(F.col("node").alias(end), "n", "sketch").alias(end)
+        met = staged(pairs, "met")
+        return staged(met.join(side("a"), "a").join(side("b"), "b").filter(_allowed("a", "b", threshold)).select("a", "b"), "pairs")
+
     condition = may_link or (lambda x, y: F.lit(True))
-    # Round 0 takes the smallest node as hub; later rounds take others, and the last round all pairs.
     for turn in range(MAX_HUB_ROUNDS + 1):
         if labels is None:
-            open_rows = buckets.withColumn("label", F.col("node"))
-            left = None
+            open_rows, left = buckets.withColumn("label", F.col("node")), None
         else:
-            labelled = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-            labelled = staged(labelled, "labelled")
+            labelled = staged(buckets.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"), "labelled", rows)
             per_label = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-            per_key = per_label.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
-            open_keys = staged(per_key.filter("labels > 1"), "open").select("key", ((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("pairs"))
+            per_key = per_label.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+            open_keys = staged(per_key.filter("labels > 1").select("key", "size", ((F.col("size") * F.col("size") - F.col("squares")) / 2).alias("pairs")), "open", rows)
             left = open_keys.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
             if not left:
                 break
-            open_rows = staged(labelled.join(open_keys.select("key"), "key"), "open_rows")
+            open_rows = staged(labelled.join(open_keys.select("key", "size"), "key"), "open_rows", rows)
+        ends = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
         last = left is not None and (left <= PAIRS_PER_ROW * rows or turn == MAX_HUB_ROUNDS)
         if last:
-            other = open_rows
-            order = F.col("x.node") < F.col("y.node")
+            few = open_rows.filter(F.col("size") <= SMALL).select("key", "node", "label", *extra)
+            few = few if "n" in extra else few.join(traits.select("node", "n"), "node")
+            few = staged(few, "few", rows)
+            between = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & _sizes_allow("x", "y", threshold) & condition("x", "y")
+            pairs = screened(few.alias("x").join(few.alias("y"), between).select(*ends).distinct())
+            many = open_rows.filter(F.col("size") > SMALL).select("key", "size", "node", "label").join(texts if short else traits, "node")
+            blocked = _blocked(many, sets if short else None, threshold)
+            if not short:
+                pairs, blocked = staged(pairs.unionByName(blocked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "pairs"), None
         else:
+            # The smallest node is the first hub; later rounds take others.
             rank = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
             hub = open_rows.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "node", "label", *extra)).alias("h"))
-            other = staged(hub.select("key", "h.node", "h.label", *[f"h.{c}" for c in extra]), "hubs")
-            order = F.col("x.node") != F.col("y.node")
-        pairs = open_rows.alias("x").join(other.alias("y"), F.col("x.key") == F.col("y.key")).filter(order & (F.col("x.label") != F.col("y.label")) & condition("x", "y"))
-        pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        found = staged(verify(staged(pairs, "pairs")).select("a", "b"), "links")
-        edges = found if edges is None else edges.unionByName(found)
-        labels = staged(connected_components(edges), "labels")
+            hubs = staged(hub.select("key", "h.node", "h.label", *[f"h.{c}" for c in extra]), "hubs", rows)
+            met = (F.col("x.node") != F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & condition("x", "y")
+            pairs = open_rows.alias("x").join(hubs.alias("y"), F.col("x.key") == F.col("y.key")).filter(met).select(*ends).distinct()
+            pairs = screened(pairs)
+        links = similar_pairs(pairs, texts, sets, threshold)
+        found = staged(links.unionByName(blocked) if last and short else links, "links")
+        labels = _relabel(labels, found, rows)
         if last:
             break
     return labels

@@ -1,8 +1,12 @@
-"""Exact Jaccard verification of pairs of sets held as sorted arrays of hashes."""
+"""Exact Jaccard verification of pairs of texts by the sets of their shingles.
+
+Pairs are joined to their texts and the sets are built where they are compared:
+a text is several times smaller than the hashes of its shingles.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,41 +14,74 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pairs of a batch that are compared at once, in set members.
-MEMBERS = 1 << 20
-
-
-def common_counts(a: pa.Array, b: pa.Array) -> np.ndarray:
-    """Members in common for each row of two list<int64> columns; members of a list are distinct."""
-    out = np.zeros(len(a), np.int64)
-    na, nb = (x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b))
-    ends = np.cumsum(na + nb)
-    start = 0
-    while start < len(a):
-        base = ends[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(ends, base + MEMBERS, side="right")))
-        va, vb = (x.slice(start, end - start).flatten().to_numpy() for x in (a, b))
-        rows = np.concatenate([np.repeat(np.arange(end - start), na[start:end]), np.repeat(np.arange(end - start), nb[start:end])])
-        values = np.concatenate([va, vb])
-        order = np.lexsort((values, rows))
-        values, rows = values[order], rows[order]
-        same = (values[1:] == values[:-1]) & (rows[1:] == rows[:-1])
-        out[start:end] = np.bincount(rows[1:][same], minlength=end - start)
-        start = end
-    return out
-
-
-def similar_pairs(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Of ``pairs`` (a, b), those whose ``sets`` (node, grams) have a Jaccard index of at least p / q."""
+from docketlake.llm import kernels as K
+from docketlake.llm.storage import small_side
+
+#: Bytes of text compared at once.
+STEP_BYTES = 1 << 20
+
+#: (members, row of each) of the sets of a string column, by row and then by member.
+Sets = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+
+
+def common_counts(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of ``n`` rows the members in common, in a, and in b."""
+    na, nb = np.bincount(a[1], minlength=n), np.bincount(b[1], minlength=n)
+    both = na + nb
+    start = np.cumsum(both) - both
+    values = np.empty(len(a[0]) + len(b[0]), K.U64)
+    values[np.arange(len(a[0])) + np.repeat(start - (np.cumsum(na) - na), na)] = a[0]
+    values[np.arange(len(b[0])) + np.repeat(start + na - (np.cumsum(nb) - nb), nb)] = b[0]
+    K.sort_rows(values, both)
+    rows = np.repeat(np.arange(n), both)
+    same = (values[1:] == values[:-1]) & (rows[1:] == rows[:-1])
+    return np.bincount(rows[1:][same], minlength=n), na, nb
+
+
+def parities(members: np.ndarray, rows: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """Sketches of ``n`` sets, a row of 64-bit words each: bit i is the parity of the members that hash to i.
+
+    Two sketches differ in at most as many bits as the sets do in members, so
+    sets that are similar enough never look too different.
+    """
+    at = rows * bits + (members % K.U64(bits)).astype(np.int64)
+    odd = np.bincount(at, minlength=n * bits).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(n, bits), axis=1).view(np.int64)
+
+
+def traits_of(texts: DataFrame, sets: Sets, bits: int) -> DataFrame:
+    """(node, n, sketch) of ``texts`` (node, text): set sizes and sketches."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, offsets = K.buffers(batch.column(1))
+            for a, b in K.row_slices(offsets, STEP_BYTES):
+                for c in range(a, b, 1024):  # many short texts: bounds the table of bits
+                    d = min(b, c + 1024)
+                    members, rows = sets(batch.column(1).slice(c, d - c))
+                    sketch = K.list_column(parities(members, rows, d - c, bits).ravel(), np.full(d - c, bits // 64))
+                    yield K.batch({"node": batch.column(0).slice(c, d - c), "n": pa.array(np.bincount(rows, minlength=d - c)), "sketch": sketch})
+
+    schema = T.StructType([texts.schema["node"], T.StructField("n", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
+    return texts.select("node", "text").mapInArrow(measure, schema)
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, sets: Sets, threshold: tuple[int, int]) -> DataFrame:
+    """Of ``pairs`` (a, b; a written table), those whose ``texts`` (node, text) have sets with a Jaccard index of at least p / q."""
     p, q = threshold
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = batch.column(2), batch.column(3)
-            total = (left.value_lengths().to_numpy(zero_copy_only=False) + right.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-            passed = (p + q) * common_counts(left, right) >= p * total
-            yield batch.select([0, 1]).filter(pa.array(passed))
+            ends = K.buffers(left)[1] + K.buffers(right)[1]
+            for a, b in K.row_slices(ends, STEP_BYTES):
+                common, na, nb = common_counts(sets(left.slice(a, b - a)), sets(right.slice(a, b - a)), b - a)
+                passed = (common > 0) & ((p + q) * common >= p * (na + nb))
+                yield batch.select([0, 1]).slice(a, b - a).filter(pa.array(passed))
 
-    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-    schema = T.StructType([pairs.schema["a"], pairs.schema["b"]])
-    return joined.select("a", "b", "ga", "gb").mapInArrow(keep, schema)
+    # Few pairs go to the texts; of many, pairs and texts are shuffled by node.
+    some = small_side(pairs)
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")).join(some, "a")
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb")).join(some.select("b"), "b", "left_semi")
+    joined = left.join(right, "b")
+    return joined.select("a", "b", "ta", "tb").mapInArrow(keep, T.StructType([pairs.schema["a"], pairs.schema["b"]]))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[object, str]] = []
 
@@ -28,13 +30,40 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet and read it back: later steps neither recompute it nor depend on executors' disks."""
+#: Rows that a task of a sized table writes.
+ROWS_PER_TASK = 50_000
+
+
+def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet and read it back: later steps neither recompute it nor depend on executors' disks.
+
+    Where the number of ``rows`` is known to be small, few tasks write them;
+    many rows keep all the partitions they have.
+    """
     path = new_path(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
     df.write.parquet(path)
+    if rows is None:
+        _release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of ids that are sent to all tasks; a larger side is joined by shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A written table of ids, marked for broadcast if its counted rows are within the bound."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files that no plan refers to any more; it only notices when the driver collects garbage."""
+    gc.collect(0)
+    spark._jvm.System.gc()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
