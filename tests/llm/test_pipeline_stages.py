@@ -32,7 +32,8 @@ def test_pipeline(spark, tmp_path):
     assert all(r["n_chars"] == len(r["text"]) for r in seen["lines"])
     assert len(seen["near_duplicates"]) == 20
     copies = collections.Counter(r["doc_id"] for r in seen["mix"])
-    assert max(copies.values()) <= 3 and abs(sum(len(r["text"].split()) for r in seen["mix"]) - 20 * 100) <= 3
+    # All documents have 100 words, so each of the three sources may be short of its target by less than one document.
+    assert max(copies.values()) <= 3 and 0 <= 20 * 100 - sum(len(r["text"].split()) for r in seen["mix"]) < 3 * 100
     codec = piece_codec.codec(queries.vocabulary("piece_bpe_32k.model"))
     assert collections.Counter(r["n_tokens"] for r in seen["pieces"]) == collections.Counter(len(codec.encode(r["text"])) for r in seen["mix"])
 
