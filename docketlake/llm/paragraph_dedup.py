@@ -7,10 +7,10 @@ exact Jaccard index, and clustered; the first (document id, word) of a cluster
 stays and the others are removed.
 
 Passages also repeat inside of otherwise different paragraphs. For these, blocks
-of MIN_WORDS words are taken that start at sentences, chosen by winnowing: of
-the sentence starts within any MIN_WORDS words the one of the smallest block
-hash. Two documents that share a passage of twice MIN_WORDS words from a
-sentence on choose the same block in it. Blocks cluster by equality of 128 bits.
+of MIN_WORDS words are chosen by winnowing: of the blocks that start at any
+MIN_WORDS words in a row the one of the smallest hash. Two documents that share
+any run of twice MIN_WORDS words, wherever it stands, choose the same block in
+it. Blocks cluster by equality of 128 bits.
 
 A document's removed spans are merged; documents without one have no row. Words
 are ``[^\\x20\\x09-\\x0D]+``, lower-cased A-Z. Null and empty texts have no
@@ -41,12 +41,8 @@ RECALL, MAX_BANDS = 0.99, 5
 #: Bits of a set's sketch.
 SKETCH_BITS = 512
 STEP_BYTES = 2 << 20
-#: Where text has no punctuation, a word in so many (by hash) starts a sentence.
-UNPUNCTUATED = 32
 
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F)
-_STOP = np.zeros(256, dtype=bool)
-_STOP[list(b".!?")] = True
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -74,9 +70,6 @@ class Units:
             new_line[1:] = (breaks[w.starts[1:]] > breaks[w.ends[:-1]]) | (self.row[1:] != self.row[:-1])
         self.line_first = np.append(np.flatnonzero(new_line), n)
         self.line_words = np.diff(self.line_first)
-        self.sentence = new_line.copy()
-        if n:
-            self.sentence[1:] |= _STOP[data[w.ends[:-1] - 1]] | (w.hashes[:-1] % K.U64(UNPUNCTUATED) == 0)
         self._prefix = []
         with np.errstate(over="ignore"):
             for base in _BASES:
@@ -103,8 +96,8 @@ class Units:
 
     def blocks(self, size: int) -> np.ndarray:
         """First words of the chosen blocks."""
-        starts = np.flatnonzero(self.sentence)
-        starts = starts[starts + size <= self.words.first[1:][self.row[starts]]] if len(starts) else starts
+        starts = np.arange(len(self.row))
+        starts = starts[starts + size <= self.words.first[1:][self.row]]
         if not len(starts):
             return starts
         # Texts stand ``size`` places apart, so that no window sees two.
