@@ -10,7 +10,8 @@ Passages also repeat inside of otherwise different paragraphs. For these, blocks
 of MIN_WORDS words are chosen by winnowing: of the blocks that start at any
 MIN_WORDS words in a row the one of the smallest hash. Two documents that share
 any run of twice MIN_WORDS words, wherever it stands, choose the same block in
-it. Blocks cluster by equality of 128 bits.
+it. Blocks cluster by equality of 128 bits, and each is extended to both sides
+over the words that are equal at the occurrence that stays.
 
 A document's removed spans are merged; documents without one have no row. Words
 are ``[^\\x20\\x09-\\x0D]+``, lower-cased A-Z. Null and empty texts have no
@@ -20,7 +21,7 @@ repeat an id are one document. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -184,13 +185,69 @@ def paragraph_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return made.select(F.struct("id", "first").alias("node"), "text").dropDuplicates(["node"])
 
 
+def _most(allowed: np.ndarray, equal: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The most words up to ``allowed`` at which ``equal``, which holds up to some number of words, still holds."""
+    low, high = np.zeros_like(allowed), allowed.copy()
+    while (low < high).any():
+        middle = (low + high + 1) // 2
+        holds = equal(middle)
+        low, high = np.where(holds, middle, low), np.where(holds, high, middle - 1)
+    return low
+
+
+def matches(text: pa.Array, kept: pa.Array, row: np.ndarray, first: np.ndarray, keep_first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words to the left, words to the right) by which the equal blocks at ``first`` of text and ``keep_first`` of kept, both in ``row``, extend; 0 where they aren't equal."""
+    a, b = (Units(*K.buffers(column)) for column in (text, kept))
+    x, y = a.words.first[row] + first, b.words.first[row] + keep_first
+    left, right = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+    room = np.minimum(a.words.first[row + 1] - x, b.words.first[row + 1] - y) - size
+    at = np.flatnonzero(room >= 0)
+
+    def same(s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        p, q = a.keys(x[at] + s, x[at] + e), b.keys(y[at] + s, y[at] + e)
+        return (p[0] == q[0]) & (p[1] == q[1])
+
+    none = np.zeros(len(at), np.int64)
+    at = at[same(none, none + size)]
+    none = np.zeros(len(at), np.int64)
+    left[at] = _most(np.minimum(first, keep_first)[at].astype(np.int64), lambda n: same(-n, none))
+    right[at] = _most(room[at], lambda n: same(none, size + n))
+    return left, right
+
+
+def extended(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` (id, first, words, keep_id, keep_first of repeated blocks) extended over all equal words around them."""
+    pairs = staged(found.groupBy("id", "keep_id").agg(F.collect_list(F.struct("first", "keep_first")).alias("at")), "pairs")
+    ends = staged(pairs.select(F.explode(F.array("id", "keep_id")).alias("id")).distinct(), "ends")
+    texts = staged(docs.join(small_side(ends), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "sides")
+    kept = texts.select(F.col("id").alias("keep_id"), F.col("text").alias("kept"))
+    joined = pairs.join(texts, "id").join(kept, "keep_id").select("id", "keep_id", "at", "text", "kept")
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in K.row_slices(K.buffers(batch.column(3))[1] + K.buffers(batch.column(4))[1], STEP_BYTES):
+                ids, keep_ids, at, text, kept = (c.slice(a, b - a) for c in batch.columns)
+                row = np.repeat(np.arange(b - a), at.value_lengths().to_numpy(zero_copy_only=False))
+                first, keep_first = (c.to_numpy() for c in at.flatten().flatten())
+                left, right = matches(text, kept, row, first, keep_first, MIN_WORDS)
+                spans = np.unique(np.stack([row, first - left, MIN_WORDS + left + right, keep_first - left]), axis=1)
+                row, first, words, keep_first = spans
+                yield K.batch({
+                    "id": ids.take(pa.array(row)), "first": pa.array(first.astype(np.int32)), "words": pa.array(words.astype(np.int32)),
+                    "keep_id": keep_ids.take(pa.array(row)), "keep_first": pa.array(keep_first.astype(np.int32)),
+                })
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return joined.mapInArrow(extend, f"id {kind}, first int, words int, keep_id {kind}, keep_first int")
+
+
 def paragraph_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     words = K.Words(*K.buffers(column), lower=True)
     return K.distinct(*K.windows(words.hashes, words.first, SHINGLE))
 
 
 def repeated_units(docs: DataFrame) -> DataFrame:
-    """id, first, words, keep_id, keep_first of every paragraph or block of ``docs`` (id, text) that stays elsewhere."""
+    """id, first, words, keep_id, keep_first of every paragraph or passage of ``docs`` (id, text) that stays elsewhere."""
     docs = docs.filter(F.col("id").isNotNull())
     bands, rows = tune(THRESHOLD[0] / THRESHOLD[1], RECALL, MAX_BANDS)
     names = [f"b{i}" for i in range(bands)]
@@ -213,10 +270,13 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     # Blocks: those that occur again.
     blocks = units.filter(F.col("b0").isNull())
     twice = staged(blocks.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("keep_id"), F.min_by("first", F.when(~F.col("again"), F.col("id"))).alias("keep_first")).filter("n > 1").drop("n"), "twice")
-    kept_blocks = twice
-    kept = staged(kept_lines.unionByName(kept_blocks), "kept")
-    rows = units.select("id", "first", "words", "k1", "k2").join(kept, ["k1", "k2"])
-    return rows.filter((F.col("id") != F.col("keep_id")) | (F.col("first") != F.col("keep_first"))).drop("k1", "k2")
+
+    def elsewhere(of: DataFrame, kept: DataFrame) -> DataFrame:
+        rows = of.select("id", "first", "words", "k1", "k2").join(kept, ["k1", "k2"])
+        return rows.filter((F.col("id") != F.col("keep_id")) | (F.col("first") != F.col("keep_first"))).select("id", "first", "words", "keep_id", "keep_first")
+
+    of_lines = elsewhere(units.filter(F.col("b0").isNotNull()), staged(kept_lines, "kept"))
+    return of_lines.unionByName(extended(docs, elsewhere(blocks, twice)))
 
 
 @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("until", T.IntegerType())])))
