@@ -29,7 +29,7 @@ from docketlake.llm.resolve import resolve
 from docketlake.llm.sets import Sets
 from docketlake.llm.storage import small_side, staged
 
-SHINGLE = 10
+SHINGLE = 5
 THRESHOLD = (4, 5)
 RECALL, MAX_BANDS = 0.99, 7
 #: Bits of a set's sketch.
