@@ -5,7 +5,8 @@ the smallest node of each component. Every step is a grouped minimum and a
 join, so a node with very many edges is aggregated before the shuffle and its
 join partition can be split; rows never exceed the edges. Steps are written to
 the shared folder, which bounds the lineage, in as many parts as the number of
-edges asks for.
+edges asks for. Steps go on until all are stars; every step that changes
+something gives some node a smaller neighbour, so they end.
 """
 
 from __future__ import annotations
@@ -15,8 +16,6 @@ from pyspark.sql import functions as F
 
 from docketlake.llm.storage import staged
 
-MAX_STEPS = 60
-
 
 def _star(pairs: DataFrame, rows: int) -> DataFrame:
     """(v, m) for each pair (u, v) with m the smallest of u and all its partners."""
@@ -32,7 +31,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     """
     e = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = staged(e, name)
-    for _ in range(MAX_STEPS):
+    while True:
         rows, nodes = e.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
         # Done when each node has one edge and no node is both below and above another: all are stars.
         if not rows or (rows == nodes and e.join(e.select(F.col("v").alias("u")), "u", "left_semi").isEmpty()):
