@@ -136,8 +136,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return unit_rows(column.flatten().to_numpy(zero_copy_only=False), int(column.value_lengths()[0].as_py()))
 
 
+#: More than single precision can be off for unit vectors.
+MARGIN = 1e-3
+
+
 def _linked(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
-    return x @ y.T >= threshold
+    """Which rows of ``x`` and ``y`` (unit vectors) have a cosine of at least the threshold: screened in single precision, decided in double."""
+    links = x.astype(np.float32) @ y.astype(np.float32).T >= threshold - MARGIN
+    i, j = np.nonzero(links)
+    for start in range(0, len(i), 1 << 15):
+        a, b = i[start : start + (1 << 15)], j[start : start + (1 << 15)]
+        links[a, b] = np.einsum("ij,ij->i", x[a], y[b]) >= threshold
+    return links
 
 
 def _forest(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +175,10 @@ def classes_of(vectors: DataFrame) -> DataFrame:
 def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = TARGET_RECALL, key: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """``key``, n_links, component_id and kept of every row of ``vectors``."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.transform(F.col(embedding), lambda v: v.cast("double") + 0.0).alias("embedding"), F.col(label).cast("string").alias("label"))
+    # Vectors travel as they are stored; adding 0 makes -0.0 and 0.0 equal.
+    kind = "float" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "double"
+    plain = F.transform(F.col(embedding), lambda v: v.cast(kind) + F.lit(0).cast(kind))
+    rows = vectors.select(F.col(key).cast("long").alias("id"), plain.alias("embedding"), F.col(label).cast("string").alias("label"))
     classes = staged(classes_of(rows), "classes")
     total, labels, width = classes.agg(F.count(F.lit(1)), F.approx_count_distinct("label"), F.max("dim")).first()
     if not total:
@@ -192,7 +205,7 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(visits, pa.list_(pa.int32()))], names=[*part.schema.names, "visits"])
 
     placed = classes.select("node", "label", "dim", "embedding", "copies")
-    placed = staged(placed.mapInArrow(place, "node long, label string, dim int, embedding array<double>, copies long, visits array<int>"), "placed")
+    placed = staged(placed.mapInArrow(place, f"node long, label string, dim int, embedding array<{kind}>, copies long, visits array<int>"), "placed")
 
     # Blocks of a cell's residents, and of the visitors to a cell: numbered by hash, as many as the counts ask for.
     resident = F.element_at("visits", 1)
@@ -242,9 +255,11 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     found = staged(both.groupBy(*group).applyInArrow(compare, "node long, n long, other long"), "found")
     counts = found.filter("n > 0").groupBy("node").agg(F.sum("n").alias("n"))
     labels_of = connected_components(found.filter(F.col("other").isNotNull()).select(F.col("node").alias("a"), F.col("other").alias("b")))
-    per_class = classes.select("label", "embedding", "node", "copies").join(counts, "node", "left").join(labels_of, "node", "left")
-    per_class = per_class.select("label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    # Rows find their class by two hashes of the vector instead of the vector.
+    named_by = [F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), F.reverse("embedding")).alias("h2")]
+    per_class = classes.select("label", *named_by, "node", "copies").join(counts, "node", "left").join(labels_of, "node", "left")
+    per_class = per_class.select("label", "h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     per_class = staged(per_class, "per_class")
-    named = rows.join(per_class, ["label", "embedding"], "left")
+    named = rows.select("id", "label", *named_by).join(per_class, ["label", "h1", "h2"], "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return named.select(F.col("id").alias(key), F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"), own.alias("component_id"), F.coalesce(own == F.col("id"), F.lit(True)).alias("kept"))

@@ -4,16 +4,20 @@ A tree builder turns tags into balanced open and close events, adding the end
 tags that HTML implies; a renderer drops what isn't visible and lays out the
 rest: white space collapses outside preformatted text, blocks start new lines,
 paragraphs and their like are set off by a blank line, list items get a bullet
-or a number and are indented by depth, and table cells are padded so that
-columns line up. All visible text comes out, whole.
-
-Null or empty html gives empty text; rows are kept as they are; columns other
-than the id and the html are ignored. Time is linear in the page but for
-unclosed quotes; depth of nesting doesn't use the interpreter's stack.
+or a number and are indented by depth, and table cells are padded so that columns
+line up, also below cells that span rows. All visible text comes out, whole;
+that of formulas and drawings too, but for their metadata.
+
+Null or empty html gives empty text; rows are kept as they are, repeated or
+not; columns other than the id and the html are ignored; an empty table gives
+an empty result. Pages are scanned once, whatever they leave open: a tag or
+comment that isn't closed takes the rest of the page, as in browsers. Depth of
+nesting doesn't use the interpreter's stack.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import re
 from collections.abc import Callable, Iterator
@@ -22,20 +26,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"""
-    r"""|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"""
-    r"""|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""",
-    re.S,
-)
-_ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_BEFORE_ATTR = re.compile(r"[\s/]*+")
+_ATTR_NAME = re.compile(r"=?[^\s/>=]*+")
+_EQUALS = re.compile(r"\s*+=\s*+")
+_BARE_VALUE = re.compile(r"[^\s>]*+")
+_COMMENT_END = re.compile(r"--!?>")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _BLANKS = re.compile(r"[ \t\n\r\f\v]+")
 
 # HTML element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template title iframe object noembed noframes datalist audio video canvas svg math".split())
+UNSEEN = frozenset("head script style template title iframe object noembed noframes datalist audio video canvas annotation annotation-xml desc defs metadata symbol clippath mask marker".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr menu".split())
 BLOCK = SPACED | frozenset("html body div section article aside nav header footer main address li dt dd details summary figcaption form legend optgroup option caption center dir hgroup search textarea".split())
 TABLE_PARTS = frozenset("thead tbody tfoot tr td th caption colgroup".split())
@@ -59,8 +62,32 @@ IMPLIED: dict[str, tuple[frozenset[str], frozenset[str]]] = {
 _P_BARRIER = frozenset({"td", "th", "table", "button", "caption", "object", "template"})
 _END_BARRIER = frozenset({"td", "th", "table", "template"})
 
-#: Columns wider than this aren't padded, so that layout tables stay in proportion to their text.
-MAX_PADDED = 80
+#: Padding of a table may take so many times the characters of its cells; a column is padded to 80 in any case.
+PADDING, ALWAYS_PADDED = 8, 80
+
+
+def tag_end(page: str, at: int) -> tuple[dict[str, str], bool, int]:
+    """(attributes, whether the tag closes itself, place after it) of the tag whose name ends at ``at``; the place is -1 if the page ends first."""
+    attrs: dict[str, str] = {}
+    while True:
+        at = _BEFORE_ATTR.match(page, at).end()
+        if at >= len(page):
+            return attrs, False, -1
+        if page[at] == ">":
+            return attrs, page[at - 1] == "/", at + 1
+        name = _ATTR_NAME.match(page, at)
+        at, value = name.end(), ""
+        if equals := _EQUALS.match(page, at):
+            at = equals.end()
+            if page[at : at + 1] in ('"', "'"):
+                end = page.find(page[at], at + 1)
+                if end < 0:
+                    return attrs, False, -1
+                value, at = page[at + 1 : end], end + 1
+            else:
+                bare = _BARE_VALUE.match(page, at)
+                value, at = bare[0], bare.end()
+        attrs.setdefault(name[0].lower(), entities.unescape(value))
 
 
 class Tree:
@@ -111,12 +138,16 @@ class Tree:
         if tag in VOID:
             self.enter(tag, attrs)
             self.leave(tag)
-        elif closed and tag in ("svg", "math", "path", "g"):
+        elif closed and (tag in ("svg", "math") or self.foreign()):
             self.enter(tag, attrs)
             self.leave(tag)
         else:
             self._push(tag, attrs)
 
+    def foreign(self) -> bool:
+        """Whether a drawing or formula is open."""
+        return bool(self.count.get("svg") or self.count.get("math"))
+
     def _within(self, tag: str) -> bool:
         for t in reversed(self.open):
             if t == tag:
@@ -136,29 +167,53 @@ class Tree:
             self._pop()
         self.text(text)
 
+    def _markup(self, page: str, at: int) -> int:
+        """Take in the markup at the ``<`` at ``at``; returns the place after it, -1 if it takes the rest of the page, or ``at`` if the ``<`` is text."""
+        if page.startswith("<!--", at):
+            if page.startswith((">", "->"), at + 4):
+                return page.index(">", at) + 1
+            end = _COMMENT_END.search(page, at + 4)
+            return end.end() if end else -1
+        if page.startswith("<![CDATA[", at) and self.foreign():
+            end = page.find("]]>", at)
+            self.data(page[at + 9 : end if end >= 0 else len(page)])
+            return end + 3 if end >= 0 else -1
+        close = page.startswith("</", at)
+        name = _TAG_NAME.match(page, at + 1 + close)
+        if name is None:
+            if close or page.startswith(("<!", "<?"), at):  # not markup of a page; hidden up to its end
+                return page.find(">", at) + 1 or -1
+            return at
+        tag = name[0].lower()
+        attrs, closed, end = tag_end(page, name.end())
+        if end < 0:
+            return -1
+        if close:
+            self.end(tag)
+            return end
+        self.start(tag, attrs, closed)
+        if tag in RAW and not self.foreign():
+            stop = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, end)
+            until = stop.start() if stop else len(page)
+            self.text(entities.unescape(page[end:until]) if tag in ("textarea", "title") else page[end:until])
+            return until
+        return end
+
     def feed(self, page: str) -> None:
-        at = 0
-        while at < len(page):
-            m = _TOKEN.search(page, at)
-            if m is None:
-                self.data(entities.unescape(page[at:]))
+        at = begin = 0  # text from begin on is still to be passed on
+        while (mark := page.find("<", at)) >= 0:
+            # What isn't markup stays in the text; what is, ends it.
+            if not (page[mark + 1 : mark + 2].isascii() and page[mark + 1 : mark + 2].isalpha()) and page[mark + 1 : mark + 2] not in ("/", "!", "?"):
+                at = mark + 1
+                continue
+            if mark > begin:
+                self.data(entities.unescape(page[begin:mark]))
+            at = begin = self._markup(page, mark)
+            if at < 0:
+                begin = len(page)
                 break
-            if m.start() > at:
-                self.data(entities.unescape(page[at : m.start()]))
-            at = m.end()
-            if tag := m["start"]:
-                tag = tag.lower()
-                attrs = {a.lower(): entities.unescape(x or y or z) for a, x, y, z in _ATTR.findall(m["attrs"])} if m["attrs"] else {}
-                self.start(tag, attrs, m["attrs"].endswith("/"))
-                if tag in RAW:
-                    stop = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
-                    raw = page[at : stop.start() if stop else len(page)]
-                    self.text(entities.unescape(raw) if tag in ("textarea", "title") else raw)
-                    at = stop.start() if stop else len(page)
-            elif m["end"]:
-                self.end(m["end"].lower())
-            elif m["cdata"]:
-                self.data(m["cdata"])
+        if begin < len(page):
+            self.data(entities.unescape(page[begin:]))
         while self.open:
             self._pop()
 
@@ -224,30 +279,57 @@ class _Flow:
 
 class _Table:
     def __init__(self) -> None:
-        self.rows: list[list[tuple[list[str], int]]] = []
+        self.rows: list[list[tuple[list[str], int, int]]] = []
         self.captions: list[str] = []
 
+    def placed(self) -> list[list[tuple[list[str], int, int]]]:
+        """Rows of (lines, first column, column after the last): a cell takes the next column that no cell above reaches into."""
+        out, taken = [], {}  # column: first row that doesn't have it taken
+        for number, row in enumerate(self.rows):
+            column, cells = 0, []
+            for lines, columns, rows in row:
+                while taken.get(column, 0) > number:
+                    column += 1
+                if rows != 1:
+                    taken |= dict.fromkeys(range(column, column + columns), number + rows if rows else len(self.rows))
+                cells.append((lines, column, column + columns))
+                column += columns
+            out.append(cells)
+        return out
+
     def lines(self) -> list[str]:
         """Rows with their cells padded to the width of their columns."""
+        rows = self.placed()
+        chars = sum(len(line) for row in rows for lines, _, _ in row for line in lines)
+        limit = max(ALWAYS_PADDED, PADDING * chars // max(1, len(rows)))
         widths: dict[int, int] = {}
-        for row in self.rows:
-            column = 0
-            for lines, span in row:
-                if span == 1:
-                    widths[column] = max(widths.get(column, 0), min(MAX_PADDED, max(map(len, lines), default=0)))
-                column += span
+        for row in rows:
+            for lines, first, until in row:
+                wide = max(map(len, lines), default=0) if until == first + 1 else 0
+                widths[first] = max(widths.get(first, 0), min(limit, wide))
+        # Columns in which no cell starts take no room.
+        starts = sorted(widths)
+        left = [0]
+        for c in starts:
+            left.append(left[-1] + widths[c] + 2)
         out = list(self.captions)
-        for row in self.rows:
-            for i in range(max((len(lines) for lines, _ in row), default=0)):
-                cells, column = [], 0
-                for lines, span in row:
-                    width = sum(widths.get(c, 0) for c in range(column, column + span)) + 2 * (span - 1)
-                    cells.append((lines[i] if i < len(lines) else "").ljust(width))
-                    column += span
-                out.append("  ".join(cells).rstrip())
+        for row in rows:
+            for i in range(max((len(lines) for lines, _, _ in row), default=0)):
+                line = ""
+                for lines, first, _ in row:
+                    if i < len(lines) and lines[i]:
+                        line = line.ljust(left[bisect.bisect_left(starts, first)])
+                        line += ("  " if line and not line.endswith("  ") else "") + lines[i]
+                out.append(line.rstrip())
         return out
 
 
+def _number(value: str | None, most: int) -> int:
+    """A span as HTML reads it: 1 if it isn't a number, at most ``most``."""
+    value = (value or "").strip()
+    return min(most, int(value)) if value.isascii() and value.isdigit() and len(value) < 9 else 1
+
+
 class _Renderer:
     def __init__(self) -> None:
         self.flows = [_Flow()]
@@ -256,7 +338,7 @@ class _Renderer:
         self.stack: list[tuple[bool, int]] = []  # per open element: it hides, indents it has added
         self.pre = 0
         self.lists: list[tuple[str, int]] = []
-        self.spans: list[int] = []
+        self.spans: list[tuple[int, int]] = []
 
     def enter(self, tag: str, attrs: dict[str, str]) -> None:
         hides = tag in UNSEEN or "hidden" in attrs or ("style" in attrs and bool(_HIDING.search(attrs["style"]))) or (tag == "dialog" and "open" not in attrs)
@@ -272,8 +354,7 @@ class _Renderer:
                 self.tables[-1].rows.append([])
             elif tag in ("td", "th", "caption") and self.tables:
                 self.flows.append(_Flow())
-                span = attrs.get("colspan", "1")
-                self.spans.append(min(1000, max(1, int(span))) if span.isascii() and span.isdigit() and len(span) < 6 else 1)
+                self.spans.append((max(1, _number(attrs.get("colspan"), 1000)), _number(attrs.get("rowspan"), 65534)))
             elif tag in BLOCK:
                 flow.block(tag in SPACED and not (tag in ("ul", "ol", "menu") and self.lists))
             if tag in ("ul", "ol", "menu", "dir"):
@@ -306,7 +387,7 @@ class _Renderer:
                 else:
                     if not self.tables[-1].rows:
                         self.tables[-1].rows.append([])
-                    self.tables[-1].rows[-1].append((lines, span))
+                    self.tables[-1].rows[-1].append((lines, *span))
             elif tag == "table" and self.tables:
                 flow.line()
                 for line in self.tables.pop().lines():

@@ -9,6 +9,8 @@ cut at white space, so memory follows the slice and not the batch.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,20 +24,6 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers = np.ones(1, dtype=U64)
-
-
-def powers(n: int) -> np.ndarray:
-    """At least ``n`` powers of the polynomial base modulo 2**64."""
-    global _powers
-    if len(_powers) < n:
-        table = np.full(max(n, 2 * len(_powers), 256), _BASE, dtype=U64)
-        table[0] = 1
-        _powers = np.multiply.accumulate(table)
-    return _powers
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over all 64 output bits."""
     x = x ^ (x >> U64(30))
@@ -92,24 +80,57 @@ def _cuts(data: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         start = end
 
 
-def runs_hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash for each byte run [start, end); runs are in order and don't overlap."""
+#: Masks that keep the first 0 to 8 bytes of a little-endian word.
+_KEEP = np.array([(1 << (8 * i)) - 1 for i in range(9)], U64)
+
+
+def eight_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(8-byte words of the runs [start, end), the last filled with zeros; number of each within its run; words per run)."""
+    n = (ends - starts + 7) >> 3
+    at_every_byte = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).data, strides=(1,))
+    first = np.cumsum(n) - n
+    place = np.arange(int(n.sum())) - np.repeat(first, n)
+    at = np.repeat(starts, n) + 8 * place
+    return at_every_byte[at] & _KEEP[np.minimum(np.repeat(ends, n) - at, 8)], place, n
+
+
+def runs_hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash for each byte run [start, end).
+
+    Every eight bytes are mixed with their place before they are added up, so
+    that no arrangement of equal parts cancels out, as it may in a polynomial
+    modulo a power of two.
+    """
     if not len(starts):
         return np.zeros(0, U64)
-    lengths = ends - starts
-    inside = np.zeros(len(data) + 1, np.int8)
-    full = lengths > 0
-    inside[starts[full]] = 1
-    np.subtract.at(inside, ends[full], 1)
-    keep = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
-    first = np.cumsum(lengths) - lengths
-    position = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+    value, place, n = eight_bytes(data, starts, ends)
     with np.errstate(over="ignore"):
-        value = (data[keep].astype(U64) + U64(1)) * powers(int(lengths.max(initial=1)) + 1)[position]
+        value = mix(value ^ U64(0x8CB92BA72F3D8DD7 + seed)) ^ (place.astype(U64) * U64(0x9E3779B97F4A7C15))
+        value *= U64(0xD6E8FEB86659FD93)
+        value ^= value >> U64(32)
         out = np.zeros(len(starts), U64)
+        full = n > 0
         if full.any():
-            out[full] = np.add.reduceat(value, first[full])
-        return mix(out + lengths.astype(U64) * U64(0xA24BAED4963EE407))
+            out[full] = np.add.reduceat(value, (np.cumsum(n) - n)[full])
+        return mix(out + (ends - starts).astype(U64) * U64(0xA24BAED4963EE407))
+
+
+def equal_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> bool:
+    """Whether every run has the bytes of its other run."""
+    if ((ends - starts) != (other_ends - other_starts)).any():
+        return False
+    return bool((eight_bytes(data, starts, ends)[0] == eight_bytes(data, other_starts, other_ends)[0]).all())
+
+
+def distinct_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of one run of each content, number of the content of every run); equal hashes are confirmed by the bytes."""
+    hashes = runs_hashed(data, starts, ends)
+    _, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    if not equal_runs(data, starts, ends, starts[at][inverse], ends[at][inverse]):
+        raw, seen = data.tobytes(), {}
+        inverse = np.fromiter((seen.setdefault(raw[s:e], len(seen)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)), np.int64, len(starts))
+        at = np.unique(inverse, return_index=True)[1]
+    return at, inverse
 
 
 class Words:
@@ -202,5 +223,12 @@ def list_column(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64) if values.dtype == U64 else values, pa.int64()))
 
 
+def release() -> None:
+    """Give memory that arrays no longer use back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def batch(columns: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))

@@ -14,6 +14,7 @@ id are one document. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,45 +27,22 @@ from docketlake.llm import kernels as K
 from docketlake.llm.frames import anonymous
 from docketlake.llm.minhash import band_keys, tune
 from docketlake.llm.resolve import resolve
-from docketlake.llm.sets import Sets
-from docketlake.llm.storage import small_side, staged
+from docketlake.llm.sets import Sets, parities, similar_pairs
+from docketlake.llm.storage import discard, numbered, small_side, staged
 
 SHINGLE = 5
 THRESHOLD = (4, 5)
-RECALL, MAX_BANDS = 0.99, 7
-#: Bits of a set's sketch.
-SKETCH_BITS = 512
+RECALL, MAX_BANDS = 0.99, 12
+#: Bits of a set's sketch, and the columns of its words.
+SKETCH_BITS = 256
+SKETCH = tuple(f"s{i}" for i in range(SKETCH_BITS // 64))
 STEP_BYTES = 1 << 20
 
-_BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F)
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64, and of its inverse."""
-    up, down = _tables.get(base, (np.ones(1, K.U64), np.ones(1, K.U64)))
-    if len(up) < n:
-        size = max(n, 2 * len(up))
-        tables = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            table = np.full(size, b, K.U64)
-            table[0] = 1
-            tables.append(np.multiply.accumulate(table))
-        _tables[base] = up, down = tables[0], tables[1]
-    return up, down
-
-
-def _prefix(codes: np.ndarray, base: int) -> np.ndarray:
-    out = np.zeros(len(codes) + 1, K.U64)
-    with np.errstate(over="ignore"):
-        np.cumsum((codes.astype(K.U64) + K.U64(1)) * _powers(base, len(codes) + 1)[0][: len(codes)], out=out[1:])
-    return out
-
-
-def _runs(prefix: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each run of code points, wherever it stands."""
-    with np.errstate(over="ignore"):
-        return (prefix[ends] - prefix[starts]) * _powers(base, len(prefix))[1][starts]
+def digests(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Two halves of a cryptographic digest of each line."""
+    joined = b"".join([hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest() for line in lines])
+    both = np.frombuffer(joined, np.int64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 class Lines:
@@ -81,28 +59,29 @@ class Lines:
         self.number = np.arange(len(self.row)) - np.repeat(np.cumsum(counts) - counts, counts)
         solid = np.concatenate([[0], np.cumsum(~((self.codes == 32) | ((self.codes >= 9) & (self.codes <= 13))))])
         self.worded = solid[self.ends] > solid[self.starts]
-        self._prefixes = [_prefix(self.codes, b) for b in _BASES]
+        self._lines = joined.split("\n")
 
     def keys(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits that stand for each of the lines ``at``."""
-        s, e = self.starts[at], self.ends[at]
-        length = (e - s).astype(K.U64)
-        with np.errstate(over="ignore"):
-            return tuple(K.mix(_runs(p, b, s, e) + length * K.U64(0xA24BAED4963EE407)) for p, b in zip(self._prefixes, _BASES, strict=True))
+        """128 bits that name each of the lines ``at``."""
+        return digests([self._lines[i] for i in at.tolist()])
 
     def shingles(self, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(shingle hashes of the lines ``at``, number of each line's); repeats within a line are not removed."""
         s, e = self.starts[at], self.ends[at]
         n = np.maximum(e - s - size + 1, 1)
         begin = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(s, n)
-        end = np.minimum(begin + size, np.repeat(e, n))
-        h = _runs(self._prefixes[0], _BASES[0], begin, end)
+        factor = K.salts(size, 0x11AE)
         with np.errstate(over="ignore"):
-            h ^= h >> K.U64(32)
-            h *= K.U64(0xD6E8FEB86659FD93)
-            h ^= h >> K.U64(29)
-            h *= K.U64(0x94D049BB133111EB)
-        return h, n
+            codes = np.concatenate([self.codes, np.zeros(size, np.uint32)]).astype(K.U64) + K.U64(1)
+            every = codes[: len(self.codes) + 1] * factor[0]
+            for k in range(1, size):
+                every += codes[k : k + len(self.codes) + 1] * factor[k]
+            h = every[begin]
+            place = np.cumsum(n) - n
+            for i in np.flatnonzero(e - s < size).tolist():  # the whole line is its one shingle
+                line = codes[s[i] : e[i]]
+                h[place[i]] = (line * factor[: len(line)]).sum(dtype=K.U64) + K.U64(len(line))
+            return K.mix(h), n
 
 
 def _text_steps(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
@@ -112,7 +91,7 @@ def _text_steps(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
 
 
 def line_signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """id, line, k1, k2, copies and a key per band of the first occurrence of each worded line of a document; copies counts its occurrences there."""
+    """id, line, k1, k2, copies, set size n, words of the set's sketch and a key per band of the first occurrence of each worded line of a row; copies counts its occurrences there."""
     names = [f"b{i}" for i in range(bands)]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,20 +111,39 @@ def line_signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> Dat
                 at, k1, k2 = at[order[firsts]], x[firsts], y[firsts]
                 members, n = lines.shingles(at, shingle)
                 keys = band_keys(members, n, bands, rows)
+                members, owner = K.distinct(members, np.repeat(np.arange(len(n)), n))
+                sketch = parities(members, owner, len(n), SKETCH_BITS)
                 ids = batch.column(0).slice(a, b - a).take(pa.array(lines.row[at]))
-                made = {"id": ids, "line": pa.array(lines.number[at].astype(np.int32)), "k1": pa.array(k1.view(np.int64)), "k2": pa.array(k2.view(np.int64)), "copies": pa.array(copies.astype(np.int32))}
+                made = {"id": ids, "line": pa.array(lines.number[at].astype(np.int32)), "k1": pa.array(k1), "k2": pa.array(k2), "copies": pa.array(copies.astype(np.int32)), "n": pa.array(np.bincount(owner, minlength=len(n)))}
+                made |= {c: pa.array(np.ascontiguousarray(sketch[:, i])) for i, c in enumerate(SKETCH)}
                 yield K.batch(made | {c: pa.array(np.ascontiguousarray(keys[:, i]).view(np.int64)) for i, c in enumerate(names)})
+        K.release()
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(sign, f"id {kind}, line int, k1 long, k2 long, copies int, " + ", ".join(f"{c} long" for c in names))
+    return docs.mapInArrow(sign, f"id {kind}, line int, k1 long, k2 long, copies int, n long, " + ", ".join(f"{c} long" for c in (*SKETCH, *names)))
 
 
-def line_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text) of the lines that ``nodes`` (node struct<id, line>) names."""
-    wanted = nodes.select("node.id", "node.line").groupBy("id").agg(F.collect_set("line").alias("lines"))
-    picked = docs.join(small_side(staged(wanted, "wanted")), "id")
-    lines = picked.select("id", F.split("text", "\n").alias("all"), F.explode("lines").alias("line"))
-    return lines.select(F.struct("id", "line").alias("node"), F.get("all", "line").alias("text")).dropDuplicates(["node"])
+def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the lines ``wanted`` (node, id, line, k1)."""
+    lists = staged(wanted.groupBy("id").agg(*[F.collect_list(c).alias(c) for c in ("node", "line", "k1")]), "lists")
+    picked = docs.join(small_side(lists), "id").select("text", "node", "line", "k1")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, texts in _text_steps(batch.column(0)):
+                found, nodes, want = [], [], []
+                for text, node, numbers, keys in zip(texts, *(batch.column(i).slice(a, b - a).to_pylist() for i in (1, 2, 3)), strict=True):
+                    lines = text.split("\n")
+                    for m, n, k in zip(node, numbers, keys, strict=True):
+                        if n < len(lines):
+                            found.append(lines[n])
+                            nodes.append(m)
+                            want.append(k)
+                same = digests(found)[0] == np.array(want, np.int64)  # not so in a row that only shares the id
+                yield K.batch({"node": pa.array(nodes, pa.int64()), "text": pa.array(found, pa.string())}).filter(pa.array(same))
+        K.release()
+
+    return picked.mapInArrow(cut, "node long, text string").dropDuplicates(["node"])
 
 
 def line_sets(shingle: int) -> Sets:
@@ -159,33 +157,50 @@ def line_sets(shingle: int) -> Sets:
 
 
 def line_components(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL, max_bands: int = MAX_BANDS) -> tuple[DataFrame, DataFrame]:
-    """(signatures, kept): every distinct line of each of ``docs`` (id, text), and per k1, k2 the occurrence (keep_id, keep_line) that stays for it."""
+    """(signatures, kept): every distinct line of each row of ``docs`` (id, text), and for each that isn't alone, by k1 and k2, the occurrence (to_id, to_line, with its own to_k1 and to_k2) that stays."""
     bands, rows = tune(threshold[0] / threshold[1], recall, max_bands)
     names = [f"b{i}" for i in range(bands)]
-    signatures = staged(line_signatures(docs.filter(F.col("id").isNotNull()), shingle, bands, rows), "lines")
-    first = [F.min("id").alias("id"), F.min_by("line", "id").alias("line"), *[F.first(c).alias(c) for c in names]]
-    distinct = staged(signatures.groupBy("k1", "k2").agg(*first), "distinct")
-
-    keyed = distinct.select("id", "line", F.explode(F.array(*names)).alias("key"))
+    docs = docs.filter(F.col("id").isNotNull())
+    signatures = staged(line_signatures(docs, shingle, bands, rows), "lines")
+    # Where rows repeat an id, the order by line needs structs, which aggregate by sorting.
+    unique = docs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    first = [F.min("id").alias("id"), F.min_by("line", "id" if unique else F.struct("id", "line")).alias("line")]
+    columns = ["n", *SKETCH, *names]
+    distinct = numbered(signatures.groupBy("k1", "k2").agg(*first, *[F.first(c).alias(c) for c in columns], F.count(F.lit(1)).alias("rows")), "distinct")
+
+    keyed = distinct.select("node", F.explode(F.array(*names)).alias("key"))
     shared = staged(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "shared")
-    buckets = staged(keyed.join(shared, "key").select("key", F.struct("id", "line").alias("node")), "buckets")
-    texts = staged(line_texts(docs, buckets.select("node").distinct()), "texts")
-    labels = resolve(buckets, texts, line_sets(shingle), SKETCH_BITS, threshold)
-    moved = labels.filter(F.col("node") != F.col("component")).select("node.id", "node.line", F.col("component.id").alias("to_id"), F.col("component.line").alias("to_line"))
-    kept = distinct.select("k1", "k2", "id", "line").join(moved, ["id", "line"], "left")
-    kept = kept.select("k1", "k2", F.coalesce("to_id", "id").alias("keep_id"), F.coalesce("to_line", "line").alias("keep_line"))
-    return signatures, staged(kept, "kept")
+    buckets = staged(keyed.join(shared, "key"), "buckets")
+    active = distinct.select("node", "id", "line", "k1", "n", F.array(*SKETCH).alias("sketch")).join(buckets.select("node").distinct(), "node")
+    active = staged(active, "active")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        texts = staged(line_texts(docs, active.select("node", "id", "line", "k1").join(ends, "node")), "texts")
+        return similar_pairs(pairs, texts, line_sets(shingle), threshold)
+
+    labels = resolve(buckets, threshold, verify, active)
+    discard(shared, buckets, active)
+    place = F.struct("id", "line", "k1", "k2")
+    in_component = staged(distinct.select("node", "k1", "k2", "id", "line").join(labels, "node").drop("node"), "in_component")
+    stays = in_component.groupBy("component").agg(F.min(place).alias("stays"))
+    moved = in_component.join(stays, "component").select("k1", "k2", *[F.col(f"stays.{c}").alias(f"to_{c}") for c in ("id", "line", "k1", "k2")])
+    again = distinct.filter("rows > 1").select("k1", "k2", "id", "line").join(in_component.select("k1", "k2"), ["k1", "k2"], "left_anti")
+    kept = staged(moved.unionByName(again.select("k1", "k2", *[F.col(c).alias(f"to_{c}") for c in ("id", "line", "k1", "k2")])), "kept")
+    discard(distinct, in_component, labels)
+    return signatures, kept
 
 
 def removed_lines(docs: DataFrame, **parameters) -> DataFrame:
     """(id, n_lines, n_kept, removed) per document of ``docs`` (id, text) with a worded line; removed lists the distinct lines, by first place, that go in all their places but the one kept.
 
-    ``stays`` tells for a listed line whether its first place stays.
+    ``stays`` tells for a listed line whether its first place stays, ``k1`` is half of its digest.
     """
     signatures, kept = line_components(docs, **parameters)
-    rows = signatures.select("id", "line", "k1", "k2", "copies").join(kept, ["k1", "k2"])
-    here = (F.col("keep_id") == F.col("id")) & (F.col("keep_line") == F.col("line"))
-    listed = F.when(~here | (F.col("copies") > 1), F.struct("line", here.alias("stays")))
+    rows = signatures.select("id", "line", "k1", "k2", "copies").join(kept, ["k1", "k2"], "left")
+    same = [F.col(f"to_{c}") == F.col(c) for c in ("id", "line", "k1", "k2")]
+    here = F.col("to_k1").isNull() | (same[0] & same[1] & same[2] & same[3])
+    listed = F.when(~here | (F.col("copies") > 1), F.struct("line", here.alias("stays"), "k1"))
     return rows.groupBy("id").agg(
         F.sum("copies").cast("long").alias("n_lines"),
         F.count_if(here).alias("n_kept"),
@@ -201,7 +216,10 @@ def _rebuilt(text: pa.Array, removed: pa.Array) -> pa.Array:
             out.append(t)
             continue
         lines = t.split("\n")
-        stays = {lines[m["line"]]: m["line"] if m["stays"] else -1 for m in marks}
+        marks = [m for m in marks if m["line"] < len(lines)]
+        keys, _ = digests([lines[m["line"]] for m in marks])
+        # A mark whose digest differs belongs to another row of the same id.
+        stays = {lines[m["line"]]: m["line"] if m["stays"] else -1 for m, k in zip(marks, keys.tolist(), strict=True) if k == m["k1"]}
         out.append("\n".join(line for i, line in enumerate(lines) if stays.get(line, i) == i))
     return pa.array(out, text.type)
 

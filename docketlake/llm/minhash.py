@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 
 from docketlake.llm import kernels as K
 
-U32 = np.uint32
-#: Members worked on at once: keeps the arrays in the processor's cache.
-CHUNK = 1 << 15
+#: Members worked on at once, which bounds memory.
+CHUNK = 1 << 17
+_EMPTY = 1 << 40
 
 
 def tune(threshold: float, recall: float, max_bands: int) -> tuple[int, int]:
@@ -26,34 +27,58 @@ def tune(threshold: float, recall: float, max_bands: int) -> tuple[int, int]:
     return best
 
 
-def band_keys(members: np.ndarray, lengths: np.ndarray, bands: int, rows: int, seed: int = 1) -> np.ndarray:
-    """A 64-bit key for each set and band; ``members`` are well mixed hashes, ``lengths`` (all over 0) their runs."""
+@lru_cache(maxsize=8)
+def _borrowed(k: int, seed: int) -> np.ndarray:
+    """For each of ``k`` bins the order in which it looks at all bins when it is empty."""
+    return np.argsort(K.salts(k * k, seed).reshape(k, k), axis=1)
+
+
+def signatures(members: np.ndarray, lengths: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
+    """(sets, k) minima by one permutation: a member falls into one of ``k`` bins by its high bits and competes there by its low ones.
+
+    An empty bin takes the minimum of the first full one in an order of its
+    own, which is the same for all sets, so that two sets agree in any bin as
+    often as their Jaccard index says. ``lengths`` are over 0.
+    """
     n = len(lengths)
-    total = bands * rows
-    salt = (K.salts(2 * total, seed) >> K.U64(32)).astype(U32)
-    xor, factor = salt[:total], salt[total:] | U32(1)
-    signature = np.empty((total, n), U32)
+    out = np.empty((n, k), np.int64)
+    order = _borrowed(k, seed)
     ends = np.cumsum(lengths)
-    low = (members >> K.U64(32)).astype(U32)
     start = 0
     while start < n:
         base = int(ends[start - 1]) if start else 0
         end = max(start + 1, int(np.searchsorted(ends, base + CHUNK, side="right")))
-        part = low[base : int(ends[end - 1])]
-        firsts = ends[start:end] - lengths[start:end] - base
-        scratch = np.empty_like(part)
-        for k in range(total):
-            np.bitwise_xor(part, xor[k], out=scratch)
-            np.multiply(scratch, factor[k], out=scratch)
-            signature[k, start:end] = np.minimum.reduceat(scratch, firsts)
+        part = members[base : int(ends[end - 1])]
+        rows = end - start
+        cell = ((part >> K.U64(32)) * K.U64(k)) >> K.U64(32)
+        cell += np.repeat(np.arange(rows, dtype=K.U64) * K.U64(k), lengths[start:end])
+        flat = np.full(rows * k, _EMPTY)
+        np.minimum.at(flat, cell.astype(np.int64), (part & K.U64(0xFFFFFFFF)).astype(np.int64))
+        table = flat.reshape(rows, k)
+        filled = table.copy()
+        r, b = np.nonzero(table == _EMPTY)
+        for turn in range(k):
+            if not len(r):
+                break
+            value = table[r, order[b, turn]]
+            full = value != _EMPTY
+            filled[r[full], b[full]] = value[full]
+            r, b = r[~full], b[~full]
+        out[start:end] = filled
         start = end
-    keys = np.empty((n, bands), K.U64)
+    return out
+
+
+def band_keys(members: np.ndarray, lengths: np.ndarray, bands: int, rows: int, seed: int = 1) -> np.ndarray:
+    """A 64-bit key for each set and band; ``members`` are well mixed hashes, ``lengths`` (all over 0) their runs."""
+    signature = signatures(members, lengths, bands * rows, seed).astype(K.U64)
+    keys = np.empty((len(lengths), bands), K.U64)
     odd = K.salts(rows + bands, seed + 1)
     with np.errstate(over="ignore"):
         for b in range(bands):
-            value = np.full(n, odd[rows + b], K.U64)
+            value = np.full(len(lengths), odd[rows + b], K.U64)
             for r in range(rows):
-                value += signature[b * rows + r].astype(K.U64) * odd[r]
+                value += signature[:, b * rows + r] * odd[r]
                 value = K.mix(value)
             keys[:, b] = value
     return keys

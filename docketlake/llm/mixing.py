@@ -60,7 +60,11 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, passe
 
 
 def fit_budget(sizes: np.ndarray, counts: np.ndarray, target: float, passes: int = MAX_PASSES) -> tuple[int, np.ndarray]:
-    """(whole passes, extra documents per length) whose words come closest to ``target`` from below."""
+    """(whole passes, extra documents per length) whose words come close to ``target`` from below.
+
+    Closest, if the proportional fill leaves at most CAPACITY words; otherwise
+    closest of what the counts left after the longest lengths allow.
+    """
     sizes, counts = [int(s) for s in sizes], [int(c) for c in counts]
     total, extra = sum(s * c for s, c in zip(sizes, counts, strict=True)), [0] * len(sizes)
     budget = min(round(target), passes * total)
@@ -123,11 +127,13 @@ def _fit_source(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"skey": group["skey"], "size": group["size"], "n": group["n"], "source_size": group["source_size"], "target": group["target"], "whole": whole, "extra": extra})
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", seed: int = SEED, with_text: bool = True) -> DataFrame:
     """``docs`` with size, source_size, target and taken (words taken, repeats counted).
 
     Columns of these names are replaced. The plan has a row per source and
-    length; documents are joined to it once.
+    length; documents are joined to it once. Texts are counted once for the
+    plan, and once more for the result; without the column of texts
+    (``with_text``) only once, and what is counted is written.
     """
     results = ["size", "source_size", "target", "taken"]
     inner, named = anonymous(docs)
@@ -138,7 +144,12 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
         "__h": F.xxhash64(F.lit(seed), named[key], named[text]),
     }
     rows = inner.withColumns(added)
-    counted = rows.withColumn("b", F.shiftright("__h", _HASH_BUCKETS_SHIFT)).groupBy("skey", "size", "b").agg(F.count(F.lit(1)).alias("n"), F.max("source").alias("source"))
+    if with_text:
+        slim = staged(rows.select(*added), "sizes")
+    else:
+        named = {name: c for name, c in named.items() if name != text}
+        slim = rows = staged(rows.select(*named.values(), *added), "sizes")
+    counted = slim.withColumn("b", F.shiftright("__h", _HASH_BUCKETS_SHIFT)).groupBy("skey", "size", "b").agg(F.count(F.lit(1)).alias("n"), F.max("source").alias("source"))
     counted = staged(counted, "lengths")
     sizes = counted.groupBy("skey").agg(F.first("source").alias("source"), F.sum(F.col("size") * F.col("n")).alias("source_size"))
     targets = staged(source_targets(sizes), "targets").withColumn("skey", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
@@ -152,7 +163,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     cumulated = counted.join(partial, ["skey", "size"]).withColumn("upto", F.sum("n").over(upto))
     edge = cumulated.filter((F.col("upto") >= F.col("extra")) & (F.col("upto") - F.col("n") < F.col("extra")))
     edge = edge.select("skey", "size", "b", (F.col("extra") - F.col("upto") + F.col("n")).alias("rank"))
-    at_edge = rows.select("skey", "size", "__h", F.shiftright("__h", _HASH_BUCKETS_SHIFT).alias("b")).join(edge, ["skey", "size", "b"])
+    at_edge = slim.select("skey", "size", "__h", F.shiftright("__h", _HASH_BUCKETS_SHIFT).alias("b")).join(edge, ["skey", "size", "b"])
     ranked = at_edge.withColumn("r", F.row_number().over(Window.partitionBy("skey", "size", "b").orderBy("__h")))
     threshold = ranked.filter(F.col("r") == F.col("rank")).select("skey", "size", F.col("__h").alias("threshold"))
     plan = staged(plan.join(threshold, ["skey", "size"], "left"), "thresholds")

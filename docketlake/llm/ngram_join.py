@@ -6,8 +6,9 @@ their prefixes of |x| - ceil(t |x|) + 1 members. Documents with one and the same
 set are a class; classes with identical prefix and size collapse into a group;
 groups that share a prefix member and whose sizes and positions allow the index
 are candidates, and are expanded into their members, which are screened by
-sketches of their sets (without loss) and then verified on the whole sets (module ``resolve``; links are found without testing all pairs of a
-large group of copies).
+sketches of their sets (without loss) and then verified on the whole sets
+(module ``resolve``; links are found without testing all pairs of a large group
+of copies). Texts are fetched again only for pairs that the sketches allow.
 
 Any order is exact. N-grams that are frequent come last, so that prefixes hold
 rare ones; the list of the most frequent is bounded, is counted over all
@@ -16,7 +17,9 @@ documents, and is only a hint.
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. With fewer words than
 n the whole sequence is the one member; without words the set is empty and
 links with nothing. A row with a null id is measured but has no component of
-its own: it takes that of its class. Rows that repeat an id are one document.
+its own: it takes that of its class. Classes are named by 128 bits over the
+set, so rows that repeat an id are judged each by its own text. Null text
+counts as empty; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,13 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketlake.llm import kernels as K
 from docketlake.llm.resolve import at_least, resolve
-from docketlake.llm.sets import Sets
-from docketlake.llm.storage import small_side, staged
+from docketlake.llm.sets import Sets, parities, similar_pairs
+from docketlake.llm.storage import discard, numbered, small_side, staged
 
 #: Bound of the list of frequent n-grams (8 bytes each), and the count in one step of a task from which one is reported.
 FREQUENT, REPORTED = 1 << 16, 4
@@ -61,14 +64,27 @@ def frequent_grams(docs: DataFrame, size: int) -> np.ndarray:
                 values, n = np.unique(members, return_counts=True)
                 often = n >= REPORTED
                 yield K.batch({"gram": pa.array(values[often].view(np.int64)), "n": pa.array(n[often])})
+        K.release()
 
     counted = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "gram").limit(FREQUENT)
     return np.sort(np.array([r[0] for r in top.select("gram").collect()], np.int64).view(K.U64))
 
 
+def set_keys(members: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that name each of the consecutive sets of ``n`` members."""
+    full = n > 0
+    starts = (np.cumsum(n) - n)[full]
+    keys = np.zeros(len(n), K.U64), np.zeros(len(n), K.U64)
+    with np.errstate(over="ignore"):
+        for key, salt in zip(keys, K.salts(2, 0xC1A55), strict=True):
+            if full.any():
+                key[full] = K.mix(np.add.reduceat(K.mix(members ^ salt), starts) + n[full].astype(K.U64))
+    return keys[0].view(np.int64), keys[1].view(np.int64)
+
+
 def profile(docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
-    """id, n, k1, k2 (128 bits that stand for the set) and prefix of each of ``docs`` (id, text)."""
+    """id, n, k1, k2 (128 bits that stand for the set), prefix and sketch of each of ``docs`` (id, text)."""
     p, q = threshold
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_grams(docs, size))
 
@@ -93,18 +109,31 @@ def profile(docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame
                 # |x| - ceil(t |x|) + 1 members, none of an empty set
                 length = np.where(n > 0, n - (p * n + q - 1) // q + 1, 0)
                 at = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length) + np.repeat(starts, length)
-                full = n > 0
-                keys = [np.zeros(b - a, K.U64), np.zeros(b - a, K.U64)]
-                with np.errstate(over="ignore"):
-                    for key, salt in zip(keys, K.salts(2, 0xC1A55), strict=True):
-                        if full.any():
-                            key[full] = np.add.reduceat(K.mix(members ^ salt), starts[full])
+                k1, k2 = set_keys(members, n)
+                sketch = parities(members, rows, b - a, SKETCH_BITS)
                 yield K.batch({
-                    "id": batch.column(0).slice(a, b - a), "n": pa.array(n), "k1": pa.array(keys[0].view(np.int64)), "k2": pa.array(keys[1].view(np.int64)),
-                    "prefix": K.list_column(ordered[at], length),
+                    "id": batch.column(0).slice(a, b - a), "n": pa.array(n), "k1": pa.array(k1), "k2": pa.array(k2), "prefix": K.list_column(ordered[at], length),
+                    "sketch": K.list_column(sketch.ravel(), np.full(b - a, sketch.shape[1])),
                 })
+        K.release()
+
+    return docs.select("id", "text").mapInArrow(measure, f"id {docs.schema['id'].dataType.simpleString()}, n long, k1 long, k2 long, prefix array<long>, sketch array<long>")
+
 
-    return docs.select("id", "text").mapInArrow(measure, f"id {docs.schema['id'].dataType.simpleString()}, n long, k1 long, k2 long, prefix array<long>")
+def class_texts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(node, text) of the classes ``wanted`` (node, id, k1, k2): of the rows with that id the one whose set has that name."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, members, rows in _steps(batch.column(1), size):
+                k1, k2 = set_keys(members, np.bincount(rows, minlength=b - a))
+                yield K.batch({"k1": pa.array(k1), "k2": pa.array(k2), "text": batch.column(1).slice(a, b - a)})
+        K.release()
+
+    ids = staged(wanted.select("id").distinct(), "ids")
+    rows = docs.select("id", "text").join(small_side(ids), "id", "left_semi")
+    named = rows.mapInArrow(name, "k1 long, k2 long, text string").dropDuplicates(["k1", "k2"])
+    return named.join(wanted.select("node", "k1", "k2"), ["k1", "k2"]).select("node", "text")
 
 
 def shingle_sets(size: int) -> Sets:
@@ -118,33 +147,37 @@ def ngram_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int]
     """``key``, n_shingles and component_id of every row of ``docs``; ``threshold`` = (p, q) stands for p / q."""
     docs = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     profiles = staged(profile(docs, size, threshold), "profiles")
-    set_key = ["n", "k1", "k2"]
     named = profiles.filter((F.col("n") > 0) & F.col("id").isNotNull())
-    prefix_hash = F.xxhash64("prefix", "n").alias("g")
-    keyed = named.select("id", *set_key, prefix_hash)
-    classes = staged(keyed.groupBy(*set_key, "g").agg(F.min("id").alias("node")), "classes")
-    groups = staged(classes.groupBy("g", "n").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("members")), "groups")
-
-    # A group's prefix is that of its first member; its postings say where in the prefix a member stands.
-    one = named.select("id", "n", "prefix", prefix_hash).join(groups.select("g", F.col("first").alias("id")), ["g", "id"], "left_semi")
-    prefixes = staged(one.select("g", "n", "prefix"), "prefixes")
+    g = F.xxhash64("prefix", "n").alias("g")
+    classes = numbered(named.groupBy("n", "k1", "k2").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"), F.first(g).alias("g")), "classes")
+    groups = staged(classes.groupBy("g", "n").agg(F.count(F.lit(1)).alias("members")), "groups")
+
+    # Postings of a group's prefix say where in the prefix a member stands.
+    prefixes = staged(named.groupBy(g, "n").agg(F.first("prefix").alias("prefix")), "prefixes")
     postings = prefixes.select("g", "n", F.posexplode("prefix").alias("pos", "key"))
     shared = staged(postings.groupBy("key").agg(F.count(F.lit(1)).alias("groups")).filter("groups > 1").select("key"), "shared")
     met = postings.join(shared, "key").select("key", "g", "n", "pos")
-    within = groups.filter("members > 1").select(F.xxhash64("g", F.lit("group")).alias("key"), "g", "n", F.lit(0).alias("pos"))
-    expanded = met.unionByName(within).join(classes.select("g", "node"), "g").select("key", "node", "n", "pos")
+    within = groups.filter("members > 1").select(F.xxhash64("g", "n", F.lit("group")).alias("key"), "g", "n", F.lit(0).alias("pos"))
+    expanded = met.unionByName(within).join(classes.select("g", "n", "node"), ["g", "n"]).select("key", "node", "n", "pos")
+    buckets = staged(expanded, "buckets")
+    discard(groups, prefixes, shared)
 
-    def may_link(x: str, y: str):
-        n, m, i, j = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.pos"), F.col(f"{y}.pos")
+    def may_link(x: str, y: str) -> Column:
+        n, m, i, j = F.col(f"{x}n"), F.col(f"{y}n"), F.col(f"{x}pos"), F.col(f"{y}pos")
         return at_least(threshold, F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1), n, m)
 
-    buckets = staged(expanded, "buckets")
-    active = staged(buckets.select("node").distinct(), "active")
-    texts = staged(docs.withColumnRenamed("id", "node").join(small_side(active), "node", "left_semi"), "texts")
-    if texts.count() > active.count():  # rows repeat ids
-        texts = staged(texts.dropDuplicates(["node"]), "texts")
-    labels = resolve(buckets, texts, shingle_sets(size), SKETCH_BITS, threshold, may_link, short=False)
-    by_class = classes.join(labels, "node", "left").select(*set_key, F.coalesce("component", "node").alias("component_id"))
-    by_class = staged(by_class.groupBy(*set_key).agg(F.min("component_id").alias("component_id")), "by_class")
-    joined = profiles.drop("prefix").join(by_class, set_key, "left")
+    active = staged(classes.select("node", "id", "k1", "k2", "n", "sketch").join(buckets.select("node").distinct(), "node"), "active")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = staged(active.select("node", "id", "k1", "k2").join(ends, "node"), "wanted")
+        texts = staged(class_texts(docs, wanted, size), "texts")
+        return similar_pairs(pairs, texts, shingle_sets(size), threshold)
+
+    labels = resolve(buckets, threshold, verify, active, may_link)
+    discard(buckets, active)
+    smallest = classes.join(labels, "node").groupBy("component").agg(F.min("id").alias("component_id"))
+    by_class = classes.select("node", "k1", "k2", "id").join(labels, "node", "left").join(smallest, "component", "left")
+    by_class = staged(by_class.select("k1", "k2", F.coalesce("component_id", "id").alias("component_id")), "by_class")
+    joined = profiles.select("id", "n", "k1", "k2").join(by_class, ["k1", "k2"], "left")
     return joined.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))

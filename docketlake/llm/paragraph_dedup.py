@@ -15,8 +15,14 @@ over the words that are equal at the occurrence that stays.
 
 A document's removed spans are merged; documents without one have no row. Words
 are ``[^\\x20\\x09-\\x0D]+``, lower-cased A-Z. Null and empty texts have no
-paragraphs; rows with a null id are left out, as they can't be named; rows that
-repeat an id are one document. An empty table gives an empty result.
+paragraphs; rows with a null id are left out, as they can't be named. Of rows
+that repeat an id the smallest text is the document. An empty table gives an
+empty result.
+
+A block of 25 words has 21 shingles, so at a Jaccard index of 0.8 it could only
+differ in its first or last two words; bands over blocks would find nothing
+that equality and extension don't. Near copies of passages are found where they
+are paragraphs.
 """
 
 from __future__ import annotations
@@ -33,27 +39,46 @@ from docketlake.llm import kernels as K
 from docketlake.llm.frames import anonymous
 from docketlake.llm.minhash import band_keys, tune
 from docketlake.llm.resolve import resolve
-from docketlake.llm.storage import small_side, staged
+from docketlake.llm.sets import parities, similar_pairs
+from docketlake.llm.storage import discard, numbered, small_side, staged
 
 SHINGLE = 5
 THRESHOLD = (4, 5)
 MIN_WORDS = 25
-RECALL, MAX_BANDS = 0.99, 5
-#: Bits of a set's sketch.
-SKETCH_BITS = 512
+RECALL, MAX_BANDS = 0.99, 12
+#: Bits of a set's sketch, and the columns of its words.
+SKETCH_BITS = 256
+SKETCH = tuple(f"s{i}" for i in range(SKETCH_BITS // 64))
 STEP_BYTES = 2 << 20
 
-_BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F)
+#: Prefix hashes are polynomials modulo this prime; a power of two would let arrangements of equal parts cancel out.
+_PRIME = (1 << 61) - 1
+_BASES = (0x1A5C7D3E9B2F4861, 0x0E3B97F4A7C15D29)
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & K.U64(_PRIME)) + (x >> K.U64(61))
+    return np.where(x >= K.U64(_PRIME), x - K.U64(_PRIME), x)
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, of numbers below it, by halves of 31 bits."""
+    half, low = K.U64(31), K.U64((1 << 31) - 1)
+    ah, al, bh, bl = a >> half, a & low, b >> half, b & low
+    middle = ah * bl + al * bh
+    return _reduced(_reduced(al * bl) + K.U64(2) * (ah * bh) + (middle >> K.U64(30)) + ((middle & K.U64((1 << 30) - 1)) << half))
+
+
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo the prime."""
     if base not in _tables or len(_tables[base][0]) < n:
         made = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            table = np.full(max(n, 1 << 16), b, K.U64)
-            table[0] = 1
-            made.append(np.multiply.accumulate(table))
+        for b in (base % _PRIME, pow(base, -1, _PRIME)):
+            table = np.ones(1, K.U64)
+            while len(table) < max(n, 1 << 16):
+                table = np.concatenate([table, _product(table, K.U64(pow(b, len(table), _PRIME)))])
+            made.append(table)
         _tables[base] = made[0], made[1]
     return _tables[base]
 
@@ -72,17 +97,25 @@ class Units:
         self.line_first = np.append(np.flatnonzero(new_line), n)
         self.line_words = np.diff(self.line_first)
         self._prefix = []
-        with np.errstate(over="ignore"):
-            for base in _BASES:
-                p = np.zeros(n + 1, K.U64)
-                np.cumsum((w.hashes + K.U64(1)) * _powers(base, n + 1)[0][:n], out=p[1:])
-                self._prefix.append(p)
+        for base in _BASES:
+            terms = _product(_reduced(w.hashes), _powers(base, n + 1)[0][:n])
+            # Sums of both halves of the terms, exact below 2**32 words.
+            parts = np.zeros((2, n + 1), K.U64)
+            np.cumsum(terms >> K.U64(32), out=parts[0, 1:])
+            np.cumsum(terms & K.U64(0xFFFFFFFF), out=parts[1, 1:])
+            self._prefix.append(parts)
 
     def keys(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """128 bits that stand for each run of words."""
+        out = []
         with np.errstate(over="ignore"):
             length = (ends - starts).astype(K.U64) * K.U64(0xA24BAED4963EE407)
-            return tuple(K.mix((p[ends] - p[starts]) * _powers(b, len(p))[1][starts] + length) for p, b in zip(self._prefix, _BASES, strict=True))
+            for parts, base in zip(self._prefix, _BASES, strict=True):
+                high, low = parts[:, ends] - parts[:, starts]
+                # high * 2**32 modulo the prime, its upper bits coming round
+                total = _reduced(_reduced((high & K.U64((1 << 29) - 1)) << K.U64(32)) + (high >> K.U64(29)) + _reduced(low))
+                out.append(K.mix(_product(total, _powers(base, parts.shape[1])[1][starts]) + length))
+        return out[0], out[1]
 
     def paragraphs(self, least: int) -> np.ndarray:
         return np.flatnonzero(self.line_words >= least)
@@ -132,7 +165,8 @@ def _steps(column: pa.Array) -> Iterator[tuple[int, int, Units]]:
 
 
 def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """id, first, words, k1, k2 of every paragraph and block, again (its text has had an equal one), and the paragraphs' band keys (null for a block)."""
+    """id, first, words, k1, k2 of every paragraph and block, again (its text has had an equal one), and the paragraphs' set sizes, sketches and band keys (null for a block)."""
+    names = ["n", *SKETCH, *[f"b{i}" for i in range(bands)]]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,6 +175,8 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 lines = units.paragraphs(MIN_WORDS)
                 members, n = units.shingles(lines, SHINGLE)
                 bands_of = band_keys(members, n, bands, rows) if len(lines) else np.zeros((0, bands), K.U64)
+                members, owner = K.distinct(members, np.repeat(np.arange(len(lines)), n))
+                traits = np.column_stack([np.bincount(owner, minlength=len(lines)), parities(members, owner, len(lines), SKETCH_BITS), bands_of.view(np.int64)])
                 blocks = units.blocks(MIN_WORDS)
                 starts = np.concatenate([units.line_first[lines], blocks])
                 words = np.concatenate([units.line_words[lines], np.full(len(blocks), MIN_WORDS)])
@@ -154,35 +190,35 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     "id": ids.take(pa.array(row)), "first": pa.array((starts - units.words.first[row]).astype(np.int32)), "words": pa.array(words.astype(np.int32)),
                     "k1": pa.array(k1.view(np.int64)), "k2": pa.array(k2.view(np.int64)), "again": pa.array(again),
                 }
-                for i in range(bands):
-                    made[f"b{i}"] = pa.concat_arrays([pa.array(np.ascontiguousarray(bands_of[:, i]).view(np.int64)), pa.nulls(len(blocks), pa.int64())])
+                for i, c in enumerate(names):
+                    made[c] = pa.concat_arrays([pa.array(np.ascontiguousarray(traits[:, i])), pa.nulls(len(blocks), pa.int64())])
                 yield K.batch(made)
+        K.release()
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(sign, f"id {kind}, first int, words int, k1 long, k2 long, again boolean, " + ", ".join(f"b{i} long" for i in range(bands)))
+    return docs.mapInArrow(sign, f"id {kind}, first int, words int, k1 long, k2 long, again boolean, " + ", ".join(f"{c} long" for c in names))
 
 
-def paragraph_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text) of the paragraphs that ``nodes`` (node struct<id, first>) names."""
-    wanted = nodes.select("node.id", "node.first").groupBy("id").agg(F.collect_set("first").alias("firsts"))
-    picked = docs.join(small_side(staged(wanted, "wanted")), "id").select("id", "text", "firsts")
+def paragraph_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the paragraphs ``wanted`` (node, id, first)."""
+    lists = staged(wanted.groupBy("id").agg(F.collect_list("node").alias("node"), F.collect_list("first").alias("firsts")), "lists")
+    picked = docs.join(small_side(lists), "id").select("text", "node", "firsts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = K.buffers(batch.column(1))
+            data, offsets = K.buffers(batch.column(0))
             for a, b in K.row_slices(offsets, STEP_BYTES):
                 part = data[offsets[a] : offsets[b]]
                 units, raw = Units(part, offsets[a : b + 1] - offsets[a]), part.tobytes()
-                lists = batch.column(2).slice(a, b - a)
-                row = np.repeat(np.arange(b - a), lists.value_lengths().to_numpy(zero_copy_only=False))
-                first = lists.flatten().to_numpy()
-                starts = units.words.first[row] + first
-                lasts = units.line_first[np.searchsorted(units.line_first, starts) + 1] - 1
+                nodes, firsts = (batch.column(i).slice(a, b - a) for i in (1, 2))
+                row = np.repeat(np.arange(b - a), firsts.value_lengths().to_numpy(zero_copy_only=False))
+                starts = units.words.first[row] + firsts.flatten().to_numpy()
+                lasts = units.line_first[np.searchsorted(units.line_first, starts, side="right")] - 1
                 texts = [raw[s:e].decode() for s, e in zip(units.words.starts[starts].tolist(), units.words.ends[lasts].tolist(), strict=True)]
-                yield K.batch({"id": batch.column(0).slice(a, b - a).take(pa.array(row)), "first": pa.array(first), "text": pa.array(texts, pa.string())})
+                yield K.batch({"node": nodes.flatten(), "text": pa.array(texts, pa.string())})
+        K.release()
 
-    made = picked.mapInArrow(cut, f"id {docs.schema['id'].dataType.simpleString()}, first int, text string")
-    return made.select(F.struct("id", "first").alias("node"), "text").dropDuplicates(["node"])
+    return picked.mapInArrow(cut, "node long, text string")
 
 
 def _most(allowed: np.ndarray, equal: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
@@ -219,7 +255,7 @@ def extended(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``found`` (id, first, words, keep_id, keep_first of repeated blocks) extended over all equal words around them."""
     pairs = staged(found.groupBy("id", "keep_id").agg(F.collect_list(F.struct("first", "keep_first")).alias("at")), "pairs")
     ends = staged(pairs.select(F.explode(F.array("id", "keep_id")).alias("id")).distinct(), "ends")
-    texts = staged(docs.join(small_side(ends), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "sides")
+    texts = staged(docs.join(small_side(ends), "id", "left_semi"), "sides")
     kept = texts.select(F.col("id").alias("keep_id"), F.col("text").alias("kept"))
     joined = pairs.join(texts, "id").join(kept, "keep_id").select("id", "keep_id", "at", "text", "kept")
 
@@ -236,6 +272,7 @@ def extended(docs: DataFrame, found: DataFrame) -> DataFrame:
                     "id": ids.take(pa.array(row)), "first": pa.array(first.astype(np.int32)), "words": pa.array(words.astype(np.int32)),
                     "keep_id": keep_ids.take(pa.array(row)), "keep_first": pa.array(keep_first.astype(np.int32)),
                 })
+        K.release()
 
     kind = docs.schema["id"].dataType.simpleString()
     return joined.mapInArrow(extend, f"id {kind}, first int, words int, keep_id {kind}, keep_first int")
@@ -246,26 +283,46 @@ def paragraph_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return K.distinct(*K.windows(words.hashes, words.first, SHINGLE))
 
 
-def repeated_units(docs: DataFrame) -> DataFrame:
-    """id, first, words, keep_id, keep_first of every paragraph or passage of ``docs`` (id, text) that stays elsewhere."""
+def named_texts(docs: DataFrame) -> DataFrame:
+    """One row (id, text) per id that isn't null: the smallest text where rows repeat an id."""
     docs = docs.filter(F.col("id").isNotNull())
+    if docs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        return docs
+    return docs.groupBy("id").agg(F.min("text").alias("text"))
+
+
+def repeated_units(docs: DataFrame) -> DataFrame:
+    """id, first, words, keep_id, keep_first of every paragraph or passage of ``docs`` (id, text; ids are unique) that stays elsewhere."""
     bands, rows = tune(THRESHOLD[0] / THRESHOLD[1], RECALL, MAX_BANDS)
     names = [f"b{i}" for i in range(bands)]
     units = staged(signatures(docs, bands, rows), "units")
-    place = F.struct("id", "first")
 
     # Paragraphs: distinct ones, then bands.
-    lines = units.filter(F.col("b0").isNotNull() & ~F.col("again"))
-    distinct = lines.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.min_by("first", "id").alias("first"), *[F.first(c).alias(c) for c in names])
-    distinct = staged(distinct, "distinct")
-    keyed = distinct.select("id", "first", F.explode(F.array(*names)).alias("key"))
+    lines = units.filter(F.col("b0").isNotNull())
+    columns = ["n", *SKETCH, *names]
+    # Of equal paragraphs of one text the first counts.
+    distinct = lines.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.min_by("first", F.when(~F.col("again"), F.col("id"))).alias("first"), *[F.first(c).alias(c) for c in columns], F.count(F.lit(1)).alias("rows"))
+    distinct = numbered(distinct, "distinct")
+    keyed = distinct.select("node", F.explode(F.array(*names)).alias("key"))
     shared = staged(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "shared")
-    buckets = staged(keyed.join(shared, "key").select("key", place.alias("node")), "buckets")
-    texts = staged(paragraph_texts(docs, buckets.select("node").distinct()), "texts")
-    labels = resolve(buckets, texts, paragraph_sets, SKETCH_BITS, THRESHOLD)
-    moved = labels.filter(F.col("node") != F.col("component")).select("node.id", "node.first", F.col("component.id").alias("to_id"), F.col("component.first").alias("to_first"))
-    kept_lines = distinct.select("k1", "k2", "id", "first").join(moved, ["id", "first"], "left")
-    kept_lines = kept_lines.select("k1", "k2", F.coalesce("to_id", "id").alias("keep_id"), F.coalesce("to_first", "first").alias("keep_first"))
+    buckets = staged(keyed.join(shared, "key"), "buckets")
+    active = distinct.select("node", "id", "first", "n", F.array(*SKETCH).alias("sketch")).join(buckets.select("node").distinct(), "node")
+    active = staged(active, "active")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        texts = staged(paragraph_texts(docs, active.select("node", "id", "first").join(ends, "node")), "texts")
+        return similar_pairs(pairs, texts, paragraph_sets, THRESHOLD)
+
+    labels = resolve(buckets, THRESHOLD, verify, active)
+    discard(shared, buckets, active)
+    in_component = staged(distinct.select("node", "k1", "k2", "id", "first").join(labels, "node").drop("node"), "in_component")
+    stays = in_component.groupBy("component").agg(F.min(F.struct("id", "first")).alias("stays"))
+    moved = in_component.join(stays, "component").select("k1", "k2", F.col("stays.id").alias("to_id"), F.col("stays.first").alias("to_first"))
+    again = distinct.filter("rows > 1").select("k1", "k2", F.col("id").alias("keep_id"), F.col("first").alias("keep_first"))
+    again = again.join(in_component.select("k1", "k2"), ["k1", "k2"], "left_anti")
+    kept_lines = staged(moved.select("k1", "k2", F.col("to_id").alias("keep_id"), F.col("to_first").alias("keep_first")).unionByName(again), "kept")
+    discard(distinct, in_component, labels)
 
     # Blocks: those that occur again.
     blocks = units.filter(F.col("b0").isNull())
@@ -275,32 +332,43 @@ def repeated_units(docs: DataFrame) -> DataFrame:
         rows = of.select("id", "first", "words", "k1", "k2").join(kept, ["k1", "k2"])
         return rows.filter((F.col("id") != F.col("keep_id")) | (F.col("first") != F.col("keep_first"))).select("id", "first", "words", "keep_id", "keep_first")
 
-    of_lines = elsewhere(units.filter(F.col("b0").isNotNull()), staged(kept_lines, "kept"))
+    of_lines = elsewhere(units.filter(F.col("b0").isNotNull()), kept_lines)
     return of_lines.unionByName(extended(docs, elsewhere(blocks, twice)))
 
 
+def merged(row: np.ndarray, first: np.ndarray, until: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, until) of the spans of each row where they touch or overlap put together, in order."""
+    if not len(row):
+        return row, first, until
+    order = np.lexsort((first, row))
+    row, first, until = row[order].astype(np.int64), first[order].astype(np.int64), until[order].astype(np.int64)
+    # Rows stand so far apart that the furthest end so far tells where a new span starts.
+    apart = int(until.max()) + 2
+    start, end = first + row * apart, np.maximum.accumulate(until + row * apart)
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = start[1:] > end[:-1]
+    last = np.append(np.flatnonzero(new)[1:], len(row)) - 1
+    return row[new], first[new], end[last] - row[last] * apart
+
+
 @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("until", T.IntegerType())])))
 def _merged(spans: pa.Array) -> pa.Array:
-    out = []
-    for row in spans.to_pylist():
-        merged: list[dict[str, int]] = []
-        for s in row:
-            if merged and s["first"] <= merged[-1]["until"]:
-                merged[-1]["until"] = max(merged[-1]["until"], s["until"])
-            else:
-                merged.append(s)
-        out.append(merged)
-    return pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("until", pa.int32())])))
+    counts = spans.value_lengths().to_numpy(zero_copy_only=False)
+    first, until = (c.to_numpy() for c in spans.flatten().flatten())
+    row, first, until = merged(np.repeat(np.arange(len(spans)), counts), first, until)
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(spans)))]).astype(np.int32)
+    inner = pa.StructArray.from_arrays([pa.array(first.astype(np.int32)), pa.array(until.astype(np.int32))], names=["first", "until"])
+    return pa.ListArray.from_arrays(pa.array(offsets), inner)
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key``, spans (first word, word after the last) to remove, n_words in them, and kept_in, the documents that keep the text."""
-    found = repeated_units(docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")))
+    found = repeated_units(named_texts(docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))))
     span = F.struct(F.col("first"), (F.col("first") + F.col("words")).alias("until"))
     per_doc = found.groupBy("id").agg(F.collect_set(span).alias("spans"), F.sort_array(F.collect_set("keep_id")).alias("kept_in"))
-    merged = per_doc.select("id", _merged(F.sort_array("spans")).alias("spans"), "kept_in")
+    spans = per_doc.select("id", _merged("spans").alias("spans"), "kept_in")
     n_words = F.aggregate("spans", F.lit(0), lambda n, s: n + s["until"] - s["first"])
-    return merged.select(F.col("id").alias(key), "spans", n_words.cast("long").alias("n_words"), "kept_in")
+    return spans.select(F.col("id").alias(key), "spans", n_words.cast("long").alias("n_words"), "kept_in")
 
 
 @F.arrow_udf(T.StringType())
@@ -320,8 +388,10 @@ def _cut(text: pa.Array, spans: pa.Array) -> pa.Array:
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` without the repeated spans in their texts; all rows and columns stay."""
+    """``docs`` without the repeated spans in their texts; all rows and columns stay. Rows that repeat an id with another text than the smallest stay as they are."""
     spans = staged(repeated_spans(docs, text, key).select(F.col(key).alias("__id"), F.col("spans").alias("__spans")), "spans")
     inner, named = anonymous(docs)
-    joined = inner.join(spans, named[key] == F.col("__id"), "left")
+    rows = inner.select(named[key].alias("id"), F.coalesce(named[text].cast("string"), F.lit("")).alias("text"))
+    marked = spans.join(named_texts(rows).select(F.col("id").alias("__id"), F.xxhash64("text").alias("__of")), "__id")
+    joined = inner.join(marked, (named[key] == F.col("__id")) & (F.xxhash64(named[text].cast("string")) == F.col("__of")), "left")
     return joined.select(*[_cut(c.cast("string"), F.col("__spans")).alias(name) if name == text else c.alias(name) for name, c in named.items()])

@@ -6,7 +6,8 @@ adjacent pairs. No vocabulary piece goes on from another character into the
 meta symbol (this is checked when the model is loaded), so merges never cross
 the start of a word and each distinct word is merged once. Words new to a
 worker are compared, a batch at a time, with the sentencepiece library; any
-difference raises. Decoding is the library's.
+difference raises. Words met before are looked up by their bytes. Decoding is
+the library's.
 
 Null text counts as empty: its only id is the end id. Rows are kept as they
 are; columns other than the id and the text are ignored.
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from docketlake.llm import kernels as K
 
 META = "▁"
-#: Distinct words, and their ids, that a worker remembers.
-REMEMBERED = 1_500_000
+#: Bytes that a worker may use to remember words and their ids, and what a word takes beside these.
+REMEMBERED_BYTES, WORD_BYTES = 48 << 20, 130
 STEP_BYTES = 2 << 20
 #: A longer text is cut at the starts of words into parts of about so many characters.
 PART_CHARS = 4 << 20
@@ -48,7 +49,6 @@ def text_parts(text: str) -> list[str]:
     return [*parts, text]
 
 
-
 class Codec:
     def __init__(self, path: str):
         import sentencepiece
@@ -131,9 +131,25 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.slot = np.zeros(0, K.U64), np.zeros(0, np.int64)
+        self.slots: dict[bytes, int] = {}
+        self.used = 0
         self.ids, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """Where the ids of each of some distinct words stand: a number into ``starts``."""
+        new = [w for w in words if w not in self.slots]
+        if new:
+            merged = self.codec.words([w.decode() for w in new])
+            lengths = np.fromiter(map(len, merged), np.int64, len(merged))
+            self.used += sum(map(len, new)) + WORD_BYTES * len(new) + 4 * int(lengths.sum())
+            if self.used > REMEMBERED_BYTES and self.slots:
+                self.clear()
+                return self.places(words)
+            self.slots.update(zip(new, range(len(self.starts) - 1, len(self.starts) - 1 + len(new)), strict=True))
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
+            self.ids = np.concatenate([self.ids, np.fromiter((i for ids in merged for i in ids), np.int32, int(lengths.sum()))])
+        return np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids without end ids, ids per row)."""
         if len(column) == 1 and len(column[0].as_py() or "") > PART_CHARS:
@@ -155,28 +171,8 @@ class Encoder:
         start[offsets[:-1][sizes > 0]] = True
         starts = np.flatnonzero(start)
         ends = np.append(starts[1:], len(data))
-        hashes = K.runs_hashed(data, starts, ends)
-        keys, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > REMEMBERED:
-            self.clear()
-        place = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), dtype=bool)
-        inside = place < len(self.keys)
-        known[inside] = self.keys[place[inside]] == keys[inside]
-        if not known.all():
-            new = np.flatnonzero(~known)
-            words = [raw[s:e].decode() for s, e in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)]
-            merged = self.codec.words(words)
-            lengths = np.fromiter(map(len, merged), np.int64, len(merged))
-            flat = np.fromiter((i for ids in merged for i in ids), np.int32, int(lengths.sum()))
-            slots = np.arange(len(self.starts) - 1, len(self.starts) - 1 + len(new))
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
-            self.ids = np.concatenate([self.ids, flat])
-            both = np.concatenate([self.keys, keys[new]])
-            order = np.argsort(both, kind="stable")
-            self.keys, self.slot = both[order], np.concatenate([self.slot, slots])[order]
-            place = np.searchsorted(self.keys, keys)
-        slot = self.slot[place][inverse]
+        at, inverse = K.distinct_runs(data, starts, ends)
+        slot = self.places([raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])[inverse]
         begin, length = self.starts[slot], self.starts[slot + 1] - self.starts[slot]
         total = np.concatenate([[0], np.cumsum(length)])
         flat_at = np.arange(total[-1]) - np.repeat(total[:-1], length) + np.repeat(begin, length)
@@ -225,6 +221,7 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", key:
                 if with_output:
                     made |= {"ids": pa.array(ids_out, pa.list_(pa.int32())), "decoded": pa.array(outs, pa.string())}
                 yield K.batch(made)
+        K.release()
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()

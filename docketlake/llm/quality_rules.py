@@ -62,8 +62,10 @@ def _copies(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """The metrics of each text of a buffer."""
-    words = K.Words(data, offsets)
     n = len(offsets) - 1
+    if not len(data):
+        return {m: np.zeros(n, np.int64) for m in METRICS}
+    words = K.Words(data, offsets)
     code_points = (data & 0xC0) != 0x80
     blank = K.SPACE[data]
     out = {"n_words": words.counts, "word_chars": _per_row(code_points & ~blank, offsets), "n_symbols": _per_row(_SYMBOL[data], offsets)}
@@ -98,6 +100,7 @@ def _measured(text: pa.Array) -> pa.Array:
     data, offsets = K.buffers(text)
     parts = [measure(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in K.row_slices(offsets)]
     columns = [np.concatenate([p[m] for p in parts]) if parts else np.zeros(0, np.int64) for m in METRICS]
+    K.release()
     return pa.StructArray.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=list(METRICS))
 
 
@@ -123,24 +126,29 @@ def host_verdicts(judged: DataFrame, host: str = "host", failed: str = "failed",
     hosts' raw rates: s = m (1 - m) / v - 1, at least 1; without variance all
     hosts take the common rate.
     """
-    hosts = judged.groupBy(host).agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col(failed)).alias("n_failed"))
+    # Written, as both the prior and the verdicts read it.
+    hosts = staged(judged.groupBy(host).agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col(failed)).alias("n_failed")), "host_sums")
     prior = hosts.select((F.col("n_failed") / F.col("n_docs")).alias("raw")).agg(F.avg("raw").alias("m"), F.var_pop("raw").alias("v"))
     prior = prior.select("m", F.when(F.col("v") > 0, F.greatest(F.col("m") * (1 - F.col("m")) / F.col("v") - 1, F.lit(1.0))).otherwise(F.lit(1e12)).alias("s"))
     rate = (F.col("n_failed") + F.col("m") * F.col("s")) / (F.col("n_docs") + F.col("s"))
     return hosts.join(F.broadcast(prior)).select(host, "n_docs", "n_failed", rate.alias("rate"), (rate > max_rate).alias("suspect"))
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE, with_text: bool = True) -> DataFrame:
     """``docs`` with the metrics, base_failed, suspect_host and kept.
 
-    Texts are read twice, once for the hosts' sums and once for the result, and
-    are never shuffled while the host table is small enough for Spark to
-    broadcast by its own size check.
+    Texts are never shuffled while the host table is small enough for Spark to
+    broadcast by its own size check. They are measured twice, once for the
+    hosts' sums and once for the result; without the column of texts
+    (``with_text``) they are measured once and what is measured is written.
     """
     results = [*METRICS, "base_failed", "suspect_host", "kept"]
     inner, named = anonymous(docs)
     key = F.coalesce(F.concat(F.lit("="), named[host].cast("string")), F.lit(""))
     measured = inner.withColumns({"host": key, "m": _measured(F.coalesce(named[text].cast("string"), F.lit("")))})
+    if not with_text:
+        named = {name: c for name, c in named.items() if name != text}
+        measured = staged(measured.select(*named.values(), "host", "m"), "measured")
     m = F.col("m")
     measured = measured.withColumns({"base": base_failed(m), "soft": soft_failed(m)})
     verdicts = staged(host_verdicts(measured.select("host", (F.col("base") | F.col("soft")).alias("failed")), max_rate=max_rate), "hosts")

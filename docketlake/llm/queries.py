@@ -27,7 +27,7 @@ def vocabulary(name: str) -> str:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), with_text=False)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -56,7 +56,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), with_text=False)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

@@ -1,14 +1,19 @@
 """From buckets of candidates to components of verified links.
 
 Nodes that share a bucket are candidates. To test every pair within a bucket
-would be quadratic in copies, so a round tests every node against one hub of
-each of its buckets, links what passes, and drops buckets whose nodes are all
-in one component. What is left is tested pair by pair, between components
-only: two candidates that are similar end in one component, whichever step
-joins them. Pairs are screened by sizes and sketches of the sets, which loses
-none. Buckets of many nodes go through this in blocks: short texts are verified
-within a task, which passes on a spanning forest of the links; of long ones the
-pairs that the sketches allow are passed on.
+would be quadratic in copies, so only buckets of a few nodes are tested pair by
+pair at once. Of a larger one every node is tested against one hub, what passes
+is linked, and buckets whose nodes are all in one component are dropped. What
+is left is tested pair by pair, between components only: two candidates that
+are similar end in one component, whichever step joins them. Buckets of many
+nodes go through this in blocks of bounded size, and nodes of a bucket's
+largest component meet only those outside of it. A block first passes on a
+spanning forest of the pairs that sketches of the sets allow, to be verified,
+and only then the allowed pairs between what are still different components.
+Sketches lose no link.
+
+Nodes are numbers of distinct contents, so ties can't arise; an empty table of
+buckets gives no labels.
 """
 
 from __future__ import annotations
@@ -22,59 +27,56 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docketlake.llm.components import connected_components
-from docketlake.llm.sets import Sets, similar_pairs, traits_of
-from docketlake.llm.storage import staged
+from docketlake.llm.storage import discard, staged
 
 #: Further hub rounds run while pairs left outnumber bucket rows by this factor.
 PAIRS_PER_ROW = 256
-MAX_HUB_ROUNDS = 2
-#: Buckets of more nodes than SMALL are compared in blocks of at most BLOCK.
-SMALL, BLOCK = 24, 256
+MAX_HUB_ROUNDS = 3
+#: Buckets of at most TINY nodes are tested at once; those of more than SMALL are compared in blocks of at most BLOCK.
+TINY, SMALL, BLOCK = 6, 100, 1024
+
+#: Of pairs (a, b) those that are links.
+Verify = Callable[[DataFrame], DataFrame]
 
 
 def _relabel(labels: DataFrame | None, found: DataFrame, rows: int) -> DataFrame:
     """Labels (node, component) after links (a, b) between nodes: only what they join is worked on."""
-    ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     if labels is None:
         return staged(connected_components(found), "labels", rows)
+    ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     fresh = ends.join(labels.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
     known = staged(labels.unionByName(fresh), "known", rows)
     end = lambda x: known.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
     joins = found.join(end("a"), "a").join(end("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    merged = staged(connected_components(joins), "merged", rows).select(F.col("node").alias("component"), F.col("component").alias("to"))
-    return staged(known.join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels", rows)
+    merged = staged(connected_components(joins), "merged", rows)
+    to = merged.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    out = staged(known.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels", rows)
+    discard(labels, known, merged)
+    return out
 
 
-def block_links(members: np.ndarray, rows: np.ndarray, left: np.ndarray, right: np.ndarray, label: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
-    """Whether the sets ``left`` and ``right`` of a group are similar, for pairs of different labels; counts members in common by products of 0/1 tables."""
-    p, q = threshold
-    size = np.bincount(rows, minlength=len(label))
-    values, number = np.unique(members, return_inverse=True)
-    shared = np.bincount(number, minlength=len(values)) > 1
-    column = np.cumsum(shared) - 1
-    keep = shared[number]
-    rows, column = rows[keep], column[number[keep]]
-    common = np.zeros((len(left), len(right)), np.float32)
-    for start in range(0, int(shared.sum()), 4096):
-        inside = (column >= start) & (column < start + 4096)
-        table = np.zeros((len(label), 4096), np.float32)
-        table[rows[inside], column[inside] - start] = 1
-        common += table[left] @ table[right].T
-    total = size[left][:, None] + size[right][None]
-    return (common > 0) & ((p + q) * common.astype(np.int64) >= p * total) & (label[left][:, None] != label[right][None])
-
-
-def forest(links: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place, smallest place of its component) for each of ``n`` places that the links join to a smaller one."""
-    least = np.arange(n)
-    while True:
-        before = least.copy()
-        np.minimum.at(least, left, np.where(links, least[right][None], n).min(axis=1, initial=n))
-        np.minimum.at(least, right, np.where(links, least[left][:, None], n).min(axis=0, initial=n))
-        if (before == least).all():
-            break
-    moved = np.flatnonzero(least != np.arange(n))
-    return moved, least[moved]
+def spanning(links: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of at most one link per place, which together join all that the links join: a breadth-first forest over them."""
+    parent, out = np.full(n, -1), []
+    columns, rows = links.T.copy(), links
+    at_left, at_right = np.full(n, -1), np.full(n, -1)
+    at_left[left], at_right[right] = np.arange(len(left)), np.arange(len(right))
+    linked = np.zeros(n, dtype=bool)
+    linked[left[links.any(axis=1)]] = linked[right[links.any(axis=0)]] = True
+    for root in np.flatnonzero(linked).tolist():
+        if parent[root] >= 0:
+            continue
+        parent[root], queue = root, [root]
+        for x in queue:
+            near = [right[rows[at_left[x]]]] if at_left[x] >= 0 else []
+            near += [left[columns[at_right[x]]]] if at_right[x] >= 0 else []
+            for y in np.unique(np.concatenate(near)).tolist():
+                if parent[y] < 0:
+                    parent[y] = x
+                    queue.append(y)
+                    out.append((x, y))
+    ends = np.array(out, np.int64).reshape(-1, 2)
+    return ends[:, 0], ends[:, 1]
 
 
 def sketch_links(sketch: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray, label: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
@@ -89,110 +91,114 @@ def sketch_links(sketch: np.ndarray, size: np.ndarray, left: np.ndarray, right:
     return out
 
 
-def _blocked(rows: DataFrame, sets: Sets | None, threshold: tuple[int, int]) -> DataFrame:
-    """(a, b) over large buckets (key, size, node, label), block by block.
-
-    With ``sets`` and a column text the links are verified here, and a spanning
-    forest of them comes out; without, with columns n and sketch, the pairs
-    that these allow.
-    """
+def _blocked(rows: DataFrame, threshold: tuple[int, int], every_pair: bool) -> DataFrame:
+    """(a, b) over large buckets (key, size, most, top, node, label, n, sketch), block by block: a spanning forest of the pairs that sizes and sketches allow, or with ``every_pair`` all of them."""
 
     def compare(_key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         column = lambda c: table.column(c).combine_chunks()
-        own, label, node = column("own").to_numpy(), column("label").to_numpy(), column("node")
+        own, label, node = column("own").to_numpy(), column("label").to_numpy(), column("node").to_numpy()
         i, j = column("i")[0].as_py(), column("j")[0].as_py()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         a = b = np.zeros(0, np.int64)
         if len(left) and len(right) and (label != label[0]).any():
-            if sets is not None:
-                a, b = forest(block_links(*sets(column("text")), left, right, label, threshold), left, right, len(own))
-            else:
-                sketch = column("sketch").flatten().to_numpy().view(np.uint64).reshape(len(own), -1)
-                x, y = np.nonzero(sketch_links(sketch, column("n").to_numpy(), left, right, label, threshold))
+            sketch = column("sketch").flatten().to_numpy().view(np.uint64).reshape(len(own), -1)
+            allowed = sketch_links(sketch, column("n").to_numpy(), left, right, label, threshold)
+            if every_pair:
+                x, y = np.nonzero(allowed)
                 a, b = left[x], right[y]
                 once = (a < b) if i == j else np.ones(len(a), dtype=bool)
                 a, b = a[once], b[once]
-        return pa.table({"a": node.take(pa.array(a)), "b": node.take(pa.array(b))})
-
-    carried = ["text"] if sets is not None else ["n", "sketch"]
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    placed = rows.select("key", "node", F.xxhash64("label").alias("label"), *carried, own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    placed = placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", *carried)
-    node = rows.schema["node"].dataType
-    return placed.groupBy("key", "i", "j").applyInArrow(compare, T.StructType([T.StructField("a", node), T.StructField("b", node)]))
-
-
-def _sizes_allow(x: str, y: str, threshold: tuple[int, int]) -> Column:
-    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    return at_least(threshold, F.least(n, m), n, m)
-
+            else:
+                a, b = spanning(allowed, left, right, len(own))
+        a, b = node[a], node[b]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-def _allowed(x: str, y: str, threshold: tuple[int, int]) -> Column:
-    """Whether sizes and sketches of two rows allow the index."""
-    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    apart = F.aggregate(F.zip_with(F.col(f"{x}.sketch"), F.col(f"{y}.sketch"), lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda total, v: total + v)
-    return _sizes_allow(x, y, threshold) & at_least(threshold, F.floor((n + m - apart) / 2), n, m)
+    # Blocks 0 to nd - 1 hold the largest component, which meets only the nr blocks of the rest.
+    top = F.col("label") == F.col("top")
+    nd, nr = F.ceil(F.col("most") / BLOCK).cast("int"), F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int")
+    h = F.xxhash64("node")
+    own = F.when(top, F.pmod(h, nd)).otherwise(nd + F.pmod(h, nr)).cast("int")
+    placed = rows.select("key", "node", "label", "n", "sketch", own.alias("own"), F.explode(F.sequence(F.when(top, nd).otherwise(0), nd + nr - 1)).alias("other"))
+    placed = placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "sketch")
+    return placed.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def resolve(buckets: DataFrame, texts: DataFrame, sets: Sets, bits: int, threshold: tuple[int, int], may_link: Callable[[str, str], Column] | None = None, short: bool = True) -> DataFrame:
+def resolve(buckets: DataFrame, threshold: tuple[int, int], verify: Verify, content: DataFrame, may_link: Callable[[str, str], Column] | None = None) -> DataFrame:
     """(node, component) of all nodes with a link.
 
-    ``buckets`` (a written table): key, node and what ``may_link`` needs;
-    ``texts`` (written too): node and text, of which ``sets`` makes the sets to
-    compare; ``bits`` of a sketch screen pairs; blocks hold the texts if these
-    are ``short``, else the sketches; ``may_link`` takes two aliases
-    of bucket rows and gives a cheap necessary condition.
+    ``buckets`` (a written table): key, node (a long) and what ``may_link``
+    needs, which takes prefixes of the columns of two bucket rows and gives a
+    cheap necessary condition; ``verify`` tells which pairs are links;
+    ``content`` (written too) has each node's n and sketch, the size and the
+    sketch of its set.
     """
-    traits = staged(traits_of(texts, sets, bits), "traits")
     extra = [c for c in buckets.columns if c not in ("key", "node")]
-    rows = buckets.count()
-    labels = None
-
-    def screened(pairs: DataFrame) -> DataFrame:
-        side = lambda end: traits.select(F.col("node").alias(end), "n", "sketch").alias(end)
-        met = staged(pairs, "met")
-        return staged(met.join(side("a"), "a").join(side("b"), "b").filter(_allowed("a", "b", threshold)).select("a", "b"), "pairs")
-
     condition = may_link or (lambda x, y: F.lit(True))
-    for turn in range(MAX_HUB_ROUNDS + 1):
-        if labels is None:
-            open_rows, left = buckets.withColumn("label", F.col("node")), None
-        else:
-            labelled = staged(buckets.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"), "labelled", rows)
-            per_label = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-            per_key = per_label.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("squares"))
-            open_keys = staged(per_key.filter("labels > 1").select("key", "size", ((F.col("size") * F.col("size") - F.col("squares")) / 2).alias("pairs")), "open", rows)
-            left = open_keys.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
-            if not left:
-                break
-            open_rows = staged(labelled.join(open_keys.select("key", "size"), "key"), "open_rows", rows)
-        ends = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
-        last = left is not None and (left <= PAIRS_PER_ROW * rows or turn == MAX_HUB_ROUNDS)
-        if last:
-            few = open_rows.filter(F.col("size") <= SMALL).select("key", "node", "label", *extra)
-            few = few if "n" in extra else few.join(traits.select("node", "n"), "node")
-            few = staged(few, "few", rows)
-            between = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & _sizes_allow("x", "y", threshold) & condition("x", "y")
-            pairs = screened(few.alias("x").join(few.alias("y"), between).select(*ends).distinct())
-            many = open_rows.filter(F.col("size") > SMALL).select("key", "size", "node", "label").join(texts if short else traits, "node")
-            blocked = _blocked(many, sets if short else None, threshold)
-            if not short:
-                pairs, blocked = staged(pairs.unionByName(blocked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "pairs"), None
-        else:
-            # The smallest node is the first hub; later rounds take others.
-            rank = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-            hub = open_rows.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "node", "label", *extra)).alias("h"))
-            hubs = staged(hub.select("key", "h.node", "h.label", *[f"h.{c}" for c in extra]), "hubs", rows)
-            met = (F.col("x.node") != F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & condition("x", "y")
-            pairs = open_rows.alias("x").join(hubs.alias("y"), F.col("x.key") == F.col("y.key")).filter(met).select(*ends).distinct()
-            pairs = screened(pairs)
-        links = similar_pairs(pairs, texts, sets, threshold)
-        found = staged(links.unionByName(blocked) if last and short else links, "links")
+    rows, labels = buckets.count(), None
+    content = content.select("node", "n", "sketch")
+    ordered = [F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")]
+    side = lambda of, x: of.select("key", *[F.col(c).alias(f"{x}{c}") for c in of.columns if c != "key"])
+
+    def link(pairs: DataFrame) -> None:
+        """Screen the pairs by the sketches, verify them, add the links, and merge labels."""
+        nonlocal labels
+        end = lambda x: content.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch"))
+        allowed = staged(pairs.distinct().join(end("a"), "a").join(end("b"), "b").filter(_sketches_allow(threshold, "a_", "b_")).select("a", "b"), "allowed")
+        found = staged(verify(allowed), "links")
         labels = _relabel(labels, found, rows)
-        if last:
+        discard(allowed, found)
+
+    def hubs(of: DataFrame, turn: int) -> DataFrame:
+        """The smallest node of each bucket, in later rounds the one of the smallest hash, as columns y_."""
+        rank = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
+        picked = [(F.min("node") if c == "node" and turn == 0 else F.min_by(c, rank)).alias(f"y_{c}") for c in of.columns if c in ("node", "label", *extra)]
+        return of.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *picked)
+
+    def still_open(of: DataFrame) -> tuple[DataFrame | None, int]:
+        """``of`` with label, and size, top and most of the largest component, in buckets with several components; and the pairs between these."""
+        labelled = staged(of.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"), "labelled", rows)
+        per_label = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+        per_key = per_label.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.max("n").alias("most"), F.max_by("label", "n").alias("top"))
+        pairs = ((F.col("size") * F.col("size") - F.col("squares")) / 2).alias("pairs")
+        keys = staged(per_key.filter("labels > 1").select("key", "size", "most", "top", pairs), "open", rows)
+        left = keys.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
+        kept = staged(labelled.join(keys.drop("pairs"), "key"), "open_rows", rows) if left else None
+        discard(labelled, keys)
+        return kept, left
+
+    # Tiny buckets pair by pair, the others against their hubs; of a pair of nodes one is the hub.
+    met = staged(side(buckets, "x_").join(hubs(buckets, 0), "key"), "met", rows)
+    to_hub = met.filter((F.col("x_node") != F.col("y_node")) & condition("x_", "y_")).select(*ordered)
+    tiny = met.filter(F.col("size").between(3, TINY)).select("key", *[F.col(f"x_{c}").alias(c) for c in ("node", *extra)])
+    among = side(tiny, "x_").join(side(tiny, "y_"), "key").filter((F.col("x_node") < F.col("y_node")) & condition("x_", "y_")).select(*ordered)
+    link(to_hub.unionByName(among))
+    rest = staged(met.filter(F.col("size") > TINY).select("key", *[F.col(f"x_{c}").alias(c) for c in ("node", *extra)]), "rest", rows)
+    discard(met)
+    turn = 0
+    while True:
+        turn += 1
+        now, left = still_open(rest)
+        if now is None:
+            discard(rest)
+            return labels
+        if left <= PAIRS_PER_ROW * rows or turn >= MAX_HUB_ROUNDS:
             break
+        of = now.select("key", "node", "label", *extra)
+        link(side(of, "x_").join(hubs(of, turn), "key").filter((F.col("x_label") != F.col("y_label")) & condition("x_", "y_")).select(*ordered))
+        discard(now)
+
+    few = staged(now.filter(F.col("size") <= SMALL).select("key", "node", "label", *[c for c in extra if c != "n"]).join(content, "node"), "few", rows)
+    between = (F.col("x_node") < F.col("y_node")) & (F.col("x_label") != F.col("y_label")) & condition("x_", "y_")
+    among = side(few, "x_").join(side(few, "y_"), "key").filter(between).filter(_sketches_allow(threshold, "x_", "y_")).select(*ordered)
+    held = lambda df: df.filter(F.col("size") > SMALL).select("key", "size", "most", "top", "node", "label").join(content, "node")
+    many = staged(now.filter(F.col("size") > SMALL).select("key", "node"), "many", rows)
+    link(among.unionByName(_blocked(held(now), threshold, False)))
+    discard(now, few, rest)
+    now, left = still_open(many)
+    if now is not None:
+        link(_blocked(held(now), threshold, True))
+    discard(now, many)
     return labels
 
 
@@ -200,3 +206,10 @@ def at_least(threshold: tuple[int, int], common: Column, a: Column, b: Column) -
     """common / (a + b - common) >= p / q in integers, for ``threshold`` = (p, q)."""
     p, q = threshold
     return (p + q) * common >= p * (a + b)
+
+
+def _sketches_allow(threshold: tuple[int, int], x: str, y: str) -> Column:
+    """Whether sizes and sketches of two nodes, columns with these prefixes, allow the index."""
+    n, m = F.col(f"{x}n"), F.col(f"{y}n")
+    apart = F.aggregate(F.zip_with(f"{x}sketch", f"{y}sketch", lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda total, v: total + v)
+    return at_least(threshold, F.least(n, m), n, m) & at_least(threshold, F.floor((n + m - apart) / 2), n, m)

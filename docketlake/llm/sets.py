@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docketlake.llm import kernels as K
-from docketlake.llm.storage import small_side
 
 #: Bytes of text compared at once.
 STEP_BYTES = 1 << 20
@@ -44,30 +43,19 @@ def parities(members: np.ndarray, rows: np.ndarray, n: int, bits: int) -> np.nda
     Two sketches differ in at most as many bits as the sets do in members, so
     sets that are similar enough never look too different.
     """
-    at = rows * bits + (members % K.U64(bits)).astype(np.int64)
-    odd = np.bincount(at, minlength=n * bits).astype(np.uint8) & 1
-    return np.packbits(odd.reshape(n, bits), axis=1).view(np.int64)
-
-
-def traits_of(texts: DataFrame, sets: Sets, bits: int) -> DataFrame:
-    """(node, n, sketch) of ``texts`` (node, text): set sizes and sketches."""
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, offsets = K.buffers(batch.column(1))
-            for a, b in K.row_slices(offsets, STEP_BYTES):
-                for c in range(a, b, 1024):  # many short texts: bounds the table of bits
-                    d = min(b, c + 1024)
-                    members, rows = sets(batch.column(1).slice(c, d - c))
-                    sketch = K.list_column(parities(members, rows, d - c, bits).ravel(), np.full(d - c, bits // 64))
-                    yield K.batch({"node": batch.column(0).slice(c, d - c), "n": pa.array(np.bincount(rows, minlength=d - c)), "sketch": sketch})
-
-    schema = T.StructType([texts.schema["node"], T.StructField("n", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
-    return texts.select("node", "text").mapInArrow(measure, schema)
+    out = np.empty((n, bits // 64), np.int64)
+    first = np.searchsorted(rows, np.arange(n + 1))
+    for a in range(0, n, 1024):  # bounds the table of bits
+        b = min(n, a + 1024)
+        part = slice(first[a], first[b])
+        at = (rows[part] - a) * bits + (members[part] % K.U64(bits)).astype(np.int64)
+        odd = np.bincount(at, minlength=(b - a) * bits).astype(np.uint8) & 1
+        out[a:b] = np.packbits(odd.reshape(b - a, bits), axis=1).view(np.int64)
+    return out
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, sets: Sets, threshold: tuple[int, int]) -> DataFrame:
-    """Of ``pairs`` (a, b; a written table), those whose ``texts`` (node, text) have sets with a Jaccard index of at least p / q."""
+    """Of ``pairs`` (a, b), those whose ``texts`` (node, text; written) have sets with a Jaccard index of at least p / q."""
     p, q = threshold
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,10 +66,9 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, sets: Sets, threshold: tup
                 common, na, nb = common_counts(sets(left.slice(a, b - a)), sets(right.slice(a, b - a)), b - a)
                 passed = (common > 0) & ((p + q) * common >= p * (na + nb))
                 yield batch.select([0, 1]).slice(a, b - a).filter(pa.array(passed))
+        K.release()
 
-    # Few pairs go to the texts; of many, pairs and texts are shuffled by node.
-    some = small_side(pairs)
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")).join(some, "a")
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb")).join(some.select("b"), "b", "left_semi")
-    joined = left.join(right, "b")
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
+    joined = pairs.join(left, "a").join(right, "b")
     return joined.select("a", "b", "ta", "tb").mapInArrow(keep, T.StructType([pairs.schema["a"], pairs.schema["b"]]))

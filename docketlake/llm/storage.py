@@ -14,10 +14,17 @@ _written: list[tuple[object, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one where it is unset (local runs)."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary folder serves a local master; on a cluster
+    that is an error, as each machine would see a folder of its own.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     fallback = "file://" + tempfile.mkdtemp(prefix="docketlake-")
     spark.conf.set("spark.checkpoint.dir", fallback)
     return fallback
@@ -38,24 +45,44 @@ def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet and read it back: later steps neither recompute it nor depend on executors' disks.
 
     Where the number of ``rows`` is known to be small, few tasks write them;
-    many rows keep all the partitions they have.
+    many rows keep all the partitions they have. ``discard`` deletes the table
+    before the driver ends.
     """
     path = new_path(df.sparkSession, name)
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
-    df.write.parquet(path)
+    # Hashes and sketches, most of what is written, have no dictionary worth building.
+    df.write.option("parquet.enable.dictionary", "false").parquet(path)
     if rows is None:
         _release(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._docketlake_path = path
+    return out
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``staged`` with a column node, a number that no other row has. Only what is written counts: a repeated task may number its rows anew."""
+    return staged(df.withColumn("node", F.monotonically_increasing_id()), name)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that ``staged`` returned and that no later step reads."""
+    for table in tables:
+        if (path := getattr(table, "_docketlake_path", None)) is not None:
+            delete(table.sparkSession, path)
+            _written[:] = [entry for entry in _written if entry[1] != path]
 
 
-#: Rows of ids that are sent to all tasks; a larger side is joined by shuffle.
-BROADCAST_ROWS = 200_000
+#: Bytes on disk of a written table that may be sent to all tasks.
+BROADCAST_BYTES = 4 << 20
 
 
-def small_side(df: DataFrame) -> DataFrame:
-    """A written table of ids, marked for broadcast if its counted rows are within the bound."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def small_side(table: DataFrame) -> DataFrame:
+    """A table that ``staged`` returned, marked for broadcast if its files are within the bound; a larger one is joined as Spark decides."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._docketlake_path)
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table
 
 
 def _release(spark: SparkSession) -> None:
