@@ -174,12 +174,13 @@ def line_components(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[in
     active = distinct.select("node", "id", "line", "k1", "n", F.array(*SKETCH).alias("sketch")).join(buckets.select("node").distinct(), "node")
     active = staged(active, "active")
 
+    def texts(nodes: DataFrame) -> DataFrame:
+        return staged(line_texts(docs, active.select("node", "id", "line", "k1").join(nodes, "node")), "texts")
+
     def verify(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        texts = staged(line_texts(docs, active.select("node", "id", "line", "k1").join(ends, "node")), "texts")
-        return similar_pairs(pairs, texts, line_sets(shingle), threshold)
+        return similar_pairs(pairs, texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), line_sets(shingle), threshold)
 
-    labels = resolve(buckets, threshold, verify, active)
+    labels = resolve(buckets, threshold, verify, active, sets=line_sets(shingle), texts=texts)
     discard(shared, buckets, active)
     place = F.struct("id", "line", "k1", "k2")
     in_component = staged(distinct.select("node", "k1", "k2", "id", "line").join(labels, "node").drop("node"), "in_component")

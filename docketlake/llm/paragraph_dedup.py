@@ -309,12 +309,13 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     active = distinct.select("node", "id", "first", "n", F.array(*SKETCH).alias("sketch")).join(buckets.select("node").distinct(), "node")
     active = staged(active, "active")
 
+    def texts(nodes: DataFrame) -> DataFrame:
+        return staged(paragraph_texts(docs, active.select("node", "id", "first").join(nodes, "node")), "texts")
+
     def verify(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        texts = staged(paragraph_texts(docs, active.select("node", "id", "first").join(ends, "node")), "texts")
-        return similar_pairs(pairs, texts, paragraph_sets, THRESHOLD)
+        return similar_pairs(pairs, texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), paragraph_sets, THRESHOLD)
 
-    labels = resolve(buckets, THRESHOLD, verify, active)
+    labels = resolve(buckets, THRESHOLD, verify, active, sets=paragraph_sets, texts=texts)
     discard(shared, buckets, active)
     in_component = staged(distinct.select("node", "k1", "k2", "id", "first").join(labels, "node").drop("node"), "in_component")
     stays = in_component.groupBy("component").agg(F.min(F.struct("id", "first")).alias("stays"))

@@ -7,10 +7,11 @@ is linked, and buckets whose nodes are all in one component are dropped. What
 is left is tested pair by pair, between components only: two candidates that
 are similar end in one component, whichever step joins them. Buckets of many
 nodes go through this in blocks of bounded size, and nodes of a bucket's
-largest component meet only those outside of it. A block first passes on a
-spanning forest of the pairs that sketches of the sets allow, to be verified,
-and only then the allowed pairs between what are still different components.
-Sketches lose no link.
+largest component meet only those outside of it. Blocks of short texts verify
+them at once and pass on a spanning forest of the links. Blocks of long texts
+hold sketches of their sets instead: they first pass on a spanning forest of
+the pairs that the sketches allow, to be verified, and only then the allowed
+pairs between what are still different components. Sketches lose no link.
 
 Nodes are numbers of distinct contents, so ties can't arise; an empty table of
 buckets gives no labels.
@@ -27,13 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docketlake.llm.components import connected_components
+from docketlake.llm.sets import Sets
 from docketlake.llm.storage import discard, staged
 
 #: Further hub rounds run while pairs left outnumber bucket rows by this factor.
 PAIRS_PER_ROW = 256
 MAX_HUB_ROUNDS = 3
-#: Buckets of at most TINY nodes are tested at once; those of more than SMALL are compared in blocks of at most BLOCK.
-TINY, SMALL, BLOCK = 6, 100, 1024
+#: Buckets of at most TINY nodes are tested at once; those of more than SMALL are compared in blocks of at most BLOCK, or TEXT_BLOCK where these hold texts.
+TINY, SMALL, BLOCK, TEXT_BLOCK = 6, 64, 1024, 256
 
 #: Of pairs (a, b) those that are links.
 Verify = Callable[[DataFrame], DataFrame]
@@ -55,6 +57,25 @@ def _relabel(labels: DataFrame | None, found: DataFrame, rows: int) -> DataFrame
     return out
 
 
+def block_links(members: np.ndarray, rows: np.ndarray, left: np.ndarray, right: np.ndarray, label: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
+    """Whether the sets ``left`` and ``right`` of a group are similar, for pairs of different labels; counts members in common by products of 0/1 tables."""
+    p, q = threshold
+    size = np.bincount(rows, minlength=len(label))
+    values, number = np.unique(members, return_inverse=True)
+    shared = np.bincount(number, minlength=len(values)) > 1
+    column = np.cumsum(shared) - 1
+    keep = shared[number]
+    rows, column = rows[keep], column[number[keep]]
+    common = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(shared.sum()), 4096):
+        inside = (column >= start) & (column < start + 4096)
+        table = np.zeros((len(label), 4096), np.float32)
+        table[rows[inside], column[inside] - start] = 1
+        common += table[left] @ table[right].T
+    total = size[left][:, None] + size[right][None]
+    return (common > 0) & ((p + q) * common.astype(np.int64) >= p * total) & (label[left][:, None] != label[right][None])
+
+
 def spanning(links: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Ends of at most one link per place, which together join all that the links join: a breadth-first forest over them."""
     parent, out = np.full(n, -1), []
@@ -91,8 +112,13 @@ def sketch_links(sketch: np.ndarray, size: np.ndarray, left: np.ndarray, right:
     return out
 
 
-def _blocked(rows: DataFrame, threshold: tuple[int, int], every_pair: bool) -> DataFrame:
-    """(a, b) over large buckets (key, size, most, top, node, label, n, sketch), block by block: a spanning forest of the pairs that sizes and sketches allow, or with ``every_pair`` all of them."""
+def _blocked(rows: DataFrame, threshold: tuple[int, int], sets: Sets | None, every_pair: bool) -> DataFrame:
+    """(a, b) over large buckets (key, size, most, top, node, label), block by block.
+
+    With ``sets`` and a column text, a spanning forest of the links; without,
+    with columns n and sketch, a spanning forest of the pairs that these allow,
+    or with ``every_pair`` all of them.
+    """
 
     def compare(_key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -102,36 +128,41 @@ def _blocked(rows: DataFrame, threshold: tuple[int, int], every_pair: bool) -> D
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         a = b = np.zeros(0, np.int64)
         if len(left) and len(right) and (label != label[0]).any():
-            sketch = column("sketch").flatten().to_numpy().view(np.uint64).reshape(len(own), -1)
-            allowed = sketch_links(sketch, column("n").to_numpy(), left, right, label, threshold)
+            if sets is not None:
+                links = block_links(*sets(column("text")), left, right, label, threshold)
+            else:
+                sketch = column("sketch").flatten().to_numpy().view(np.uint64).reshape(len(own), -1)
+                links = sketch_links(sketch, column("n").to_numpy(), left, right, label, threshold)
             if every_pair:
-                x, y = np.nonzero(allowed)
+                x, y = np.nonzero(links)
                 a, b = left[x], right[y]
                 once = (a < b) if i == j else np.ones(len(a), dtype=bool)
                 a, b = a[once], b[once]
             else:
-                a, b = spanning(allowed, left, right, len(own))
+                a, b = spanning(links, left, right, len(own))
         a, b = node[a], node[b]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
+    carried, block = (["n", "sketch"], BLOCK) if sets is None else (["text"], TEXT_BLOCK)
     # Blocks 0 to nd - 1 hold the largest component, which meets only the nr blocks of the rest.
     top = F.col("label") == F.col("top")
-    nd, nr = F.ceil(F.col("most") / BLOCK).cast("int"), F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int")
+    nd, nr = F.ceil(F.col("most") / block).cast("int"), F.ceil((F.col("size") - F.col("most")) / block).cast("int")
     h = F.xxhash64("node")
     own = F.when(top, F.pmod(h, nd)).otherwise(nd + F.pmod(h, nr)).cast("int")
-    placed = rows.select("key", "node", "label", "n", "sketch", own.alias("own"), F.explode(F.sequence(F.when(top, nd).otherwise(0), nd + nr - 1)).alias("other"))
-    placed = placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "sketch")
+    placed = rows.select("key", "node", "label", *carried, own.alias("own"), F.explode(F.sequence(F.when(top, nd).otherwise(0), nd + nr - 1)).alias("other"))
+    placed = placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", *carried)
     return placed.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def resolve(buckets: DataFrame, threshold: tuple[int, int], verify: Verify, content: DataFrame, may_link: Callable[[str, str], Column] | None = None) -> DataFrame:
+def resolve(buckets: DataFrame, threshold: tuple[int, int], verify: Verify, content: DataFrame, may_link: Callable[[str, str], Column] | None = None, sets: Sets | None = None, texts: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, component) of all nodes with a link.
 
     ``buckets`` (a written table): key, node (a long) and what ``may_link``
     needs, which takes prefixes of the columns of two bucket rows and gives a
     cheap necessary condition; ``verify`` tells which pairs are links;
     ``content`` (written too) has each node's n and sketch, the size and the
-    sketch of its set.
+    sketch of its set; where texts are short, ``sets`` makes the sets of a
+    column of them and ``texts`` finds those of a table of nodes.
     """
     extra = [c for c in buckets.columns if c not in ("key", "node")]
     condition = may_link or (lambda x, y: F.lit(True))
@@ -140,12 +171,13 @@ def resolve(buckets: DataFrame, threshold: tuple[int, int], verify: Verify, cont
     ordered = [F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")]
     side = lambda of, x: of.select("key", *[F.col(c).alias(f"{x}{c}") for c in of.columns if c != "key"])
 
-    def link(pairs: DataFrame) -> None:
-        """Screen the pairs by the sketches, verify them, add the links, and merge labels."""
+    def link(pairs: DataFrame, also: DataFrame | None = None) -> None:
+        """Screen the pairs by the sketches, verify them, add the links (``also`` are some), and merge labels."""
         nonlocal labels
         end = lambda x: content.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch"))
         allowed = staged(pairs.distinct().join(end("a"), "a").join(end("b"), "b").filter(_sketches_allow(threshold, "a_", "b_")).select("a", "b"), "allowed")
-        found = staged(verify(allowed), "links")
+        found = verify(allowed)
+        found = staged(found if also is None else found.unionByName(also), "links")
         labels = _relabel(labels, found, rows)
         discard(allowed, found)
 
@@ -191,13 +223,19 @@ def resolve(buckets: DataFrame, threshold: tuple[int, int], verify: Verify, cont
     few = staged(now.filter(F.col("size") <= SMALL).select("key", "node", "label", *[c for c in extra if c != "n"]).join(content, "node"), "few", rows)
     between = (F.col("x_node") < F.col("y_node")) & (F.col("x_label") != F.col("y_label")) & condition("x_", "y_")
     among = side(few, "x_").join(side(few, "y_"), "key").filter(between).filter(_sketches_allow(threshold, "x_", "y_")).select(*ordered)
-    held = lambda df: df.filter(F.col("size") > SMALL).select("key", "size", "most", "top", "node", "label").join(content, "node")
-    many = staged(now.filter(F.col("size") > SMALL).select("key", "node"), "many", rows)
-    link(among.unionByName(_blocked(held(now), threshold, False)))
+    of_many = now.filter(F.col("size") > SMALL).select("key", "size", "most", "top", "node", "label")
+    if sets is not None:
+        held = of_many.join(texts(of_many.select("node").distinct()), "node")
+        link(among, _blocked(held, threshold, sets, False))
+        discard(now, few, rest)
+        return labels
+    held = lambda df: df.join(content, "node")
+    many = staged(of_many.select("key", "node"), "many", rows)
+    link(among.unionByName(_blocked(held(of_many), threshold, None, False)))
     discard(now, few, rest)
     now, left = still_open(many)
     if now is not None:
-        link(_blocked(held(now), threshold, True))
+        link(_blocked(held(now), threshold, None, True))
     discard(now, many)
     return labels
 
