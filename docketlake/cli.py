@@ -8,14 +8,16 @@ import time
 
 from pyspark.sql import functions as F
 
+from docketlake.functions import pii
 from docketlake.operators import stats, store, views
 from docketlake.operators.filters import in_range, resolve_window
-from docketlake.operators.records import records
+from docketlake.operators.records import records, slim
+from docketlake.operators.views import mark_refiled
 from docketlake.plans import pipeline
 from docketlake.schema import COMPOSITE, PROMPT_VERSION, SCHEMA_VERSION
 from docketlake.session import build_session, ship_package
 
-COMMANDS = ("init-db", "backfill", "load-dump", "ingest", "classify", "renormalize", "runs", "clear-classifications", "snapshot", "status", "refresh", "stats", "serve")
+COMMANDS = ("init-db", "backfill", "load-dump", "ingest", "classify", "renormalize", "runs", "clear-classifications", "snapshot", "status", "refresh", "stats", "serve", "comments", "audit")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -30,6 +32,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--backend", default=None)
     p.add_argument("--run-key")
     p.add_argument("--model")
+    p.add_argument("--effort", default="")
+    p.add_argument("--label", default="")
+    p.add_argument("--comments", help="a dump of comments, gathered before classifying")
     p.add_argument("--limit", type=int, default=0)
     p.add_argument("--out", default=None)
     p.add_argument("--public", action="store_true")
@@ -62,6 +67,23 @@ def main(argv: list[str] | None = None, spark=None) -> int:
 
         return posts(submissions(read_dump(spark, a.dump)))
 
+    def said():
+        """Comments from a dump, or from the archive for the posts that are due; None if neither is named."""
+        from docketlake.sources.dumps import comments, read_dump
+
+        if a.comments:
+            return comments(read_dump(spark, a.comments))
+        if not a.api_url:
+            return None
+        from docketlake.sources.archive_api import PostArchive
+
+        ids = [r["id"] for r in pipeline.due_comments(w.read("raw_posts")).select("id").toLocalIterator()]  # one request each, at the archive's rate
+        if not ids:
+            return None
+        spark.dataSource.register(PostArchive)
+        lines = spark.read.format("post_archive").options(table="comments", url=a.api_url, subreddit=a.subreddit, link_ids=",".join(ids), slices=len(ids)).load()
+        return comments(lines.select("raw_json", F.try_parse_json("raw_json").alias("v")))
+
     def show(value) -> int:
         print(json.dumps(value, default=str, ensure_ascii=False))
         return 0
@@ -74,9 +96,19 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     elif a.command == "load-dump":
         return show(pipeline.ingest(w, from_dump(), a.subreddit, "dump", now))
     elif a.command == "classify":
-        return show({"classified": pipeline.classify_pending(w, now, a.backend or "mock", limit=a.limit)})
+        return show({"classified": pipeline.classify_pending(w, now, a.backend or "mock", a.effort, a.label, a.limit, said())})
+    elif a.command == "comments":
+        gathered = said()
+        return show({"comments": 0 if gathered is None else pipeline.refresh_comments(w, gathered)})
+    elif a.command == "audit":
+        posts, wire = w.read("raw_posts"), slim(mark_refiled(records(w.read("classified_records"), w.read("raw_posts"))), public=True)
+        problems = pipeline.publish_problems(wire)
+        kinds = {r["kind"]: r["n"] for r in pii.counts(posts, F.concat_ws("\n", "title", "selftext")).collect()}
+        show({"hits": kinds, **pii.author_counts(posts).first().asDict(), "top_authors": [r.asDict() for r in pii.top_authors(posts).collect()], "problems": problems})
+        return 1 if problems else 0
     elif a.command == "renormalize":
         w.write("classified_records", store.renormalize(w.read("classified_records")))
+        w.mark()
     elif a.command == "runs":
         return show([r.asDict() for r in store.list_runs(w.read("classified_records")).collect()])
     elif a.command == "clear-classifications":
@@ -84,6 +116,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         left = store.clear(before, a.backend, a.run_key, a.model)
         n = before.count() - left.count()
         w.write("classified_records", left)
+        w.mark()
         return show({"deleted": n})
     elif a.command in ("snapshot", "refresh"):
         out = a.out or f"{a.warehouse}/snapshot"
@@ -92,10 +125,13 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         from docketlake.sources.sinks import write_snapshot
 
         envelope, wire = pipeline.build_snapshot(w.read("raw_posts"), w.read("classified_records"), now, a.public, subreddit=a.subreddit)
+        if a.public and (problems := pipeline.publish_problems(wire)):
+            raise SystemExit("; ".join(problems))
         write_snapshot(wire, envelope, out)
         return show({"data_version": envelope["data_version"]})
     elif a.command == "status":
-        return show(store.counts(w.read("raw_posts"), w.read("classified_records"), PROMPT_VERSION, SCHEMA_VERSION, a.run_key).first().asDict())
+        counts = store.counts(w.read("raw_posts"), w.read("classified_records"), PROMPT_VERSION, SCHEMA_VERSION, a.run_key).first().asDict()
+        return show({**counts, "notice": stats.partial_data(counts)})
     elif a.command == "stats":
         r = views.select_view(records(w.read("classified_records"), w.read("raw_posts"), PROMPT_VERSION, SCHEMA_VERSION), a.run_key or COMPOSITE)
         r = in_range(r, *resolve_window(a.range, now=now))

@@ -28,6 +28,11 @@ def run_key(backend: Column, model: Column, effort: Column, label: Column) -> Co
     return F.concat(backend, F.lit("/"), F.coalesce(F.nullif(model, F.lit("")), backend), part("@", effort), part("#", label))
 
 
+def run_key_text(backend: str, model: str | None = None, effort: str | None = None, label: str | None = None) -> str:
+    """The same of a run's settings, before anything has run."""
+    return f"{backend}/{model or backend}" + (f"@{effort}" if effort else "") + (f"#{label}" if label else "")
+
+
 def version_key(prompt: Column, schema: Column) -> Column:
     return F.concat(filled(prompt), F.lit("/"), filled(schema))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketlake.schema import WITHDRAWN
+
 # Detectors, hard identifiers first. A-Z cases as given; "(?i)" where case doesn't matter.
 HARD = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
@@ -62,6 +64,16 @@ def samples(df: DataFrame, key: str, text: Column, per_kind: int = 6) -> DataFra
     return found.withColumn("rank", rank).filter(F.col("rank") <= per_kind).select("kind", "rank", key, redacted(F.col("kind"), F.col("found")).alias("shown"))
 
 
+def author_counts(df: DataFrame) -> DataFrame:
+    """(authors, deleted_authors, removed_bodies): distinct authors that are named, and posts whose author or text is withdrawn."""
+    named = F.col("author").isNotNull() & (F.col("author") != "") & ~F.lower("author").isin("[deleted]", "none")
+    return df.agg(
+        F.count_distinct(F.when(named, F.col("author"))).alias("authors"),
+        F.count_if(F.lower("author") == "[deleted]").alias("deleted_authors"),
+        F.count_if(F.col("selftext").isin(*WITHDRAWN)).alias("removed_bodies"),
+    )
+
+
 def top_authors(df: DataFrame, author: str = "author", n: int = 8) -> DataFrame:
     """Most frequent authors; ties by name. The limit is the report's."""
     named = F.col(author).isNotNull() & (F.col(author) != "") & ~F.lower(author).isin("[deleted]", "none")

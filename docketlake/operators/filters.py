@@ -54,9 +54,11 @@ def other_tail(df: DataFrame, metric: str, named: list[str]) -> DataFrame:
 
 
 def page(df: DataFrame, number: int, size: int = 25) -> DataFrame:
-    """A page of records, newest first; ``number`` counts from 0."""
+    """A page of records, newest first; ``number`` counts from 0, and past the end is the last page."""
     if number < 0 or size <= 0:
         raise ValueError("page numbers start at 0 and pages have rows")
+    if number:
+        number = min(number, max(0, (df.count() - 1) // size))
     return df.orderBy(F.coalesce("created_utc", F.lit(0)).desc(), "id").offset(number * size).limit(size)
 
 

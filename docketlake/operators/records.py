@@ -67,7 +67,7 @@ def fingerprint(df: DataFrame, prefix: str = "") -> DataFrame:
     bits and a count), so nothing is gathered in one place.
     """
     shown = ["id", "outcome", "degree", "field_normalized", "profession_normalized", "law_firm_normalized", *METRIC_COLUMNS, "premium_processing", "was_rfed", "run"]
-    shown += [c for c in ("rfe_date", "rfe_response_date", "refiled") if c in df.columns]
+    shown += [c for c in ("title", "permalink", "flair", "created_utc", "selftext", "op_comments", "classified_at", "prompt_version", "schema_version", "rfe_date", "rfe_response_date", "refiled", "refiled_url") if c in df.columns]
     row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in shown]), 256)
     half = lambda at: F.conv(F.substring(row, at, 15), 16, 10).cast("decimal(20,0)")
     total = df.select(half(1).alias("a"), half(17).alias("b")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count(F.lit(1)).alias("n"))

@@ -48,10 +48,11 @@ def newest_first(df: DataFrame) -> DataFrame:
 def mark_refiled(df: DataFrame) -> DataFrame:
     """``df`` with refiled, refiled_url (on a denial whose author had a later approval: the earliest) and refile_approval (on that approval).
 
-    One window by author and time: the range frame from one second later finds
-    the first later approval of each denial, and the frame up to one second
-    earlier tells an approval whether a denial looks forward to it, i.e. lies
-    between it and the approval before. Authors that stand for many people are
+    Windows by author and time: from the newest back, the frame up to one second
+    later finds the first later approval of each denial; the frame up to one
+    second earlier tells an approval whether a denial looks forward to it, i.e.
+    lies between it and the approval before. All frames grow from where they
+    start, so an author's rows are gone through once each way. Authors that stand for many people are
     spread over partitions, as their rows can't match.
     """
     skip = F.col("author").isNull() | F.col("author").isin(*AUTHOR_SKIP)
@@ -60,7 +61,8 @@ def mark_refiled(df: DataFrame) -> DataFrame:
     approved, denied = ~skip & (F.col("outcome") == "approved"), ~skip & (F.col("outcome") == "denied")
     base = df.withColumns({"__p": person, "__t": when})
     by_time = Window.partitionBy("__p").orderBy("__t")
-    later, earlier = by_time.rangeBetween(1, Window.unboundedFollowing), by_time.rangeBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("__p").orderBy(F.desc("__t")).rangeBetween(Window.unboundedPreceding, -1)
+    earlier = by_time.rangeBetween(Window.unboundedPreceding, -1)
     same_time = by_time.rangeBetween(0, 0)
     approval = F.when(approved, F.struct("__t", "id", "permalink"))
     seen = base.withColumns({
@@ -79,8 +81,19 @@ def mark_refiled(df: DataFrame) -> DataFrame:
     }).drop("__p", "__t", "__next", "__last_denial", "__last_approval", "__first_here")
 
 
+def usable_author(author):
+    """Whether an author is one person."""
+    return (filled(author) != "") & ~filled(author).isin(*AUTHOR_SKIP)
+
+
+def with_given_flags(df: DataFrame) -> DataFrame:
+    """``df`` with the re-file flags it came with, null where it has none."""
+    missing = {"refiled": "boolean", "refiled_url": "string", "refile_approval": "boolean"}
+    return df.withColumns({c: F.lit(None).cast(kind) for c, kind in missing.items() if c not in df.columns})
+
+
 def has_usable_author(df: DataFrame) -> bool:
     """Whether flags can be derived here; a public table keeps those it came with."""
     if "author" not in df.columns:
         return False
-    return not df.filter((filled(F.col("author")) != "") & ~F.col("author").isin(*AUTHOR_SKIP)).isEmpty()
+    return not df.filter(usable_author(F.col("author"))).isEmpty()

@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docketlake.functions import pii
 from docketlake.functions.derive import version_key
 from docketlake.functions.prefilter import is_candidate, prefilter_reason
-from docketlake.operators import classify, records, store, views
+from docketlake.operators import classify, comments, records, store, views
 from docketlake.schema import CLASSIFIED_SCHEMA, COMPOSITE, DAY, META_SCHEMA, PROMPT_VERSION, RAW_SCHEMA, SCHEMA_VERSION, STATE_SCHEMA
 
 TABLES: dict[str, T.StructType] = {"raw_posts": RAW_SCHEMA, "classified_records": CLASSIFIED_SCHEMA, "ingest_state": STATE_SCHEMA, "meta": META_SCHEMA}
@@ -52,6 +53,19 @@ class Warehouse:
             last = self.spark.read.schema("seq long, version string").json(pointer).agg(F.max("seq")).first()[0] or 0
         self.spark.createDataFrame([(last + 1, version)], "seq long, version string").coalesce(1).write.mode("append").json(pointer)
 
+    def mark(self) -> str:
+        """Note the version of what is shown now, for conditional requests; every change of posts or records ends with this."""
+        posts, classified = self.read("raw_posts"), self.read("classified_records")
+        version = records.fingerprint(records.records(classified, posts), f"{posts.count()}|{classified.count()}").first()[0]
+        if version != self.version():
+            self.write("meta", store.set_meta(self.read("meta"), "data_version", version))
+        return version
+
+    def version(self) -> str | None:
+        """The version noted last: one row, no aggregate."""
+        rows = self.read("meta").filter("key = 'data_version'").select("value").collect()
+        return rows[0][0] if rows else None
+
     def create(self) -> None:
         for table in TABLES:
             if not self._current(table):
@@ -84,6 +98,7 @@ def ingest(warehouse: Warehouse, raw: DataFrame, subreddit: str, source: str, fe
     warehouse.write("raw_posts", store.upsert_posts(existing, staged))
     if advance:
         warehouse.write("ingest_state", store.advance_watermark(warehouse.read("ingest_state"), staged, fetched_at))
+    warehouse.mark()
     return {**seen.get, **changed}
 
 
@@ -94,20 +109,58 @@ def incremental_window(warehouse: Warehouse, subreddit: str, now: int, look_back
     return (max(0, last - overlap), now) if last is not None else (now - look_back_days * DAY, now)
 
 
-def classify_pending(warehouse: Warehouse, now: int, backend: str = "mock", run: str = "mock/mock", effort: str = "", label: str = "", limit: int | None = None) -> int:
-    """Classify what this run hasn't in its present content; returns the number of rows written."""
+def due_comments(posts: DataFrame) -> DataFrame:
+    """Candidates whose author's comments weren't gathered yet, or without the context that later versions add."""
+    named = views.usable_author(F.col("author"))
+    return posts.filter(F.col("is_candidate") & named & (F.col("op_comments").isNull() | comments.needs_refresh(F.col("op_comments"))))
+
+
+def refresh_comments(warehouse: Warehouse, said: DataFrame) -> int:
+    """Gather the authors' comments from ``said`` (COMMENT_SCHEMA) for the posts that are due; returns their number.
+
+    A post without such comments gets an empty text, so it isn't asked for
+    again. New text changes the content, so the post is classified again.
+    """
+    posts = warehouse.read("raw_posts")
+    gathered = comments.op_comments(due_comments(posts), said)
+    staging = f"{warehouse.path}/staging/{uuid.uuid4().hex}"
+    gathered.write.parquet(staging)
+    staged = warehouse.spark.read.schema(gathered.schema).parquet(staging)
+    n = staged.count()
+    if n:
+        warehouse.write("raw_posts", store.set_op_comments(posts, staged))
+        warehouse.mark()
+    return n
+
+
+def classify_pending(warehouse: Warehouse, now: int, backend: str = "mock", effort: str = "", label: str = "", limit: int | None = None, said: DataFrame | None = None) -> int:
+    """Classify what this run hasn't in its present content; returns the number of rows written.
+
+    The run is known by backend, model, effort and label before it starts, so
+    runs of different settings stand side by side and each resumes its own
+    work. Comments ``said`` are gathered first.
+    """
+    if said is not None:
+        refresh_comments(warehouse, said)
+    chosen = classify.backend(backend)
     posts, done = classify.with_hash(warehouse.read("raw_posts")), warehouse.read("classified_records")
-    todo = store.pending(posts, done, run, PROMPT_VERSION, SCHEMA_VERSION, limit)
-    rows = classify.backend(backend)(todo, now, effort, label)
+    todo = store.pending(posts, chosen.own(done, effort, label), chosen.run_key(effort, label), PROMPT_VERSION, SCHEMA_VERSION, limit)
+    rows = chosen(todo, now, effort, label)
     staging = f"{warehouse.path}/staging/{uuid.uuid4().hex}"
     rows.write.parquet(staging)
     staged = warehouse.spark.read.schema(CLASSIFIED_SCHEMA).parquet(staging)
     n = staged.count()
     if n:
         warehouse.write("classified_records", store.upsert_classified(done, staged))
+        warehouse.mark()
     return n
 
 
+def publish_problems(wire: DataFrame) -> list[str]:
+    """Why wire rows must not be published: columns or hard identifiers."""
+    return pii.publish_problems(wire, "id", F.concat_ws("\n", *[c for c, kind in wire.dtypes if kind == "string" and c not in ("id", "permalink", "run")]))
+
+
 def build_snapshot(posts: DataFrame, classified: DataFrame, generated_at: int, public: bool = False, view: str = COMPOSITE, subreddit: str = "") -> tuple[dict, DataFrame]:
     """(envelope, wire rows) of all versions and runs; the envelope holds runs, versions and counts, a few rows each."""
     all_records = records.records(classified, posts)
@@ -145,7 +198,8 @@ def version_runs(classified: DataFrame) -> DataFrame:
 
 def dashboard(all_records: DataFrame, version: str | None = None, run: str = COMPOSITE) -> DataFrame:
     """Version, then vote or run, then re-file flags: the order that all further filters build on."""
-    return views.mark_refiled(views.select_view(views.of_version(all_records, version), run))
+    chosen = views.select_view(views.of_version(all_records, version), run)
+    return views.mark_refiled(chosen) if views.has_usable_author(chosen) else views.with_given_flags(chosen)
 
 
 def refresh(warehouse: Warehouse, raw: DataFrame, subreddit: str, source: str, now: int, out: str, public: bool = False) -> dict:
@@ -155,5 +209,7 @@ def refresh(warehouse: Warehouse, raw: DataFrame, subreddit: str, source: str, n
     ingested = ingest(warehouse, raw, subreddit, source, now, advance=True)
     classified = classify_pending(warehouse, now)
     envelope, wire = build_snapshot(warehouse.read("raw_posts"), warehouse.read("classified_records"), now, public, subreddit=subreddit)
+    if public and (problems := publish_problems(wire)):
+        raise ValueError("; ".join(problems))
     write_snapshot(wire, envelope, out)
     return {**ingested, "classified": classified, "data_version": envelope["data_version"]}

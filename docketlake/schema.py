@@ -4,30 +4,93 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-
-def _struct(text: str) -> T.StructType:
-    kinds = {"string": T.StringType(), "long": T.LongType(), "boolean": T.BooleanType(), "double": T.DoubleType()}
-    return T.StructType([T.StructField(n, kinds[k]) for n, k in (part.split(":") for part in text.split())])
-
-
-RAW_SCHEMA = _struct(
-    "id:string subreddit:string title:string selftext:string link_flair_text:string author:string score:long num_comments:long "
-    "permalink:string url:string created_utc:long fetched_at:long raw_json:string source:string is_candidate:boolean prefilter_reason:string op_comments:string"
+# The tables' columns.
+RAW_SCHEMA = (
+    T.StructType()
+    .add("id", "string")
+    .add("subreddit", "string")
+    .add("title", "string")
+    .add("selftext", "string")
+    .add("link_flair_text", "string")
+    .add("author", "string")
+    .add("score", "long")
+    .add("num_comments", "long")
+    .add("permalink", "string")
+    .add("url", "string")
+    .add("created_utc", "long")
+    .add("fetched_at", "long")
+    .add("raw_json", "string")
+    .add("source", "string")
+    .add("is_candidate", "boolean")
+    .add("prefilter_reason", "string")
+    .add("op_comments", "string")
 )
 CLASSIFIED_KEY = ["post_id", "content_hash", "prompt_version", "schema_version", "run_key"]
 COUNT_METRICS = ["publications", "patents", "citations", "recommendation_letters"]
-CLASSIFIED_SCHEMA = _struct(
-    "post_id:string content_hash:string prompt_version:string schema_version:string run_key:string classifier_backend:string classifier_model:string "
-    "run_effort:string run_label:string status:string failure_reason:string body_available:boolean outcome:string degree:string field_raw:string "
-    "field_normalized:string profession_raw:string profession_normalized:string law_firm_raw:string law_firm_normalized:string "
-    "publications:long publications_known:boolean patents:long patents_known:boolean citations:long citations_known:boolean "
-    "recommendation_letters:long recommendation_letters_known:boolean years_experience:double years_experience_known:boolean "
-    "receipt_date:string decision_date:string processing_days:long processing_days_known:boolean processing_source:string premium_processing:boolean "
-    "was_rfed:boolean rfe_date:string rfe_response_date:string classified_at:long raw_llm_output:string"
+CLASSIFIED_SCHEMA = (
+    T.StructType()
+    .add("post_id", "string")
+    .add("content_hash", "string")
+    .add("prompt_version", "string")
+    .add("schema_version", "string")
+    .add("run_key", "string")
+    .add("classifier_backend", "string")
+    .add("classifier_model", "string")
+    .add("run_effort", "string")
+    .add("run_label", "string")
+    .add("status", "string")
+    .add("failure_reason", "string")
+    .add("body_available", "boolean")
+    .add("outcome", "string")
+    .add("degree", "string")
+    .add("field_raw", "string")
+    .add("field_normalized", "string")
+    .add("profession_raw", "string")
+    .add("profession_normalized", "string")
+    .add("law_firm_raw", "string")
+    .add("law_firm_normalized", "string")
+    .add("publications", "long")
+    .add("publications_known", "boolean")
+    .add("patents", "long")
+    .add("patents_known", "boolean")
+    .add("citations", "long")
+    .add("citations_known", "boolean")
+    .add("recommendation_letters", "long")
+    .add("recommendation_letters_known", "boolean")
+    .add("years_experience", "double")
+    .add("years_experience_known", "boolean")
+    .add("receipt_date", "string")
+    .add("decision_date", "string")
+    .add("processing_days", "long")
+    .add("processing_days_known", "boolean")
+    .add("processing_source", "string")
+    .add("premium_processing", "boolean")
+    .add("was_rfed", "boolean")
+    .add("rfe_date", "string")
+    .add("rfe_response_date", "string")
+    .add("classified_at", "long")
+    .add("raw_llm_output", "string")
+)
+STATE_SCHEMA = (
+    T.StructType()
+    .add("subreddit", "string")
+    .add("last_created_utc", "long")
+    .add("last_run_at", "long")
+)
+META_SCHEMA = (
+    T.StructType()
+    .add("key", "string")
+    .add("value", "string")
+)
+COMMENT_SCHEMA = (
+    T.StructType()
+    .add("post_id", "string")
+    .add("id", "string")
+    .add("author", "string")
+    .add("body", "string")
+    .add("parent_id", "string")
+    .add("created_utc", "long")
 )
-STATE_SCHEMA = _struct("subreddit:string last_created_utc:long last_run_at:long")
-META_SCHEMA = _struct("key:string value:string")
-COMMENT_SCHEMA = _struct("post_id:string id:string author:string body:string parent_id:string created_utc:long")
 
 #: The extraction contract: what a classifier returns for one post.
 EXTRACTED = (

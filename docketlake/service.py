@@ -18,7 +18,7 @@ GROUPS = ("degree", "field", "profession", "law_firm", "citation_bucket", "premi
 
 
 def route(w: pipeline.Warehouse, path: str, query: dict[str, str], if_none_match: str | None = None, now: int | None = None) -> tuple[int, dict[str, str], str]:
-    """(status, headers, body) of a request. Parameters are checked before anything is planned; an unchanged version answers 304 before any aggregate runs."""
+    """(status, headers, body) of a request. Parameters are checked before anything is planned; an unchanged version, one row of the meta table, answers 304 before posts or records are read."""
     now = int(time.time()) if now is None else now
     if path == "/api/health":
         return 200, {}, '{"status":"ok"}'
@@ -35,11 +35,11 @@ def route(w: pipeline.Warehouse, path: str, query: dict[str, str], if_none_match
             raise ValueError("limit can't be negative")
     except ValueError as e:
         return 422, {}, json.dumps({"detail": str(e)})
-    posts, classified = w.read("raw_posts"), w.read("classified_records")
-    version = records.fingerprint(records.records(classified, posts), f"{posts.count()}|{classified.count()}").first()[0]
+    version = w.version() or w.mark()
     headers = {"ETag": etag(version, query), "Cache-Control": "public, max-age=86400"}
     if if_none_match == headers["ETag"]:
         return 304, headers, ""
+    posts, classified = w.read("raw_posts"), w.read("classified_records")
     run, hide = query.get("run") or COMPOSITE, query.get("hide_unknown", "false").lower() in ("1", "true")
     view = filters.in_range(views.select_view(records.records(classified, posts, PROMPT_VERSION, SCHEMA_VERSION), run), *window)
     rows = lambda df: [r.asDict() for r in df.collect()]

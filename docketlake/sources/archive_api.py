@@ -3,7 +3,9 @@
 The window [after, before) is cut into time slices, one per input partition,
 so a slice that fails is read again alone. Within a slice pages follow the
 creation time; the last second of a full page is asked for again, so posts of
-one second aren't lost at a page's end, and ids are kept apart.
+one second aren't lost at a page's end, and ids are kept apart. The archive has
+no way to ask for more than a page of one second: a full page of one is warned
+of. Comments of a post are paged in the same way.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import time
 import urllib.error
 import urllib.parse
 import urllib.request
+import warnings
 from collections.abc import Callable, Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -82,6 +85,8 @@ def walk(fetch_page: Callable[[int, int], list[dict]], after: int, before: int,
         if not page:
             return
         last = int(page[-1]["created_utc"])
+        if len(page) >= page_size and int(page[0]["created_utc"]) == last:
+            warnings.warn(f"a full page of items at {last}; if there are more, the archive can't be asked for them", stacklevel=2)
         # A full page may have cut its last second in two: ask for that second again, unless nothing else came.
         after = last if len(page) >= page_size and new and last > after else last + 1
         if not new and last < after - 1:
@@ -122,8 +127,9 @@ class _CommentReader(_Reader):
         return [InputPartition(i) for i in self.options["link_ids"].split(",")]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        params = {"link_id": partition.value, "limit": PAGE_SIZE} | ({"author": self.options["author"]} if self.options.get("author") else {})
-        for comment in self.client().get("/api/comments/search", params):
+        client = self.client()
+        params = {"link_id": partition.value, "limit": PAGE_SIZE, "sort": "asc"} | ({"author": self.options["author"]} if self.options.get("author") else {})
+        for comment in walk(lambda after, before: client.get("/api/comments/search", {**params, "after": after, "before": before}), 0, 1 << 33):
             yield (json.dumps({"link_id": partition.value, **comment}, separators=(",", ":")),)
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import codecs
+import json
+import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,27 +15,83 @@ from pyspark.sql import functions as F
 MAX_WINDOW = 1 << 31
 
 
-def _long_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of .zst streams with windows beyond what Spark's reader takes; a task reads one file as a stream."""
+#: Bytes read from a file at once.
+BLOCK = 1 << 20
 
-    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
 
-        import zstandard
+def _open(path: str):
+    """A file as a byte stream; read where Spark's own readers can't split or stream it."""
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(path if "://" in path else re.sub("^(\\w+):/+", r"\1:///", path))
+    return store.open_input_stream(inner, compression=None)
 
-        for part in parts:
-            for content in part["content"]:
-                reader = zstandard.ZstdDecompressor(max_window_size=MAX_WINDOW).stream_reader(io.BytesIO(content), read_across_frames=True)
-                lines: list[str] = []
-                for line in io.TextIOWrapper(reader, encoding="utf-8", errors="replace"):
-                    if line.strip():
-                        lines.append(line.rstrip("\r\n"))
-                    if len(lines) == 4096:
-                        yield pd.DataFrame({"value": lines})
-                        lines = []
-                yield pd.DataFrame({"value": lines})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(read, "value string")
+def _from_files(spark: SparkSession, path: str, rows: Callable[[object], Iterator[str]]) -> DataFrame:
+    """``rows`` of each file's stream as (value); a task reads one file in blocks, so memory doesn't follow the file."""
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for name in part["path"]:
+                held: list[str] = []
+                with _open(name) as stream:
+                    for value in rows(stream):
+                        held.append(value)
+                        if len(held) == 1024:
+                            yield pd.DataFrame({"value": held})
+                            held = []
+                yield pd.DataFrame({"value": held})
+
+    return spark.read.format("binaryFile").load(path).select("path").mapInPandas(read, "value string")
+
+
+def _zst_lines(stream) -> Iterator[str]:
+    import io
+
+    import zstandard
+
+    reader = zstandard.ZstdDecompressor(max_window_size=MAX_WINDOW).stream_reader(stream, read_across_frames=True)
+    for line in io.TextIOWrapper(io.BufferedReader(reader, BLOCK), encoding="utf-8", errors="replace"):
+        if line.strip():
+            yield line.rstrip("\r\n")
+
+
+def array_elements(stream) -> Iterator[str]:
+    """The elements of one JSON array, as their text; ValueError if it is cut or isn't one."""
+    decoder, decode = json.JSONDecoder(), codecs.getincrementaldecoder("utf-8-sig")("strict")
+    text, at, ended, state = "", 0, False, "start"  # then first, value, comma, end
+    while True:
+        while at < len(text) and text[at] in " \t\r\n":
+            at += 1
+        mark = text[at : at + 1]
+        if state == "start" and mark == "[":
+            at, state = at + 1, "first"
+            continue
+        if state in ("first", "comma") and mark == "]":
+            at, state = at + 1, "end"
+            continue
+        if state == "comma" and mark == ",":
+            at, state = at + 1, "value"
+            continue
+        if mark and state in ("first", "value"):
+            try:
+                _, end = decoder.raw_decode(text, at)
+            except json.JSONDecodeError:
+                end = -1
+            # A number may go on in the next block; an object or a text ends by itself.
+            if end >= 0 and (ended or text[end - 1] in '}]"' or end < len(text)):
+                yield text[at:end]
+                at, state = end, "comma"
+                continue
+        elif mark:
+            raise ValueError(f"not a JSON array: {mark!r} where none belongs")
+        if ended:
+            if state == "end":
+                return
+            raise ValueError("the JSON array is cut short or malformed")
+        block = stream.read(max(BLOCK, len(text) - at))
+        ended = not block
+        text, at = text[at:] + decode.decode(block, ended), 0
 
 
 def _is_array(spark: SparkSession, path: str) -> bool:
@@ -42,7 +101,7 @@ def _is_array(spark: SparkSession, path: str) -> bool:
 
 
 def read_dump(spark: SparkSession, path: str, long_windows: bool = False) -> DataFrame:
-    """(raw_json, v): the objects of a dump as text and VARIANT; blank and malformed lines are left out.
+    """(raw_json, v): the objects of a dump as text and VARIANT; blank and malformed lines are left out, a malformed or cut array is an error.
 
     The ending says what it is: .jsonl, .ndjson, .json (an array or NDJSON) or
     .zst; ValueError for others. ``long_windows`` reads .zst with windows of up
@@ -52,14 +111,13 @@ def read_dump(spark: SparkSession, path: str, long_windows: bool = False) -> Dat
     if name.endswith(".zst_blocks"):
         raise ValueError("block-compressed dumps are not supported; use .zst")
     if name.endswith(".zst"):
-        lines = _long_lines(spark, path) if long_windows else spark.read.text(path)
+        lines = _from_files(spark, path, _zst_lines) if long_windows else spark.read.text(path)
     elif name.endswith((".jsonl", ".ndjson")):
         lines = spark.read.text(path)
     elif name.endswith(".json"):
         if _is_array(spark, path):
-            whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("a"))
-            elements = whole.lateralJoin(spark.tvf.variant_explode(F.col("a").outer()))
-            return elements.select(F.to_json("value").alias("raw_json"), F.col("value").alias("v"))
+            lines = _from_files(spark, path, array_elements)
+            return lines.select(F.col("value").alias("raw_json"), F.parse_json("value").alias("v"))
         lines = spark.read.text(path)
     else:
         raise ValueError(f"unsupported dump: {path}")
