@@ -127,6 +127,11 @@ def list_versions(classified: DataFrame) -> DataFrame:
     return out.withColumn("version_key", version_key(F.col("prompt_version"), F.col("schema_version"))).orderBy(F.desc("last_classified_at"), "version_key")
 
 
+def post_counts(posts: DataFrame) -> DataFrame:
+    """One row: posts, candidates, and the first and last time."""
+    return posts.agg(F.count(F.lit(1)).alias("post_count"), F.count_if("is_candidate").alias("candidate_count"), F.min("created_utc").alias("min_post_utc"), F.max("created_utc").alias("max_post_utc"))
+
+
 def counts(posts: DataFrame, classified: DataFrame, prompt: str, schema: str, run_key: str | None = None) -> DataFrame:
     """One row of dataset counts. A run counts its rows; without one each post counts once, as ok before failed before excluded."""
     rows = classified.filter((F.col("prompt_version") == prompt) & (F.col("schema_version") == schema))
@@ -136,7 +141,7 @@ def counts(posts: DataFrame, classified: DataFrame, prompt: str, schema: str, ru
     else:
         per_post = rows.groupBy("post_id").agg(F.max(F.col("status") == "ok").alias("o"), F.max(F.col("status") == "failed").alias("f"), F.max("classified_at").alias("t"))
         by = per_post.agg(F.count_if("o").alias("ok"), F.count_if(~F.col("o") & ~F.col("f")).alias("excluded"), F.count_if(~F.col("o") & F.col("f")).alias("failed"), F.max("t").alias("max_classified_at"))
-    p = posts.agg(F.count(F.lit(1)).alias("post_count"), F.count_if("is_candidate").alias("candidate_count"), F.min("created_utc").alias("min_post_utc"), F.max("created_utc").alias("max_post_utc"))
+    p = post_counts(posts)
     processed = F.col("ok") + F.col("excluded") + F.col("failed")
     return p.crossJoin(F.broadcast(by)).select(  # two single rows
         "post_count", "candidate_count", F.col("ok").alias("classified_count"), F.col("failed").alias("failed_count"), F.col("excluded").alias("excluded_count"),

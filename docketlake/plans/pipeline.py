@@ -172,13 +172,13 @@ def build_snapshot(posts: DataFrame, classified: DataFrame, generated_at: int, p
         counts = store.counts(posts, classified, v["prompt_version"], v["schema_version"]).first().asDict()
         versions.append({"prompt_version": v["prompt_version"], "schema_version": v["schema_version"], "version_key": v["version_key"], "runs": own, **counts})
     counts = store.counts(posts, classified, PROMPT_VERSION, SCHEMA_VERSION, None if view == COMPOSITE else view).first().asDict()
-    total = all_records.agg(F.count(F.lit(1)), F.coalesce(F.max("created_utc"), F.lit(0))).first()
+    total = latest(all_records).first()
     content = records.fingerprint(all_records).first()[0]
     meta = {
         **counts, "subreddit": subreddit, "prompt_version": PROMPT_VERSION, "schema_version": SCHEMA_VERSION, "view_run": view,
-        "runs": [r for r in runs if (r["prompt_version"], r["schema_version"]) == (PROMPT_VERSION, SCHEMA_VERSION)], "all_runs": runs, "versions": versions, "latest_post_utc": total[1],
+        "runs": [r for r in runs if (r["prompt_version"], r["schema_version"]) == (PROMPT_VERSION, SCHEMA_VERSION)], "all_runs": runs, "versions": versions, "latest_post_utc": total["latest_post_utc"],
     }
-    return {"data_version": data_version(view, versions, runs, total[0], content), "generated_at": generated_at, "meta": meta}, wire
+    return {"data_version": data_version(view, versions, runs, total["n"], content), "generated_at": generated_at, "meta": meta}, wire
 
 
 def data_version(view: str, versions: list[dict], runs: list[dict], n: int, content: str) -> str:
@@ -189,6 +189,11 @@ def data_version(view: str, versions: list[dict], runs: list[dict], n: int, cont
     return hashlib.sha256(text.encode()).hexdigest()[:16]
 
 
+def latest(all_records: DataFrame) -> DataFrame:
+    """(latest_post_utc, n) of records; 0 without any."""
+    return all_records.agg(F.coalesce(F.max("created_utc"), F.lit(0)).alias("latest_post_utc"), F.count(F.lit(1)).alias("n"))
+
+
 def version_runs(classified: DataFrame) -> DataFrame:
     """(version_key, runs): runs by version, latest first."""
     rows = store.list_runs(classified).withColumn("version_key", version_key(F.col("prompt_version"), F.col("schema_version")))

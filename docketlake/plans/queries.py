@@ -430,14 +430,16 @@ def counts_composite(s, d):
     return store.counts(bound_posts(s, d), bound_classified(s, d), "p2", "s3")
 
 
-@query("table_counts", f"WITH {POSTS_SQL} SELECT count(*) AS n, min(created_utc) AS first_utc, max(created_utc) AS last_utc FROM posts")
+@query("table_counts", f"WITH {POSTS_SQL} SELECT count(*) AS post_count, count(*) FILTER (WHERE is_candidate) AS candidate_count, min(created_utc) AS min_post_utc, max(created_utc) AS max_post_utc FROM posts")
 def table_counts(s, d):
-    return bound_posts(s, d).agg(F.count(F.lit(1)).alias("n"), F.min("created_utc").alias("first_utc"), F.max("created_utc").alias("last_utc"))
+    return store.post_counts(bound_posts(s, d))
 
 
-@query("ingest_dedup", f"WITH {POSTS_SQL} SELECT author AS id, count(*) AS copies FROM posts WHERE created_utc < {NOW} GROUP BY 1")
+@query("ingest_dedup", "SELECT l_orderkey AS id, max(l_linenumber) AS fetched_at, arg_max(l_partkey, l_linenumber) AS title, arg_min(epoch(l_shipdate), l_linenumber)::BIGINT AS created_utc FROM lineitem GROUP BY 1")
 def ingest_dedup(s, d):
-    return bound_posts(s, d).filter(F.col("created_utc") < NOW).groupBy(F.col("author").alias("id")).agg(F.count(F.lit(1)).alias("copies"))
+    """Line items as an order's post fetched again and again: the last one's text, the first one's time."""
+    fetched = table(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("fetched_at"), F.col("l_partkey").alias("title"), F.unix_timestamp("l_shipdate").alias("created_utc"))
+    return store.latest_per_key(fetched, ["id"], "fetched_at", ["created_utc"])
 
 
 # ---- text -------------------------------------------------------------------
@@ -678,20 +680,27 @@ def csv_rows(s, d):
     return sinks.csv_lines(view).select("id", "line")
 
 
-@query("content_fingerprint")
+_SHOWN = ("id", "outcome", "degree", "field_normalized", "profession_normalized", "law_firm_normalized", "publications", "patents", "citations", "years", "processing_days", "premium_processing", "was_rfed", "run", "title", "permalink", "flair", "created_utc", "selftext", "op_comments", "classified_at", "prompt_version", "schema_version", "rfe_date", "rfe_response_date")
+
+
+@query("content_fingerprint", f"""{BASE}, p AS (SELECT id AS pid, title, link_flair_text AS flair, selftext FROM posts),
+  x AS (SELECT rec.*, title, flair, selftext, NULL AS op_comments, NULL AS rfe_date, NULL AS rfe_response_date, years_experience::DECIMAL(18,1)::VARCHAR AS years FROM rec JOIN p ON pid = id),
+  h AS (SELECT sha256(concat_ws('|', {", ".join(f"coalesce({c}::VARCHAR, chr(92) || 'N')" for c in _SHOWN)})) AS h FROM x)
+  SELECT left(sha256('|' || sum(('0x' || substr(h, 1, 15))::UBIGINT::HUGEINT) || '|' || sum(('0x' || substr(h, 17, 15))::UBIGINT::HUGEINT) || '|' || count(*)), 16) AS fingerprint FROM h""")
 def content_fingerprint(s, d):
-    return records.fingerprint(bound_records(s, d))
+    """Years to one digit, so that both engines write them alike."""
+    return records.fingerprint(bound_records(s, d).withColumn("years_experience", F.col("years_experience").cast("decimal(18,1)")))
 
 
-@query("version_runs", f"WITH {CLASSIFIED_SQL} SELECT prompt_version || '/' || schema_version AS version_key, count(DISTINCT run_key) AS runs FROM cls GROUP BY 1")
+@query("version_runs", f"WITH {CLASSIFIED_SQL} SELECT prompt_version || '/' || schema_version AS version_key, run_key, count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status = 'excluded') AS excluded, count(*) FILTER (WHERE status = 'failed') AS failed, count(DISTINCT post_id) AS posts, max(classified_at) AS last_classified_at FROM cls GROUP BY 1, 2")
 def version_runs(s, d):
-    return pipeline.version_runs(bound_classified(s, d)).select("version_key", F.size("runs").cast("long").alias("runs"))
+    rows = pipeline.version_runs(bound_classified(s, d)).select("version_key", F.explode("runs").alias("r"))
+    return rows.select("version_key", *[F.col(f"r.{c}") for c in ("run_key", "ok", "excluded", "failed", "posts", "last_classified_at")])
 
 
-@query("dashboard_view", f"{BASE}, {VOTE_SQL} SELECT count(*) AS posts, count(*) FILTER (WHERE outcome = 'denied') AS denied FROM voted")
+@query("dashboard_view", f"{REFILE_SQL} SELECT v.id, v.run, v.outcome, CASE WHEN m.id IS NOT NULL THEN TRUE END AS refiled, m.url AS refiled_url, CASE WHEN n.next_id IS NOT NULL THEN TRUE END AS refile_approval FROM voted v LEFT JOIN m ON m.id = v.id LEFT JOIN (SELECT DISTINCT next_id FROM m) n ON n.next_id = v.id")
 def dashboard_view(s, d):
-    out = pipeline.dashboard(bound_records(s, d).withColumn("profession_normalized", F.col("profession_raw")))
-    return out.agg(F.count(F.lit(1)).alias("posts"), F.count_if(F.col("outcome") == "denied").alias("denied"))
+    return views.mark_refiled(bound_view(s, d)).select("id", "run", "outcome", "refiled", "refiled_url", "refile_approval")
 
 
 @query("json_extract_object", "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")

@@ -121,8 +121,12 @@ def read_dump(spark: SparkSession, path: str, long_windows: bool = False) -> Dat
         lines = spark.read.text(path)
     else:
         raise ValueError(f"unsupported dump: {path}")
-    parsed = lines.select(F.col("value").alias("raw_json"), F.try_parse_json("value").alias("v"))
-    return parsed.filter(F.col("v").isNotNull())
+    return parsed(lines)
+
+
+def parsed(lines: DataFrame) -> DataFrame:
+    """(raw_json, v) of the lines (value) that are JSON."""
+    return lines.select(F.col("value").alias("raw_json"), F.try_parse_json("value").alias("v")).filter(F.col("v").isNotNull())
 
 
 def submissions(dump: DataFrame) -> DataFrame:
