@@ -157,7 +157,7 @@ def line_sets(shingle: int) -> Sets:
 
 
 def line_components(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL, max_bands: int = MAX_BANDS) -> tuple[DataFrame, DataFrame]:
-    """(signatures, kept): every distinct line of each row of ``docs`` (id, text), and for each that isn't alone, by k1 and k2, the occurrence (to_id, to_line, with its own to_k1 and to_k2) that stays."""
+    """(places, kept): every distinct line of each row of ``docs`` (id, text), and for each that isn't alone, by k1 and k2, the occurrence (to_id, to_line, with its own to_k1 and to_k2) that stays."""
     bands, rows = tune(threshold[0] / threshold[1], recall, max_bands)
     names = [f"b{i}" for i in range(bands)]
     docs = docs.filter(F.col("id").isNotNull())
@@ -167,6 +167,8 @@ def line_components(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[in
     first = [F.min("id").alias("id"), F.min_by("line", "id" if unique else F.struct("id", "line")).alias("line")]
     columns = ["n", *SKETCH, *names]
     distinct = numbered(signatures.groupBy("k1", "k2").agg(*first, *[F.first(c).alias(c) for c in columns], F.count(F.lit(1)).alias("rows")), "distinct")
+    slim = staged(signatures.select("id", "line", "k1", "k2", "copies"), "places")
+    discard(signatures)
 
     keyed = distinct.select("node", F.explode(F.array(*names)).alias("key"))
     shared = staged(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "shared")
@@ -183,13 +185,13 @@ def line_components(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[in
     labels = resolve(buckets, threshold, verify, active, sets=line_sets(shingle), texts=texts)
     discard(shared, buckets, active)
     place = F.struct("id", "line", "k1", "k2")
-    in_component = staged(distinct.select("node", "k1", "k2", "id", "line").join(labels, "node").drop("node"), "in_component")
+    in_component = staged(distinct.select("node", "k1", "k2", "id", "line").join(small_side(labels), "node").drop("node"), "in_component")
     stays = in_component.groupBy("component").agg(F.min(place).alias("stays"))
     moved = in_component.join(stays, "component").select("k1", "k2", *[F.col(f"stays.{c}").alias(f"to_{c}") for c in ("id", "line", "k1", "k2")])
     again = distinct.filter("rows > 1").select("k1", "k2", "id", "line").join(in_component.select("k1", "k2"), ["k1", "k2"], "left_anti")
     kept = staged(moved.unionByName(again.select("k1", "k2", *[F.col(c).alias(f"to_{c}") for c in ("id", "line", "k1", "k2")])), "kept")
     discard(distinct, in_component, labels)
-    return signatures, kept
+    return slim, kept
 
 
 def removed_lines(docs: DataFrame, **parameters) -> DataFrame:

@@ -176,6 +176,7 @@ def ngram_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int]
 
     labels = resolve(buckets, threshold, verify, active, may_link)
     discard(buckets, active)
+    labels = small_side(labels)
     smallest = classes.join(labels, "node").groupBy("component").agg(F.min("id").alias("component_id"))
     by_class = classes.select("node", "k1", "k2", "id").join(labels, "node", "left").join(smallest, "component", "left")
     by_class = staged(by_class.select("k1", "k2", F.coalesce("component_id", "id").alias("component_id")), "by_class")

@@ -317,7 +317,7 @@ def repeated_units(docs: DataFrame) -> DataFrame:
 
     labels = resolve(buckets, THRESHOLD, verify, active, sets=paragraph_sets, texts=texts)
     discard(shared, buckets, active)
-    in_component = staged(distinct.select("node", "k1", "k2", "id", "first").join(labels, "node").drop("node"), "in_component")
+    in_component = staged(distinct.select("node", "k1", "k2", "id", "first").join(small_side(labels), "node").drop("node"), "in_component")
     stays = in_component.groupBy("component").agg(F.min(F.struct("id", "first")).alias("stays"))
     moved = in_component.join(stays, "component").select("k1", "k2", F.col("stays.id").alias("to_id"), F.col("stays.first").alias("to_first"))
     again = distinct.filter("rows > 1").select("k1", "k2", F.col("id").alias("keep_id"), F.col("first").alias("keep_first"))

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from docketlake.llm.components import connected_components
 from docketlake.llm.sets import Sets
-from docketlake.llm.storage import discard, staged
+from docketlake.llm.storage import discard, discard_since, staged, written
 
 #: Further hub rounds run while pairs left outnumber bucket rows by this factor.
 PAIRS_PER_ROW = 256
@@ -176,8 +176,10 @@ def resolve(buckets: DataFrame, threshold: tuple[int, int], verify: Verify, cont
         nonlocal labels
         end = lambda x: content.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch"))
         allowed = staged(pairs.distinct().join(end("a"), "a").join(end("b"), "b").filter(_sketches_allow(threshold, "a_", "b_")).select("a", "b"), "allowed")
+        mark = written()
         found = verify(allowed)
         found = staged(found if also is None else found.unionByName(also), "links")
+        discard_since(mark, found)
         labels = _relabel(labels, found, rows)
         discard(allowed, found)
 
@@ -220,9 +222,13 @@ def resolve(buckets: DataFrame, threshold: tuple[int, int], verify: Verify, cont
         link(side(of, "x_").join(hubs(of, turn), "key").filter((F.col("x_label") != F.col("y_label")) & condition("x_", "y_")).select(*ordered))
         discard(now)
 
-    few = staged(now.filter(F.col("size") <= SMALL).select("key", "node", "label", *[c for c in extra if c != "n"]).join(content, "node"), "few", rows)
+    few = now.filter(F.col("size") <= SMALL).select("key", "node", "label", *extra)
     between = (F.col("x_node") < F.col("y_node")) & (F.col("x_label") != F.col("y_label")) & condition("x_", "y_")
-    among = side(few, "x_").join(side(few, "y_"), "key").filter(between).filter(_sketches_allow(threshold, "x_", "y_")).select(*ordered)
+    if sets is not None:  # the sketches of short texts are short enough to go along
+        few = few.join(content, "node")
+        between = between & _sketches_allow(threshold, "x_", "y_")
+    few = staged(few, "few", rows)
+    among = side(few, "x_").join(side(few, "y_"), "key").filter(between).select(*ordered)
     of_many = now.filter(F.col("size") > SMALL).select("key", "size", "most", "top", "node", "label")
     if sets is not None:
         held = of_many.join(texts(of_many.select("node").distinct()), "node")

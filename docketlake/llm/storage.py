@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[object, str]] = []
+_of_stage: set[str] = set()
+_in_stage = False
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +38,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, deleted when the driver ends."""
     path = f"{shared_dir(spark)}/docketlake-{uuid.uuid4().hex[:12]}-{name}"
     _written.append((spark, path))
+    if _in_stage:
+        _of_stage.add(path)
     return path
 
 
@@ -73,6 +79,34 @@ def discard(*tables: DataFrame | None) -> None:
             _written[:] = [entry for entry in _written if entry[1] != path]
 
 
+def discard_since(mark: int, *keep: DataFrame) -> None:
+    """Delete the tables written after ``mark`` (an earlier ``len`` of them) but for those to keep."""
+    kept = {getattr(table, "_docketlake_path", None) for table in keep}
+    for spark, path in [entry for entry in _written[mark:] if entry[1] not in kept]:
+        delete(spark, path)
+        _written.remove((spark, path))
+
+
+def written() -> int:
+    """How many tables stand in the shared folder."""
+    return len(_written)
+
+
+@contextlib.contextmanager
+def stage() -> Iterator[None]:
+    """Within a pipeline's stage. Its tables serve its result until that is written, so the next stage deletes them."""
+    global _in_stage
+    for spark, path in [entry for entry in _written if entry[1] in _of_stage]:
+        delete(spark, path)
+        _written.remove((spark, path))
+    _of_stage.clear()
+    _in_stage = True
+    try:
+        yield
+    finally:
+        _in_stage = False
+
+
 #: Bytes on disk of a written table that may be sent to all tasks.
 BROADCAST_BYTES = 4 << 20
 
