@@ -150,17 +150,22 @@ def ngram_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int]
     named = profiles.filter((F.col("n") > 0) & F.col("id").isNotNull())
     g = F.xxhash64("prefix", "n").alias("g")
     classes = numbered(named.groupBy("n", "k1", "k2").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"), F.first(g).alias("g")), "classes")
-    groups = staged(classes.groupBy("g", "n").agg(F.count(F.lit(1)).alias("members")), "groups")
+    groups = staged(classes.groupBy("g", "n").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("node")), "groups")
 
-    # Postings of a group's prefix say where in the prefix a member stands.
-    prefixes = staged(named.groupBy(g, "n").agg(F.first("prefix").alias("prefix")), "prefixes")
-    postings = prefixes.select("g", "n", F.posexplode("prefix").alias("pos", "key"))
+    # Postings of a group's prefix say where in the prefix a member stands. A group of one class goes by its node, others by g and a negative n.
+    alone = F.col("members") == 1
+    prefixes = named.groupBy(g, "n").agg(F.first("prefix").alias("prefix")).join(groups, ["g", "n"])
+    prefixes = staged(prefixes.select(F.when(alone, F.col("node")).otherwise(F.col("g")).alias("ref"), F.when(alone, F.col("n")).otherwise(-F.col("n")).alias("n"), "prefix"), "prefixes")
+    postings = prefixes.select("ref", "n", F.posexplode("prefix").alias("pos", "key"))
     shared = staged(postings.groupBy("key").agg(F.count(F.lit(1)).alias("groups")).filter("groups > 1").select("key"), "shared")
-    met = postings.join(shared, "key").select("key", "g", "n", "pos")
+    met = staged(postings.join(shared, "key"), "postings")
+    single = met.filter("n > 0").select("key", F.col("ref").alias("node"), "n", "pos")
+    several = met.filter("n < 0").select("key", F.col("ref").alias("g"), (-F.col("n")).alias("n"), "pos")
     within = groups.filter("members > 1").select(F.xxhash64("g", "n", F.lit("group")).alias("key"), "g", "n", F.lit(0).alias("pos"))
-    expanded = met.unionByName(within).join(classes.select("g", "n", "node"), ["g", "n"]).select("key", "node", "n", "pos")
+    members = classes.select("g", "n", "node").join(groups.filter("members > 1").select("g", "n"), ["g", "n"])
+    expanded = single.unionByName(several.unionByName(within).join(members, ["g", "n"]).select("key", "node", "n", "pos"))
     buckets = staged(expanded, "buckets")
-    discard(groups, prefixes, shared)
+    discard(groups, prefixes, shared, met)
 
     def may_link(x: str, y: str) -> Column:
         n, m, i, j = F.col(f"{x}n"), F.col(f"{y}n"), F.col(f"{x}pos"), F.col(f"{y}pos")
