@@ -12,8 +12,15 @@ from docketlake.plans import pipeline
 from docketlake.plans.queries import BASE, CLASSIFIED_SQL, POSTS_SQL, VOTE_SQL, _E, _m, _stories, _story_sql, bound_classified, bound_posts, bound_records, bound_view, query, table
 from docketlake.sources import dumps
 
-K = F.col("c_custkey")
-TEXT = K.cast("string")
+
+def _k() -> Column:
+    """The customer's number; Columns need a session, so none is made on import."""
+    return F.col("c_custkey")
+
+
+def _k_text() -> Column:
+    return _k().cast("string")
+
 
 
 def customers(s, d) -> DataFrame:
@@ -22,7 +29,7 @@ def customers(s, d) -> DataFrame:
 
 def pick(*values: str | None, step: int = 1) -> Column:
     """One of the values, by the customer's number."""
-    return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (F.floor(K / step) % len(values) + 1).cast("int"))
+    return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (F.floor(_k() / step) % len(values) + 1).cast("int"))
 
 
 def pick_sql(*values: str | None, step: int = 1) -> str:
@@ -50,7 +57,7 @@ def labels_literal(s, d):
 
 @query("renormalize", f"SELECT c_custkey::VARCHAR AS post_id, {pick_sql(*FIELDS.values())} AS field_normalized, {pick_sql(*PROFESSIONS.values())} AS profession_normalized, {pick_sql(*FIRMS.values())} AS law_firm_normalized FROM customer")
 def renormalize(s, d):
-    stale = customers(s, d).select(TEXT.alias("post_id"), pick(*FIELDS).alias("field_raw"), pick(*PROFESSIONS).alias("profession_raw"), pick(*FIRMS).alias("law_firm_raw"), *[F.lit("old").alias(c) for c in ("field_normalized", "profession_normalized", "law_firm_normalized")])
+    stale = customers(s, d).select(_k_text().alias("post_id"), pick(*FIELDS).alias("field_raw"), pick(*PROFESSIONS).alias("profession_raw"), pick(*FIRMS).alias("law_firm_raw"), *[F.lit("old").alias(c) for c in ("field_normalized", "profession_normalized", "law_firm_normalized")])
     return store.renormalize(stale).select("post_id", "field_normalized", "profession_normalized", "law_firm_normalized")
 
 
@@ -72,7 +79,7 @@ def prefilter_literal(s, d):
   SELECT c_custkey::VARCHAR AS post_id, sha256('case' || chr(10) || text || chr(10) || chr(10)) AS content_hash, 'mock/mock@high#x' AS run_key, CASE WHEN decision THEN 'ok' ELSE 'excluded' END AS status, CASE WHEN decision THEN o END AS outcome, TRUE AS body_available, 7::BIGINT AS classified_at FROM v""")
 def classify_status(s, d):
     nothing = F.lit(None).cast("string")
-    posts = _stories(s, d).select(TEXT.alias("id"), F.lit("case").alias("title"), F.col("text").alias("selftext"), nothing.alias("link_flair_text"), nothing.alias("op_comments"))
+    posts = _stories(s, d).select(_k_text().alias("id"), F.lit("case").alias("title"), F.col("text").alias("selftext"), nothing.alias("link_flair_text"), nothing.alias("op_comments"))
     return heuristic_rows(with_hash(posts), 7, "high", "x").select("post_id", "content_hash", "run_key", "status", "outcome", "body_available", "classified_at")
 
 
@@ -82,7 +89,7 @@ BODIES, FLAIRS, SAID = ("a body", "[removed]", "", None), ("Approved", "", None)
 
 
 def _parts() -> list[Column]:
-    return [F.concat(F.lit("case "), TEXT), pick(*BODIES), pick(*FLAIRS, step=2), pick(*SAID, step=3)]
+    return [F.concat(F.lit("case "), _k_text()), pick(*BODIES), pick(*FLAIRS, step=2), pick(*SAID, step=3)]
 
 
 _PARTS_SQL = f"t AS (SELECT c_custkey, 'case ' || c_custkey AS title, {pick_sql(*BODIES)} AS body, {pick_sql(*FLAIRS, step=2)} AS flair, trim(coalesce({pick_sql(*SAID, step=3)}, '')) AS said FROM customer)"
@@ -105,13 +112,13 @@ def source_text(s, d):
 @query("durations_and_times", """SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN '—' WHEN c_custkey * 7 >= 3600 THEN (c_custkey * 7 // 3600) || 'h' || lpad((c_custkey * 7 % 3600 // 60)::VARCHAR, 2, '0') || 'm'
   WHEN c_custkey * 7 >= 60 THEN (c_custkey * 7 // 60) || 'm' || lpad((c_custkey * 7 % 60)::VARCHAR, 2, '0') || 's' ELSE (c_custkey * 7) || 's' END AS took, strftime(make_timestamp(c_custkey * 1000003 * 1000000), '%Y-%m-%d %H:%M') AS at_utc, round(c_custkey % 101 / 100.0 * 100)::INT AS percent FROM customer""")
 def durations_and_times(s, d):
-    seconds = F.when(K % 10 != 0, K * 7)
-    return customers(s, d).select("c_custkey", derive.duration_text(seconds).alias("took"), derive.utc_text(K * 1000003).alias("at_utc"), derive.percent(K % 101 / 100).alias("percent"))
+    seconds = F.when(_k() % 10 != 0, _k() * 7)
+    return customers(s, d).select("c_custkey", derive.duration_text(seconds).alias("took"), derive.utc_text(_k() * 1000003).alias("at_utc"), derive.percent(_k() % 101 / 100).alias("percent"))
 
 
 @query("usage_limit", f"SELECT c_custkey, c_custkey % 5 < 3 AS hit, CASE WHEN c_custkey % 5 = 0 THEN 1700000000 + c_custkey END::BIGINT AS reset_epoch FROM customer")
 def usage_limit(s, d):
-    text = F.when(K % 5 == 0, F.concat(F.lit("Usage limit reached|"), (K + 1700000000).cast("string"))).otherwise(pick("x", "Your limit will reset soon", "5-HOUR LIMIT", "delimit reach", "done"))
+    text = F.when(_k() % 5 == 0, F.concat(F.lit("Usage limit reached|"), (_k() + 1700000000).cast("string"))).otherwise(pick("x", "Your limit will reset soon", "5-HOUR LIMIT", "delimit reach", "done"))
     found = extract.usage_limit(text)
     return customers(s, d).select("c_custkey", found["hit"].alias("hit"), found["reset_epoch"].alias("reset_epoch"))
 
@@ -135,12 +142,12 @@ def contract_violations(s, d):
 
 @query("tool_answers", "SELECT c_custkey, CASE WHEN c_custkey % 4 < 3 THEN c_custkey END::BIGINT AS n, CASE WHEN c_custkey % 4 = 0 THEN c_custkey / 4.0 END::DOUBLE AS cost FROM customer")
 def tool_answers(s, d):
-    one = F.concat(F.lit('{"n":'), TEXT, F.lit("}"))
-    quoted = F.concat(F.lit('{\\"n\\": '), TEXT, F.lit("}"))
+    one = F.concat(F.lit('{"n":'), _k_text(), F.lit("}"))
+    quoted = F.concat(F.lit('{\\"n\\": '), _k_text(), F.lit("}"))
     out = (
-        F.when(K % 4 == 0, F.concat(F.lit('{"structured_output":'), one, F.lit(',"result":"no","total_cost_usd":'), (K / 4).cast("string"), F.lit("}")))
-        .when(K % 4 == 1, F.concat(F.lit('{"result":"So: '), quoted, F.lit('"}')))
-        .when(K % 4 == 2, F.concat(F.lit("```json\n"), one, F.lit("\n```")))
+        F.when(_k() % 4 == 0, F.concat(F.lit('{"structured_output":'), one, F.lit(',"result":"no","total_cost_usd":'), (_k() / 4).cast("string"), F.lit("}")))
+        .when(_k() % 4 == 1, F.concat(F.lit('{"result":"So: '), quoted, F.lit('"}')))
+        .when(_k() % 4 == 2, F.concat(F.lit("```json\n"), one, F.lit("\n```")))
         .otherwise("no answer")
     )
     return customers(s, d).select("c_custkey", F.try_variant_get(jsonx.envelope_answer(out), "$.n", "long").alias("n"), jsonx.envelope_cost(out).alias("cost"))
@@ -157,13 +164,13 @@ PII_SQL = {
 
 
 def _planted(s, d) -> DataFrame:
-    four = F.lpad((K % 10000).cast("string"), 4, "0")
+    four = F.lpad((_k() % 10000).cast("string"), 4, "0")
     parts = {
-        "ssn": F.concat(F.lit("123-45-"), four), "uscis_receipt": F.concat(F.lit("ioe 091234"), four), "a_number": F.concat(F.lit("A-21234"), four), "google_scholar": F.concat(F.lit("scholar.google.co.uk/citations?user="), TEXT),
-        "orcid": F.concat(F.lit("orcid.org/0000-0002-1825-"), F.lpad((K % 1000).cast("string"), 3, "0"), F.lit("X")), "researchgate": F.concat(F.lit("ResearchGate.net/profile/A-"), TEXT), "linkedin": F.concat(F.lit("linkedin.com/in/p-"), TEXT),
-        "phone": F.concat(F.lit("(415) 555-"), four), "other_profile": F.concat(F.lit("x.com/u"), TEXT), "github_profile": F.concat(F.lit("github.com/u"), TEXT, F.lit("/r.x")), "email": F.concat(F.lit("a.b+"), TEXT, F.lit("@mail.example.org")),
+        "ssn": F.concat(F.lit("123-45-"), four), "uscis_receipt": F.concat(F.lit("ioe 091234"), four), "a_number": F.concat(F.lit("A-21234"), four), "google_scholar": F.concat(F.lit("scholar.google.co.uk/citations?user="), _k_text()),
+        "orcid": F.concat(F.lit("orcid.org/0000-0002-1825-"), F.lpad((_k() % 1000).cast("string"), 3, "0"), F.lit("X")), "researchgate": F.concat(F.lit("ResearchGate.net/profile/A-"), _k_text()), "linkedin": F.concat(F.lit("linkedin.com/in/p-"), _k_text()),
+        "phone": F.concat(F.lit("(415) 555-"), four), "other_profile": F.concat(F.lit("x.com/u"), _k_text()), "github_profile": F.concat(F.lit("github.com/u"), _k_text(), F.lit("/r.x")), "email": F.concat(F.lit("a.b+"), _k_text(), F.lit("@mail.example.org")),
     }
-    text = F.concat_ws(" ; ", *[F.when(K % (i + 2) == 0, F.concat(F.lit("see "), v, F.lit(" ok"))) for i, v in enumerate(parts.values())], F.lit("1234567-89-01234 12345"))
+    text = F.concat_ws(" ; ", *[F.when(_k() % (i + 2) == 0, F.concat(F.lit("see "), v, F.lit(" ok"))) for i, v in enumerate(parts.values())], F.lit("1234567-89-01234 12345"))
     return customers(s, d).select("c_custkey", text.alias("text"))
 
 
@@ -198,10 +205,10 @@ def author_counts(s, d):
 def dump_submissions(s, d):
     """A quarter each: a post, a broken line, a comment, and a post whose title is null."""
     line = (
-        F.when(K % 4 == 0, F.to_json(F.struct(TEXT.alias("id"), F.concat(F.lit('t "'), TEXT, F.lit('"')).alias("title"), (K + 0.25).alias("created_utc"))))
-        .when(K % 4 == 1, F.concat(F.lit('{"id":"'), TEXT, F.lit('","title":')))
-        .when(K % 4 == 2, F.to_json(F.struct(TEXT.alias("id"), F.lit("c").alias("body"))))
-        .otherwise(F.concat(F.lit('{"id":"'), TEXT, F.lit('","title":null,"created_utc":'), TEXT, F.lit("}")))
+        F.when(_k() % 4 == 0, F.to_json(F.struct(_k_text().alias("id"), F.concat(F.lit('t "'), _k_text(), F.lit('"')).alias("title"), (_k() + 0.25).alias("created_utc"))))
+        .when(_k() % 4 == 1, F.concat(F.lit('{"id":"'), _k_text(), F.lit('","title":')))
+        .when(_k() % 4 == 2, F.to_json(F.struct(_k_text().alias("id"), F.lit("c").alias("body"))))
+        .otherwise(F.concat(F.lit('{"id":"'), _k_text(), F.lit('","title":null,"created_utc":'), _k_text(), F.lit("}")))
     )
     return dumps.posts(dumps.submissions(dumps.parsed(customers(s, d).select(line.alias("value"))))).select("id", "title", "created_utc")
 
@@ -212,7 +219,7 @@ def normalize_posts(s, d):
     """Every fifth has no title and every seventh no time: not posts."""
     text = lambda c: c.cast("string")
     raw = customers(s, d).select(
-        TEXT.alias("id"), F.when(K % 3 == 0, "other").when(K % 3 == 1, "").alias("subreddit"), F.when(K % 5 != 0, F.when(K % 2 == 0, "NIW approved").otherwise("hello")).alias("title"), F.when(K % 7 != 0, K).alias("created_utc"),
+        _k_text().alias("id"), F.when(_k() % 3 == 0, "other").when(_k() % 3 == 1, "").alias("subreddit"), F.when(_k() % 5 != 0, F.when(_k() % 2 == 0, "NIW approved").otherwise("hello")).alias("title"), F.when(_k() % 7 != 0, _k()).alias("created_utc"),
         *[text(F.lit(None)).alias(c) for c in ("selftext", "link_flair_text", "author", "url", "raw_json")], *[F.lit(None).cast("long").alias(c) for c in ("score", "num_comments")],
     )
     return pipeline.normalize_posts(raw, "s", "dump", 9).select("id", "subreddit", "permalink", "fetched_at", "source", "prefilter_reason", "is_candidate")
