@@ -36,7 +36,7 @@ RECALL, MAX_BANDS = 0.99, 12
 #: Bits of a set's sketch, and the columns of its words.
 SKETCH_BITS = 256
 SKETCH = tuple(f"s{i}" for i in range(SKETCH_BITS // 64))
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 
 def digests(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Two halves of a cryptographic digest of each line."""
@@ -90,41 +90,59 @@ def _text_steps(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
         yield a, b, [t or "" for t in column.slice(a, b - a).to_pylist()]
 
 
+def _first_lines(texts: list[str]) -> tuple[Lines, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The lines, and of the first occurrence of each worded line of a text its place in them, both halves of its digest and its occurrences in the text."""
+    lines = Lines(texts)
+    at = np.flatnonzero(lines.worded)
+    k1, k2 = lines.keys(at)
+    order = np.lexsort((lines.number[at], k2, k1, lines.row[at]))
+    r, x, y = lines.row[at][order], k1[order], k2[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (r[1:] != r[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    firsts = np.flatnonzero(new)
+    return lines, at[order[firsts]], x[firsts], y[firsts], np.diff(np.append(firsts, len(order)))
+
+
+def line_places(docs: DataFrame) -> DataFrame:
+    """id, line, k1, k2 and copies of the first occurrence of each worded line of a row; copies counts its occurrences there."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, texts in _text_steps(batch.column(1)):
+                lines, at, k1, k2, copies = _first_lines(texts)
+                ids = batch.column(0).slice(a, b - a).take(pa.array(lines.row[at]))
+                yield K.batch({"id": ids, "line": pa.array(lines.number[at].astype(np.int32)), "k1": pa.array(k1), "k2": pa.array(k2), "copies": pa.array(copies.astype(np.int32))})
+        K.release()
+
+    return docs.mapInArrow(name, f"id {docs.schema['id'].dataType.simpleString()}, line int, k1 long, k2 long, copies int")
+
+
 def line_signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """id, line, k1, k2, copies, set size n, words of the set's sketch and a key per band of the first occurrence of each worded line of a row; copies counts its occurrences there."""
+    """id, line, k1, k2, set size n, words of the set's sketch and a key per band of the first occurrence of each worded line of a row."""
     names = [f"b{i}" for i in range(bands)]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in _text_steps(batch.column(1)):
-                lines = Lines(texts)
-                at = np.flatnonzero(lines.worded)
+                lines, at, k1, k2, _ = _first_lines(texts)
                 if not len(at):
                     continue
-                k1, k2 = lines.keys(at)
-                order = np.lexsort((lines.number[at], k2, k1, lines.row[at]))
-                r, x, y = lines.row[at][order], k1[order], k2[order]
-                new = np.ones(len(order), dtype=bool)
-                new[1:] = (r[1:] != r[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-                firsts = np.flatnonzero(new)
-                copies = np.diff(np.append(firsts, len(order)))
-                at, k1, k2 = at[order[firsts]], x[firsts], y[firsts]
                 members, n = lines.shingles(at, shingle)
                 keys = band_keys(members, n, bands, rows)
                 members, owner = K.distinct(members, np.repeat(np.arange(len(n)), n))
                 sketch = parities(members, owner, len(n), SKETCH_BITS)
                 ids = batch.column(0).slice(a, b - a).take(pa.array(lines.row[at]))
-                made = {"id": ids, "line": pa.array(lines.number[at].astype(np.int32)), "k1": pa.array(k1), "k2": pa.array(k2), "copies": pa.array(copies.astype(np.int32)), "n": pa.array(np.bincount(owner, minlength=len(n)))}
+                made = {"id": ids, "line": pa.array(lines.number[at].astype(np.int32)), "k1": pa.array(k1), "k2": pa.array(k2), "n": pa.array(np.bincount(owner, minlength=len(n)))}
                 made |= {c: pa.array(np.ascontiguousarray(sketch[:, i])) for i, c in enumerate(SKETCH)}
                 yield K.batch(made | {c: pa.array(np.ascontiguousarray(keys[:, i]).view(np.int64)) for i, c in enumerate(names)})
         K.release()
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(sign, f"id {kind}, line int, k1 long, k2 long, copies int, n long, " + ", ".join(f"{c} long" for c in (*SKETCH, *names)))
+    return docs.mapInArrow(sign, f"id {kind}, line int, k1 long, k2 long, n long, " + ", ".join(f"{c} long" for c in (*SKETCH, *names)))
 
 
-def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, text) of the lines ``wanted`` (node, id, line, k1)."""
+def line_texts(docs: DataFrame, wanted: DataFrame, unique: bool) -> DataFrame:
+    """(node, text) of the lines ``wanted`` (node, id, line, k1); where ids are ``unique``, each is found once."""
     lists = staged(wanted.groupBy("id").agg(*[F.collect_list(c).alias(c) for c in ("node", "line", "k1")]), "lists")
     picked = docs.join(small_side(lists), "id").select("text", "node", "line", "k1")
 
@@ -143,7 +161,8 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield K.batch({"node": pa.array(nodes, pa.int64()), "text": pa.array(found, pa.string())}).filter(pa.array(same))
         K.release()
 
-    return picked.mapInArrow(cut, "node long, text string").dropDuplicates(["node"])
+    found = picked.mapInArrow(cut, "node long, text string")
+    return found if unique else found.dropDuplicates(["node"])
 
 
 def line_sets(shingle: int) -> Sets:
@@ -161,14 +180,14 @@ def line_components(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[in
     bands, rows = tune(threshold[0] / threshold[1], recall, max_bands)
     names = [f"b{i}" for i in range(bands)]
     docs = docs.filter(F.col("id").isNotNull())
-    signatures = staged(line_signatures(docs, shingle, bands, rows), "lines")
+    places = staged(line_places(docs), "places")
     # Where rows repeat an id, the order by line needs structs, which aggregate by sorting.
     unique = docs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
     first = [F.min("id").alias("id"), F.min_by("line", "id" if unique else F.struct("id", "line")).alias("line")]
     columns = ["n", *SKETCH, *names]
-    distinct = numbered(signatures.groupBy("k1", "k2").agg(*first, *[F.first(c).alias(c) for c in columns], F.count(F.lit(1)).alias("rows")), "distinct")
-    slim = staged(signatures.select("id", "line", "k1", "k2", "copies"), "places")
-    discard(signatures)
+    # Equal lines agree in these columns; a maximum takes half the room of a first value in the aggregation's buffers.
+    signatures = line_signatures(docs, shingle, bands, rows)
+    distinct = numbered(signatures.groupBy("k1", "k2").agg(*first, *[F.max(c).alias(c) for c in columns], F.count(F.lit(1)).alias("rows")), "distinct")
 
     keyed = distinct.select("node", F.explode(F.array(*names)).alias("key"))
     shared = staged(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "shared")
@@ -177,7 +196,7 @@ def line_components(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[in
     active = staged(active, "active")
 
     def texts(nodes: DataFrame) -> DataFrame:
-        return staged(line_texts(docs, active.select("node", "id", "line", "k1").join(nodes, "node")), "texts")
+        return staged(line_texts(docs, active.select("node", "id", "line", "k1").join(nodes, "node"), unique), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         return similar_pairs(pairs, texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), line_sets(shingle), threshold)
@@ -191,7 +210,7 @@ def line_components(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[in
     again = distinct.filter("rows > 1").select("k1", "k2", "id", "line").join(in_component.select("k1", "k2"), ["k1", "k2"], "left_anti")
     kept = staged(moved.unionByName(again.select("k1", "k2", *[F.col(c).alias(f"to_{c}") for c in ("id", "line", "k1", "k2")])), "kept")
     discard(distinct, in_component, labels)
-    return slim, kept
+    return places, kept
 
 
 def removed_lines(docs: DataFrame, **parameters) -> DataFrame:
@@ -199,16 +218,15 @@ def removed_lines(docs: DataFrame, **parameters) -> DataFrame:
 
     ``stays`` tells for a listed line whether its first place stays, ``k1`` is half of its digest.
     """
-    signatures, kept = line_components(docs, **parameters)
-    rows = signatures.select("id", "line", "k1", "k2", "copies").join(kept, ["k1", "k2"], "left")
+    places, kept = line_components(docs, **parameters)
     same = [F.col(f"to_{c}") == F.col(c) for c in ("id", "line", "k1", "k2")]
     here = F.col("to_k1").isNull() | (same[0] & same[1] & same[2] & same[3])
-    listed = F.when(~here | (F.col("copies") > 1), F.struct("line", here.alias("stays"), "k1"))
-    return rows.groupBy("id").agg(
-        F.sum("copies").cast("long").alias("n_lines"),
-        F.count_if(here).alias("n_kept"),
-        F.sort_array(F.collect_list(listed)).alias("removed"),
-    )
+    # Only lines that go in some place are listed, so the lists are built from few rows.
+    rows = places.join(kept, ["k1", "k2"], "left").select("id", "line", "k1", "copies", here.alias("stays")).filter(~F.col("stays") | (F.col("copies") > 1))
+    gone = rows.groupBy("id").agg(F.count_if(~F.col("stays")).alias("n_gone"), F.sort_array(F.collect_list(F.struct("line", "stays", "k1"))).alias("removed"))
+    totals = places.groupBy("id").agg(F.sum("copies").cast("long").alias("n_lines"), F.count(F.lit(1)).alias("n_distinct"))
+    nothing = F.array().cast(gone.schema["removed"].dataType)
+    return totals.join(gone, "id", "left").select("id", "n_lines", (F.col("n_distinct") - F.coalesce("n_gone", F.lit(0))).alias("n_kept"), F.coalesce("removed", nothing).alias("removed"))
 
 
 @F.arrow_udf(T.StringType())
