@@ -33,9 +33,8 @@ from docketlake.llm.storage import discard, numbered, small_side, staged
 SHINGLE = 5
 THRESHOLD = (4, 5)
 RECALL, MAX_BANDS = 0.99, 12
-#: Bits of a set's sketch, and the columns of its words.
+#: Bits of a set's sketch.
 SKETCH_BITS = 256
-SKETCH = tuple(f"s{i}" for i in range(SKETCH_BITS // 64))
 STEP_BYTES = 1 << 18
 
 def digests(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +117,7 @@ def line_places(docs: DataFrame) -> DataFrame:
 
 
 def line_signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """id, line, k1, k2, set size n, words of the set's sketch and a key per band of the first occurrence of each worded line of a row."""
+    """id, line, k1, k2 and a key per band of the first occurrence of each worded line of a row."""
     names = [f"b{i}" for i in range(bands)]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,22 +128,30 @@ def line_signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> Dat
                     continue
                 members, n = lines.shingles(at, shingle)
                 keys = band_keys(members, n, bands, rows)
-                members, owner = K.distinct(members, np.repeat(np.arange(len(n)), n))
-                sketch = parities(members, owner, len(n), SKETCH_BITS)
                 ids = batch.column(0).slice(a, b - a).take(pa.array(lines.row[at]))
-                made = {"id": ids, "line": pa.array(lines.number[at].astype(np.int32)), "k1": pa.array(k1), "k2": pa.array(k2), "n": pa.array(np.bincount(owner, minlength=len(n)))}
-                made |= {c: pa.array(np.ascontiguousarray(sketch[:, i])) for i, c in enumerate(SKETCH)}
+                made = {"id": ids, "line": pa.array(lines.number[at].astype(np.int32)), "k1": pa.array(k1), "k2": pa.array(k2)}
                 yield K.batch(made | {c: pa.array(np.ascontiguousarray(keys[:, i]).view(np.int64)) for i, c in enumerate(names)})
         K.release()
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(sign, f"id {kind}, line int, k1 long, k2 long, n long, " + ", ".join(f"{c} long" for c in (*SKETCH, *names)))
+    return docs.mapInArrow(sign, f"id {kind}, line int, k1 long, k2 long, " + ", ".join(f"{c} long" for c in names))
 
 
-def line_texts(docs: DataFrame, wanted: DataFrame, unique: bool) -> DataFrame:
-    """(node, text) of the lines ``wanted`` (node, id, line, k1); where ids are ``unique``, each is found once."""
+def line_sets(shingle: int) -> Sets:
+    def build(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lines = Lines(column.to_pylist())
+        at = np.arange(len(column))
+        members, n = lines.shingles(at, shingle)
+        return K.distinct(members, np.repeat(at, n))
+
+    return build
+
+
+def line_contents(docs: DataFrame, wanted: DataFrame, shingle: int, unique: bool) -> DataFrame:
+    """node, text, set size n and sketch of the set of the lines ``wanted`` (node, id, line, k1); where ids are ``unique``, each is found once."""
     lists = staged(wanted.groupBy("id").agg(*[F.collect_list(c).alias(c) for c in ("node", "line", "k1")]), "lists")
     picked = docs.join(small_side(lists), "id").select("text", "node", "line", "k1")
+    sets = line_sets(shingle)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,24 +164,20 @@ def line_texts(docs: DataFrame, wanted: DataFrame, unique: bool) -> DataFrame:
                             found.append(lines[n])
                             nodes.append(m)
                             want.append(k)
-                same = digests(found)[0] == np.array(want, np.int64)  # not so in a row that only shares the id
-                yield K.batch({"node": pa.array(nodes, pa.int64()), "text": pa.array(found, pa.string())}).filter(pa.array(same))
+                same = pa.array(digests(found)[0] == np.array(want, np.int64))  # not so in a row that only shares the id
+                column = pa.array(found, pa.string()).filter(same)
+                members, owner = sets(column)
+                sketch = parities(members, owner, len(column), SKETCH_BITS)
+                yield K.batch({
+                    "node": pa.array(nodes, pa.int64()).filter(same), "text": column, "n": pa.array(np.bincount(owner, minlength=len(column))),
+                    "sketch": K.list_column(sketch.ravel(), np.full(len(column), sketch.shape[1])),
+                })
         K.release()
 
-    found = picked.mapInArrow(cut, "node long, text string")
+    found = picked.mapInArrow(cut, "node long, text string, n long, sketch array<long>")
     return found if unique else found.dropDuplicates(["node"])
 
 
-def line_sets(shingle: int) -> Sets:
-    def build(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        lines = Lines(column.to_pylist())
-        at = np.arange(len(column))
-        members, n = lines.shingles(at, shingle)
-        return K.distinct(members, np.repeat(at, n))
-
-    return build
-
-
 def line_components(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL, max_bands: int = MAX_BANDS) -> tuple[DataFrame, DataFrame]:
     """(places, kept): every distinct line of each row of ``docs`` (id, text), and for each that isn't alone, by k1 and k2, the occurrence (to_id, to_line, with its own to_k1 and to_k2) that stays."""
     bands, rows = tune(threshold[0] / threshold[1], recall, max_bands)
@@ -184,24 +187,23 @@ def line_components(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[in
     # Where rows repeat an id, the order by line needs structs, which aggregate by sorting.
     unique = docs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
     first = [F.min("id").alias("id"), F.min_by("line", "id" if unique else F.struct("id", "line")).alias("line")]
-    columns = ["n", *SKETCH, *names]
-    # Equal lines agree in these columns; a maximum takes half the room of a first value in the aggregation's buffers.
+    # Equal lines agree in their keys; a maximum takes half the room of a first value in the aggregation's buffers.
     signatures = line_signatures(docs, shingle, bands, rows)
-    distinct = numbered(signatures.groupBy("k1", "k2").agg(*first, *[F.max(c).alias(c) for c in columns], F.count(F.lit(1)).alias("rows")), "distinct")
+    distinct = numbered(signatures.groupBy("k1", "k2").agg(*first, *[F.max(c).alias(c) for c in names], F.count(F.lit(1)).alias("rows")), "distinct")
 
     keyed = distinct.select("node", F.explode(F.array(*names)).alias("key"))
     shared = staged(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "shared")
     buckets = staged(keyed.join(shared, "key"), "buckets")
-    active = distinct.select("node", "id", "line", "k1", "n", F.array(*SKETCH).alias("sketch")).join(buckets.select("node").distinct(), "node")
-    active = staged(active, "active")
-
-    def texts(nodes: DataFrame) -> DataFrame:
-        return staged(line_texts(docs, active.select("node", "id", "line", "k1").join(nodes, "node"), unique), "texts")
+    # Only lines that share a band are measured and fetched, in one pass that serves all later steps.
+    wanted = distinct.select("node", "id", "line", "k1").join(buckets.select("node").distinct(), "node")
+    active = staged(line_contents(docs, wanted, shingle, unique), "active")
+    texts = active.select("node", "text")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        return similar_pairs(pairs, texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), line_sets(shingle), threshold)
+        ends = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+        return similar_pairs(pairs, staged(texts.join(small_side(ends), "node", "left_semi"), "texts"), line_sets(shingle), threshold)
 
-    labels = resolve(buckets, threshold, verify, active, sets=line_sets(shingle), texts=texts)
+    labels = resolve(buckets, threshold, verify, active, sets=line_sets(shingle), texts=lambda nodes: texts.join(nodes, "node", "left_semi"))
     discard(shared, buckets, active)
     place = F.struct("id", "line", "k1", "k2")
     in_component = staged(distinct.select("node", "k1", "k2", "id", "line").join(small_side(labels), "node").drop("node"), "in_component")
