@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from docketlake.llm import line_dedup, mixing, ngram_join, piece_codec, quality_rules
 from docketlake.llm.queries import vocabulary
+from docketlake.llm.storage import bound_batches
 from docketlake.llm.storage import stage as stage_tables
 from docketlake.llm.storage import staged
 from docketlake.session import ship_package
@@ -28,6 +29,7 @@ def _releasing(function: Callable[[SparkSession, DataFrame, str], DataFrame]) ->
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         with stage_tables():
             ship_package(spark)
+            bound_batches(spark)
             return function(spark, docs, sf_dir)
 
     return run_stage

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketlake.llm import embedding_dedup, html_text, line_dedup, mixing, ngram_join, paragraph_dedup, piece_codec, quality_rules, token_counts, warc
+from docketlake.llm.storage import bound_batches
 from docketlake.session import ship_package
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -43,6 +43,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Bytes of a batch of rows on its way to a Python worker; by rows alone a batch of long texts has no bound.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound what the JVM and a worker hold of a batch, unless the session was set up with a bound of its own."""
+    if not spark.sparkContext.getConf().contains(_BATCH_SETTING):
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 #: Rows that a task of a sized table writes.
 ROWS_PER_TASK = 50_000
 
