@@ -136,6 +136,7 @@ def duration_text(seconds: Column) -> Column:
 
 
 def utc_text(epoch: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd HH:mm")
+    """YYYY-MM-DD HH:MM; a year of more than four digits has no sign before it."""
+    return F.ltrim(F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd HH:mm"), F.lit("+"))
 
 

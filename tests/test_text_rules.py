@@ -102,3 +102,8 @@ def test_derived(spark):
 
     want = hashlib.sha256(b"t\n\n\nc").hexdigest()
     assert one(spark, derive.content_hash(F.lit(" t "), F.lit(None), F.lit(""), F.lit("c\n"))) == want
+
+
+def test_utc_text_beyond_four_digits(spark):
+    df = spark.sql("SELECT * FROM VALUES (0L), (253402300799L), (253402300800L), (900000L * 1000003L) AS v(e)").orderBy("e")
+    assert [r[0] for r in df.select(derive.utc_text(F.col("e"))).collect()] == ["1970-01-01 00:00", "9999-12-31 23:59", "10000-01-01 00:00", "30489-12-12 22:00"]
