@@ -14,10 +14,16 @@ RAW_IMMUTABLE = ("created_utc",)
 RAW_KEPT = ("op_comments",)
 
 
-def latest_per_key(staged: DataFrame, keys: Sequence[str], order: str, first: Sequence[str] = ()) -> DataFrame:
-    """One staged row per key: the last by ``order``, but with the earliest values of the columns ``first``."""
-    ordered = Window.partitionBy(*keys).orderBy(F.desc(order))
-    whole = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+def latest_per_key(staged: DataFrame, keys: Sequence[str], order: str, first: Sequence[str] = (), ties: Sequence[str] = ()) -> DataFrame:
+    """One staged row per key: the last by ``order``, but with the earliest values of the columns ``first``.
+
+    Of rows equal in ``order`` the smallest by ``ties`` counts, and then by all
+    columns that have an order, so that no result depends on partitioning.
+    """
+    unordered = ("map<", "variant")
+    rest = [f.name for f in staged.schema if f.name not in (*keys, order, *ties) and not any(u in f.dataType.simpleString() for u in unordered)]
+    ordered = Window.partitionBy(*keys).orderBy(F.desc(order), *ties, *rest)
+    whole = Window.partitionBy(*keys).orderBy(order, *ties, *rest).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     out = staged.withColumn("__rank", F.row_number().over(ordered))
     out = out.withColumns({c: F.first(c).over(whole) for c in first})
     return out.filter("__rank = 1").drop("__rank")

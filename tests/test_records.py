@@ -171,3 +171,27 @@ def test_comments(spark):
     got = {r["id"]: r["op_comments"] for r in comments.op_comments(posts, said).collect()}
     assert got == {"p": "Parent comment (x): how many?\nOP reply: 91\n---\nOP comment: top", "q": ""}
     assert comments.op_comments(posts, said, cap=5).filter("id = 'p'").first()["op_comments"] == "Paren"
+
+
+@pytest.mark.parametrize("backwards", [False, True])
+def test_latest_per_key_decides_ties(spark, backwards):
+    rows = [("k", 7, "b", 3), ("k", 7, "a", 4), ("k", 1, "d", 6), ("k", 1, "c", 5)]
+    df = spark.createDataFrame(rows[::-1] if backwards else rows, "id string, at long, title string, created_utc long").coalesce(1)
+    got = store.latest_per_key(df, ["id"], "at", ["created_utc"]).collect()
+    assert [tuple(r) for r in got] == [("k", 7, "a", 5)]
+    got = store.latest_per_key(df, ["id"], "at", ["created_utc"], ["created_utc"]).collect()
+    assert [tuple(r) for r in got] == [("k", 7, "b", 5)]
+
+
+def test_ingest_dedup_takes_the_first_in_the_file(spark, tmp_path):
+    """Spark reads the larger file first, so neither partitions nor row order tell a row's place."""
+    from docketlake.plans.queries import QUERIES
+
+    columns = "id AS l_orderkey, CAST(1 AS INT) AS l_linenumber, {0} AS l_partkey, timestamp_seconds({0}) AS l_shipdate"
+    folder = tmp_path / "lineitem.parquet"
+    folder.mkdir()
+    for name, part, n in (("a", 1, 10), ("b", 2, 50_000)):
+        spark.range(n).selectExpr(*columns.format(f"{part}L").split(", ", 3)).coalesce(1).write.parquet(str(tmp_path / name))
+        next((tmp_path / name).glob("*.parquet")).rename(folder / f"{name}.parquet")
+    got = QUERIES["ingest_dedup"](spark, str(tmp_path)).filter("id < 10").select("title", "created_utc").distinct().collect()
+    assert [tuple(r) for r in got] == [(1, 1)]
