@@ -175,7 +175,7 @@ def resolve(buckets: DataFrame, threshold: tuple[int, int], verify: Verify, cont
         """Screen the pairs by the sketches, verify them, add the links (``also`` are some), and merge labels."""
         nonlocal labels
         end = lambda x: content.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch"))
-        allowed = staged(pairs.distinct().join(end("a"), "a").join(end("b"), "b").filter(_sketches_allow(threshold, "a_", "b_")).select("a", "b"), "allowed")
+        allowed = staged(pairs.distinct().join(end("a"), "a").join(end("b"), "b").filter(sketches_allow(threshold, "a_", "b_")).select("a", "b"), "allowed")
         mark = written()
         found = verify(allowed)
         found = staged(found if also is None else found.unionByName(also), "links")
@@ -224,11 +224,9 @@ def resolve(buckets: DataFrame, threshold: tuple[int, int], verify: Verify, cont
 
     few = now.filter(F.col("size") <= SMALL).select("key", "node", "label", *extra)
     between = (F.col("x_node") < F.col("y_node")) & (F.col("x_label") != F.col("y_label")) & condition("x_", "y_")
-    if sets is not None:  # the sketches of short texts are short enough to go along
-        few = few.join(content, "node")
-        between = between & _sketches_allow(threshold, "x_", "y_")
-    few = staged(few, "few", rows)
-    among = side(few, "x_").join(side(few, "y_"), "key").filter(between).select(*ordered)
+    # Sketches go along, so that a bucket makes no rows of its pairs but those that they allow.
+    few = staged(few.join(content.select(*[c for c in content.columns if c == "node" or c not in few.columns]), "node"), "few", rows)
+    among = side(few, "x_").join(side(few, "y_"), "key").filter(between & sketches_allow(threshold, "x_", "y_")).select(*ordered)
     of_many = now.filter(F.col("size") > SMALL).select("key", "size", "most", "top", "node", "label")
     if sets is not None:
         held = of_many.join(texts(of_many.select("node").distinct()), "node")
@@ -252,7 +250,7 @@ def at_least(threshold: tuple[int, int], common: Column, a: Column, b: Column) -
     return (p + q) * common >= p * (a + b)
 
 
-def _sketches_allow(threshold: tuple[int, int], x: str, y: str) -> Column:
+def sketches_allow(threshold: tuple[int, int], x: str, y: str) -> Column:
     """Whether sizes and sketches of two nodes, columns with these prefixes, allow the index."""
     n, m = F.col(f"{x}n"), F.col(f"{y}n")
     apart = F.aggregate(F.zip_with(f"{x}sketch", f"{y}sketch", lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda total, v: total + v)
