@@ -32,15 +32,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketlake.llm import kernels as K
-from docketlake.llm.resolve import at_least, resolve
+from docketlake.llm.resolve import at_least, resolve, sketches_allow
 from docketlake.llm.sets import Sets, parities, similar_pairs
 from docketlake.llm.storage import discard, numbered, small_side, staged
 
 #: Bound of the list of frequent n-grams (8 bytes each), and the count in one step of a task from which one is reported.
 FREQUENT, REPORTED = 1 << 16, 4
 STEP_BYTES = 8 << 20
-#: Bits of a set's sketch.
-SKETCH_BITS = 2048
+#: Bits of a set's sketch, and of the finer one that sets of more members than that have beside it: a sketch tells sets apart up to about twice its bits.
+SKETCH_BITS, FINE_BITS = 2048, 16384
 
 
 def text_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,19 +121,31 @@ def profile(docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame
 
 
 def class_texts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, text) of the classes ``wanted`` (node, id, k1, k2): of the rows with that id the one whose set has that name."""
+    """(node, text, n, sketch) of the classes ``wanted`` (node, id, k1, k2): of the rows with that id the one whose set has that name; only large sets have the finer sketch."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, members, rows in _steps(batch.column(1), size):
-                k1, k2 = set_keys(members, np.bincount(rows, minlength=b - a))
-                yield K.batch({"k1": pa.array(k1), "k2": pa.array(k2), "text": batch.column(1).slice(a, b - a)})
+                n = np.bincount(rows, minlength=b - a)
+                k1, k2 = set_keys(members, n)
+                large = n > SKETCH_BITS
+                inside = large[rows]
+                sketch = parities(members[inside], (np.cumsum(large) - 1)[rows[inside]], int(large.sum()), FINE_BITS)
+                fine = K.list_column(sketch.ravel(), np.where(large, FINE_BITS // 64, 0))
+                yield K.batch({"k1": pa.array(k1), "k2": pa.array(k2), "text": batch.column(1).slice(a, b - a), "n": pa.array(n), "sketch": fine})
         K.release()
 
     ids = staged(wanted.select("id").distinct(), "ids")
     rows = docs.select("id", "text").join(small_side(ids), "id", "left_semi")
-    named = rows.mapInArrow(name, "k1 long, k2 long, text string").dropDuplicates(["k1", "k2"])
-    return named.join(wanted.select("node", "k1", "k2"), ["k1", "k2"]).select("node", "text")
+    named = rows.mapInArrow(name, "k1 long, k2 long, text string, n long, sketch array<long>").dropDuplicates(["k1", "k2"])
+    return named.join(wanted.select("node", "k1", "k2"), ["k1", "k2"]).select("node", "text", "n", "sketch")
+
+
+def screened(pairs: DataFrame, texts: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Of ``pairs`` (a, b) those that finer sketches, where both sets have one, allow; texts of large sets are long, so they should travel for few pairs."""
+    end = lambda x: texts.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch"))
+    without = (F.size("a_sketch") == 0) | (F.size("b_sketch") == 0)
+    return pairs.join(end("a"), "a").join(end("b"), "b").filter(without | sketches_allow(threshold, "a_", "b_")).select("a", "b")
 
 
 def shingle_sets(size: int) -> Sets:
@@ -177,7 +189,7 @@ def ngram_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int]
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = staged(active.select("node", "id", "k1", "k2").join(ends, "node"), "wanted")
         texts = staged(class_texts(docs, wanted, size), "texts")
-        return similar_pairs(pairs, texts, shingle_sets(size), threshold)
+        return similar_pairs(staged(screened(pairs, texts, threshold), "screened"), texts, shingle_sets(size), threshold)
 
     labels = resolve(buckets, threshold, verify, active, may_link)
     discard(buckets, active)

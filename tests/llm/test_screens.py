@@ -36,3 +36,20 @@ def test_buckets_make_no_rows_of_ruled_out_pairs(spark, monkeypatch):
     assert links == [(0, 40), (1, 41)] and got == components(range(len(texts)), links)
     few = made["few"][0]
     assert few.count() and "sketch" in few.columns and few.filter(F.size("sketch") != ngram_join.SKETCH_BITS // 64).isEmpty()
+
+
+def test_long_texts_travel_only_for_pairs_that_finer_sketches_allow(spark, monkeypatch):
+    rng = random.Random(6)
+    long = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(9000)) for _ in range(2)]
+    shared = " ".join(f"s{i}" for i in range(2500))
+    texts = [f"{shared} {long[0]}", f"{shared} {long[1]}", f"{shared} {long[0]} end"]
+    passed = []
+    plain = ngram_join.similar_pairs
+
+    def similar_pairs(pairs, *rest):
+        passed.append(pairs.count())
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "similar_pairs", similar_pairs)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(frame(spark, texts), 5, (4, 5)).collect()}
+    assert got == {0: 0, 1: 1, 2: 0} and sum(passed) == 1
