@@ -106,13 +106,13 @@ def _first_lines(texts: list[str]) -> tuple[Lines, np.ndarray, np.ndarray, np.nd
 def line_places(docs: DataFrame) -> DataFrame:
     """id, line, k1, k2 and copies of the first occurrence of each worded line of a row; copies counts its occurrences there."""
 
+    @K.releasing
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in _text_steps(batch.column(1)):
                 lines, at, k1, k2, copies = _first_lines(texts)
                 ids = batch.column(0).slice(a, b - a).take(pa.array(lines.row[at]))
                 yield K.batch({"id": ids, "line": pa.array(lines.number[at].astype(np.int32)), "k1": pa.array(k1), "k2": pa.array(k2), "copies": pa.array(copies.astype(np.int32))})
-        K.release()
 
     return docs.mapInArrow(name, f"id {docs.schema['id'].dataType.simpleString()}, line int, k1 long, k2 long, copies int")
 
@@ -121,6 +121,7 @@ def line_signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> Dat
     """id, line, k1, k2, set size n, words of the set's sketch and a key per band of the first occurrence of each worded line of a row."""
     names = [f"b{i}" for i in range(bands)]
 
+    @K.releasing
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in _text_steps(batch.column(1)):
@@ -135,7 +136,6 @@ def line_signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> Dat
                 made = {"id": ids, "line": pa.array(lines.number[at].astype(np.int32)), "k1": pa.array(k1), "k2": pa.array(k2), "n": pa.array(np.bincount(owner, minlength=len(n)))}
                 made |= {c: pa.array(np.ascontiguousarray(sketch[:, i])) for i, c in enumerate(SKETCH)}
                 yield K.batch(made | {c: pa.array(np.ascontiguousarray(keys[:, i]).view(np.int64)) for i, c in enumerate(names)})
-        K.release()
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.mapInArrow(sign, f"id {kind}, line int, k1 long, k2 long, n long, " + ", ".join(f"{c} long" for c in (*SKETCH, *names)))
@@ -146,6 +146,7 @@ def line_texts(docs: DataFrame, wanted: DataFrame, unique: bool) -> DataFrame:
     lists = staged(wanted.groupBy("id").agg(*[F.collect_list(c).alias(c) for c in ("node", "line", "k1")]), "lists")
     picked = docs.join(small_side(lists), "id").select("text", "node", "line", "k1")
 
+    @K.releasing
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in _text_steps(batch.column(0)):
@@ -159,7 +160,6 @@ def line_texts(docs: DataFrame, wanted: DataFrame, unique: bool) -> DataFrame:
                             want.append(k)
                 same = digests(found)[0] == np.array(want, np.int64)  # not so in a row that only shares the id
                 yield K.batch({"node": pa.array(nodes, pa.int64()), "text": pa.array(found, pa.string())}).filter(pa.array(same))
-        K.release()
 
     found = picked.mapInArrow(cut, "node long, text string")
     return found if unique else found.dropDuplicates(["node"])

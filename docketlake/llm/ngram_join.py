@@ -38,7 +38,8 @@ from docketlake.llm.storage import discard, numbered, small_side, staged
 
 #: Bound of the list of frequent n-grams (8 bytes each), and the count in one step of a task from which one is reported.
 FREQUENT, REPORTED = 1 << 16, 4
-STEP_BYTES = 8 << 20
+#: Bytes of text in one step of a worker: while it counts n-grams, which needs long steps, and otherwise.
+COUNT_BYTES, STEP_BYTES = 8 << 20, 1 << 20
 #: Bits of a set's sketch, and of the finer one that sets of more members than that have beside it: a sketch tells sets apart up to about twice its bits.
 SKETCH_BITS, FINE_BITS = 2048, 16384
 
@@ -49,22 +50,22 @@ def text_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndar
     return K.distinct(*K.windows(words.hashes, words.first, size, short_whole=True))
 
 
-def _steps(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _steps(column: pa.Array, size: int, limit: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, offsets = K.buffers(column)
-    for a, b in K.row_slices(offsets, STEP_BYTES):
+    for a, b in K.row_slices(offsets, limit):
         yield a, b, *text_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
 
 
 def frequent_grams(docs: DataFrame, size: int) -> np.ndarray:
     """The most frequent n-grams of all documents, at most FREQUENT, sorted."""
 
+    @K.releasing
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, members, _ in _steps(batch.column(0), size):
+            for _, _, members, _ in _steps(batch.column(0), size, COUNT_BYTES):
                 values, n = np.unique(members, return_counts=True)
                 often = n >= REPORTED
                 yield K.batch({"gram": pa.array(values[often].view(np.int64)), "n": pa.array(n[often])})
-        K.release()
 
     counted = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "gram").limit(FREQUENT)
@@ -88,6 +89,7 @@ def profile(docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame
     p, q = threshold
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_grams(docs, size))
 
+    @K.releasing
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequent.value
         for batch in batches:
@@ -115,7 +117,6 @@ def profile(docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame
                     "id": batch.column(0).slice(a, b - a), "n": pa.array(n), "k1": pa.array(k1), "k2": pa.array(k2), "prefix": K.list_column(ordered[at], length),
                     "sketch": K.list_column(sketch.ravel(), np.full(b - a, sketch.shape[1])),
                 })
-        K.release()
 
     return docs.select("id", "text").mapInArrow(measure, f"id {docs.schema['id'].dataType.simpleString()}, n long, k1 long, k2 long, prefix array<long>, sketch array<long>")
 
@@ -123,6 +124,7 @@ def profile(docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame
 def class_texts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(node, text, n, sketch) of the classes ``wanted`` (node, id, k1, k2): of the rows with that id the one whose set has that name; only large sets have the finer sketch."""
 
+    @K.releasing
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, members, rows in _steps(batch.column(1), size):
@@ -133,7 +135,6 @@ def class_texts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 sketch = parities(members[inside], (np.cumsum(large) - 1)[rows[inside]], int(large.sum()), FINE_BITS)
                 fine = K.list_column(sketch.ravel(), np.where(large, FINE_BITS // 64, 0))
                 yield K.batch({"k1": pa.array(k1), "k2": pa.array(k2), "text": batch.column(1).slice(a, b - a), "n": pa.array(n), "sketch": fine})
-        K.release()
 
     ids = staged(wanted.select("id").distinct(), "ids")
     rows = docs.select("id", "text").join(small_side(ids), "id", "left_semi")

@@ -30,23 +30,24 @@ from docketlake.llm import kernels as K
 META = "▁"
 #: Bytes that a worker may use to remember words and their ids, and what a word takes beside these.
 REMEMBERED_BYTES, WORD_BYTES = 48 << 20, 130
-STEP_BYTES = 2 << 20
+#: Bytes of text in one step of a worker, whose arrays and lists take some 45 times as much.
+STEP_BYTES = 1 << 18
 #: A longer text is cut at the starts of words into parts of about so many characters.
-PART_CHARS = 4 << 20
+PART_CHARS = 1 << 18
 
 
 def text_parts(text: str) -> list[str]:
     """Parts whose ids, one after the other, are those of the text: each cut drops the space that a part is given anyway."""
-    parts = []
-    while len(text) > PART_CHARS:
-        at = PART_CHARS
-        while 0 < at < len(text) - 1 and not (text[at] in (" ", META) and text[at - 1] not in (" ", META)):
+    parts, start = [], 0
+    while len(text) - start > PART_CHARS:
+        at = start + PART_CHARS
+        while at < len(text) - 1 and not (text[at] in (" ", META) and text[at - 1] not in (" ", META)):
             at += 1
         if at >= len(text) - 1:
             break
-        parts.append(text[:at])
-        text = text[at + 1 :]
-    return [*parts, text]
+        parts.append(text[start:at])
+        start = at + 1
+    return [*parts, text[start:]]
 
 
 class Codec:
@@ -191,6 +192,7 @@ def _decimals(vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
 def encode_documents(docs: DataFrame, model_path: str, text: str = "text", key: str = "doc_id", with_output: bool = False) -> DataFrame:
     """``key``, n_tokens, ids_sha256, decoded_sha256 of every row; with ``with_output`` also ids and decoded."""
 
+    @K.releasing
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = codec(model_path)
         encoder = Encoder(sp)
@@ -221,7 +223,6 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", key:
                 if with_output:
                     made |= {"ids": pa.array(ids_out, pa.list_(pa.int32())), "decoded": pa.array(outs, pa.string())}
                 yield K.batch(made)
-        K.release()
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()

@@ -58,6 +58,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, sets: Sets, threshold: tup
     """Of ``pairs`` (a, b), those whose ``texts`` (node, text; written) have sets with a Jaccard index of at least p / q."""
     p, q = threshold
 
+    @K.releasing
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = batch.column(2), batch.column(3)
@@ -66,7 +67,6 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, sets: Sets, threshold: tup
                 common, na, nb = common_counts(sets(left.slice(a, b - a)), sets(right.slice(a, b - a)), b - a)
                 passed = (common > 0) & ((p + q) * common >= p * (na + nb))
                 yield batch.select([0, 1]).slice(a, b - a).filter(pa.array(passed))
-        K.release()
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
