@@ -38,7 +38,7 @@ from docketlake.llm.storage import discard, numbered, small_side, staged
 
 #: Bound of the list of frequent n-grams (8 bytes each), and the count in one step of a task from which one is reported.
 FREQUENT, REPORTED = 1 << 16, 4
-#: Bytes of text in one step of a worker: while it counts n-grams, which needs long steps, and otherwise.
+#: Bytes of text that a worker counts n-grams over, and in one step of all it does: a step's arrays take many times as much.
 COUNT_BYTES, STEP_BYTES = 8 << 20, 1 << 20
 #: Bits of a set's sketch, and of the finer one that sets of more members than that have beside it: a sketch tells sets apart up to about twice its bits.
 SKETCH_BITS, FINE_BITS = 2048, 16384
@@ -50,9 +50,9 @@ def text_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndar
     return K.distinct(*K.windows(words.hashes, words.first, size, short_whole=True))
 
 
-def _steps(column: pa.Array, size: int, limit: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _steps(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, offsets = K.buffers(column)
-    for a, b in K.row_slices(offsets, limit):
+    for a, b in K.row_slices(offsets, STEP_BYTES):
         yield a, b, *text_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
 
 
@@ -62,8 +62,9 @@ def frequent_grams(docs: DataFrame, size: int) -> np.ndarray:
     @K.releasing
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, members, _ in _steps(batch.column(0), size, COUNT_BYTES):
-                values, n = np.unique(members, return_counts=True)
+            for a, b in K.row_slices(K.buffers(batch.column(0))[1], COUNT_BYTES):
+                members = [members for _, _, members, _ in _steps(batch.column(0).slice(a, b - a), size)]
+                values, n = np.unique(np.concatenate(members), return_counts=True)
                 often = n >= REPORTED
                 yield K.batch({"gram": pa.array(values[often].view(np.int64)), "n": pa.array(n[often])})
 

@@ -1,4 +1,4 @@
-"""What a worker of the pipeline's last stage holds while it runs, and after."""
+"""What workers of the pipeline hold while they run, and after."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from test_exact import frame
 
-from docketlake.llm import kernels, piece_codec, queries
+from docketlake.llm import kernels, ngram_join, piece_codec, queries
 
 
 @pytest.fixture()
@@ -60,3 +60,32 @@ def test_parts_of_long_texts(monkeypatch):
     for _ in range(300):
         text = "".join(rng.choices(["a", "word", " ", "  ", "▁", "é", "\n", "x" * 30], k=rng.randrange(60)))
         assert codec.encode(text) == codec.library.encode(text, add_eos=True)
+
+
+def test_counting_ngrams_is_small_and_counts_over_long_steps(spark, monkeypatch):
+    """Texts of 4 MB: an n-gram that is in four of them, far apart, is reported."""
+    made = []
+
+    class Caught(Exception):
+        pass
+
+    def catch(self, function, schema):
+        made.append(function)
+        raise Caught
+
+    docs = frame(spark, [""])
+    monkeypatch.setattr(type(docs), "mapInArrow", catch)
+    with pytest.raises(Caught):
+        ngram_join.frequent_grams(docs, 5)
+    rng = random.Random(33)
+    texts = [" ".join(f"w{rng.randrange(10**5)}" for _ in range(600)) for _ in range(1000)]
+    for i in (0, 300, 600, 999):
+        texts[i] += " five words that are shared"
+    batches = iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])
+    tracemalloc.start()
+    try:
+        found = [(b["gram"].to_pylist(), b["n"].to_pylist()) for b in made[0](batches)]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [n for _, n in found] == [[4]] and peak < 36 << 20
