@@ -14,18 +14,23 @@ RAW_IMMUTABLE = ("created_utc",)
 RAW_KEPT = ("op_comments",)
 
 
-def latest_per_key(staged: DataFrame, keys: Sequence[str], order: str, first: Sequence[str] = (), ties: Sequence[str] = ()) -> DataFrame:
+def latest_per_key(staged: DataFrame, keys: Sequence[str], order: str, first: Sequence[str] = (), ties: Sequence[str] = (), filled: bool = False) -> DataFrame:
     """One staged row per key: the last by ``order``, but with the earliest values of the columns ``first``.
 
     Of rows equal in ``order`` the smallest by ``ties`` counts, and then by all
-    columns that have an order, so that no result depends on partitioning.
+    columns that have an order, so that no result depends on partitioning. With
+    ``filled`` each column has its last (or earliest) value that isn't null, of
+    the rows that have an ``order``; without, the value of the last (or first) row.
     """
     unordered = ("map<", "variant")
     rest = [f.name for f in staged.schema if f.name not in (*keys, order, *ties) and not any(u in f.dataType.simpleString() for u in unordered)]
     ordered = Window.partitionBy(*keys).orderBy(F.desc(order), *ties, *rest)
     whole = Window.partitionBy(*keys).orderBy(order, *ties, *rest).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     out = staged.withColumn("__rank", F.row_number().over(ordered))
-    out = out.withColumns({c: F.first(c).over(whole) for c in first})
+    every = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    value = lambda c: F.when(F.col(order).isNotNull(), F.col(c)) if filled else F.col(c)
+    changed = [c for c in staged.columns if c in first or (filled and c not in (*keys, order, *ties))]
+    out = out.withColumns({c: F.first(value(c), ignorenulls=filled).over(whole if c in first else every) for c in changed})
     return out.filter("__rank = 1").drop("__rank")
 
 

@@ -437,10 +437,11 @@ def table_counts(s, d):
 
 @query("ingest_dedup", "SELECT l_orderkey AS id, max(l_linenumber) AS fetched_at, arg_max(l_partkey, l_linenumber) AS title, arg_min(epoch(l_shipdate), l_linenumber)::BIGINT AS created_utc FROM lineitem GROUP BY 1")
 def ingest_dedup(s, d):
-    """Line items as an order's post fetched again and again: the last one's text, the first one's time. Of those fetched at once, the first in the file."""
+    """Line items as an order's post fetched again and again: the last one's text, the first one's time, of those that have one. Of those fetched at once, the first in the file."""
     place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
-    fetched = table(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("fetched_at"), F.col("l_partkey").alias("title"), F.unix_timestamp("l_shipdate").alias("created_utc"), *place)
-    return store.latest_per_key(fetched, ["id"], "fetched_at", ["created_utc"], ["file", "row"]).drop("file", "row")
+    second = F.rint(F.unix_micros(F.col("l_shipdate").cast("timestamp")) / 1e6).cast("long")
+    fetched = table(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("fetched_at"), F.col("l_partkey").alias("title"), second.alias("created_utc"), *place)
+    return store.latest_per_key(fetched, ["id"], "fetched_at", ["created_utc"], ["file", "row"], filled=True).drop("file", "row")
 
 
 # ---- text -------------------------------------------------------------------

@@ -195,3 +195,21 @@ def test_ingest_dedup_takes_the_first_in_the_file(spark, tmp_path):
         next((tmp_path / name).glob("*.parquet")).rename(folder / f"{name}.parquet")
     got = QUERIES["ingest_dedup"](spark, str(tmp_path)).filter("id < 10").select("title", "created_utc").distinct().collect()
     assert [tuple(r) for r in got] == [(1, 1)]
+
+
+def test_ingest_dedup_skips_nulls_as_its_sql_does(spark, tmp_path):
+    """Nulls count neither as text or time nor as an order; parts of a second are rounded, halves to even."""
+    import duckdb
+
+    from docketlake.plans.queries import ORACLES, QUERIES
+
+    columns = "l_orderkey long, l_linenumber int, l_partkey long, s double"
+    rows = [(1, 2, None, 5.0), (1, 1, 7, None), (1, None, 9, 1.0), (2, None, 8, 3.0), (3, 1, 4, -1.75), (4, 1, 4, 2.5), (5, 3, 6, 3.5), (5, 2, 3, None), (None, 1, 2, 9.25)]
+    df = spark.createDataFrame(rows, columns).withColumn("l_shipdate", F.timestamp_micros((F.col("s") * 1_000_000).cast("long")).cast("timestamp_ntz"))
+    df.drop("s").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = QUERIES["ingest_dedup"](spark, str(tmp_path)).select("id", "fetched_at", "title", "created_utc").collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.execute(f"SELECT id, fetched_at, title, created_utc FROM ({ORACLES['ingest_dedup']})").fetchall()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert (1, 2, 7, 5) in want and (2, None, None, None) in want and (3, 1, 4, -2) in want
