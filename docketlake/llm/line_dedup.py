@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from docketlake.llm import kernels as K
 from docketlake.llm.frames import anonymous
 from docketlake.llm.minhash import band_keys, tune
-from docketlake.llm.resolve import resolve
+from docketlake.llm.resolve import TINY, resolve
 from docketlake.llm.sets import Sets, parities, similar_pairs
 from docketlake.llm.storage import discard, numbered, small_side, staged
 
@@ -37,6 +37,9 @@ RECALL, MAX_BANDS = 0.99, 12
 SKETCH_BITS = 256
 SKETCH = tuple(f"s{i}" for i in range(SKETCH_BITS // 64))
 STEP_BYTES = 1 << 18
+#: Band keys that a task sorts at once; bits of a chunk of the filter of places.
+KEYS, CHUNK_BITS = 1 << 19, 1 << 21
+
 
 def digests(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Two halves of a cryptographic digest of each line."""
@@ -141,30 +144,135 @@ def line_signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> Dat
     return docs.mapInArrow(sign, f"id {kind}, line int, k1 long, k2 long, n long, " + ", ".join(f"{c} long" for c in (*SKETCH, *names)))
 
 
+def place_hashes(ids: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """A hash of each place in a document, from a hash of its id and the number of its line."""
+    with np.errstate(over="ignore"):
+        return K.mix(ids.view(K.U64) ^ K.mix(lines.astype(K.U64) + K.U64(1)))
+
+
+def _filter_bits(places: np.ndarray, chunks: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The chunk of the filter that each place belongs to, and its bits there."""
+    with np.errstate(over="ignore"):
+        bits = K.mix(places + K.U64(0x9E3779B97F4A7C15))
+    return ((places >> K.U64(32)) * K.U64(chunks)) >> K.U64(32), [(bits >> K.U64(21 * i)) & K.U64(CHUNK_BITS - 1) for i in range(3)]
+
+
+def place_filter(places: DataFrame, rows: int) -> bytes:
+    """A Bloom filter of ``places`` (id, line), in chunks that are built apart: two bytes a place."""
+    chunks = max(1, -(-rows * 16 // CHUNK_BITS))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = place_hashes(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            yield K.batch({"chunk": pa.array(_filter_bits(place, chunks)[0].astype(np.int32)), "place": pa.array(place.view(np.int64))})
+
+    def build(_key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        made = np.zeros(CHUNK_BITS, np.uint8)
+        for bit in _filter_bits(table.column("place").to_numpy().view(K.U64), chunks)[1]:
+            made[bit] = 1
+        return pa.table({"chunk": table.column("chunk").slice(0, 1), "bits": pa.array([np.packbits(made, bitorder="little").tobytes()])})
+
+    dealt = places.select(F.xxhash64("id"), "line").mapInArrow(deal, "chunk int, place long")
+    found = {r["chunk"]: bytes(r["bits"]) for r in dealt.groupBy("chunk").applyInArrow(build, "chunk int, bits binary").collect()}
+    return b"".join(found.get(c, bytes(CHUNK_BITS // 8)) for c in range(chunks))
+
+
 def line_texts(docs: DataFrame, wanted: DataFrame, unique: bool) -> DataFrame:
-    """(node, text) of the lines ``wanted`` (node, id, line, k1); where ids are ``unique``, each is found once."""
-    lists = staged(wanted.groupBy("id").agg(*[F.collect_list(c).alias(c) for c in ("node", "line", "k1")]), "lists")
-    picked = docs.join(small_side(lists), "id").select("text", "node", "line", "k1")
+    """(node, text) of the lines ``wanted`` (node, id, line, k1; written); where ids are ``unique``, each is found once.
+
+    Documents stay where they are: a filter of the places goes to them, and only
+    the lines that it lets through are joined, which leaves the wanted ones.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(place_filter(wanted, wanted.count()))
 
     @K.releasing
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(bits.value, np.uint8)
+        chunks = len(table) * 8 // CHUNK_BITS
         for batch in batches:
-            for a, b, texts in _text_steps(batch.column(0)):
-                found, nodes, want = [], [], []
-                for text, node, numbers, keys in zip(texts, *(batch.column(i).slice(a, b - a).to_pylist() for i in (1, 2, 3)), strict=True):
-                    lines = text.split("\n")
-                    for m, n, k in zip(node, numbers, keys, strict=True):
-                        if n < len(lines):
-                            found.append(lines[n])
-                            nodes.append(m)
-                            want.append(k)
-                same = digests(found)[0] == np.array(want, np.int64)  # not so in a row that only shares the id
-                yield K.batch({"node": pa.array(nodes, pa.int64()), "text": pa.array(found, pa.string())}).filter(pa.array(same))
-
-    found = picked.mapInArrow(cut, "node long, text string")
+            for a, b in K.row_slices(K.buffers(batch.column(1))[1], STEP_BYTES):
+                data, offsets = K.buffers(batch.column(1).slice(a, b - a))
+                breaks = np.flatnonzero(data == 10)
+                first = np.searchsorted(breaks, offsets)
+                counts = np.diff(first) + 1
+                row = np.repeat(np.arange(b - a), counts)
+                number = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+                chunk, probes = _filter_bits(place_hashes(batch.column(2).slice(a, b - a).to_numpy()[row], number), chunks)
+                passed = np.ones(len(row), dtype=bool)
+                for bit in probes:
+                    at = chunk * K.U64(CHUNK_BITS) + bit
+                    passed &= (table[at >> K.U64(3)] >> (at & K.U64(7)).astype(np.uint8)) & 1 == 1
+                row, number = row[passed], number[passed]
+                at = first[row] + number
+                inner = np.append(breaks, 0)  # where a row's first line starts or its last one ends, its offsets count
+                starts = np.where(number == 0, offsets[row], inner[at - 1] + 1)
+                ends = np.where(number == counts[row] - 1, offsets[row + 1], inner[np.minimum(at, len(breaks))])
+                raw = data.tobytes()
+                found = [raw[s:e].decode("utf-8") for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+                ids = batch.column(0).slice(a, b - a).take(pa.array(row))
+                yield K.batch({"id": ids, "line": pa.array(number.astype(np.int32)), "k1": pa.array(digests(found)[0]), "text": pa.array(found, pa.string())})
+
+    kind = docs.schema["id"].dataType.simpleString()
+    found = docs.select("id", "text", F.xxhash64("id")).mapInArrow(cut, f"id {kind}, line int, k1 long, text string")
+    found = found.join(wanted, ["id", "line", "k1"]).select("node", "text")  # k1 differs in a row that only shares the id
     return found if unique else found.dropDuplicates(["node"])
 
 
+def band_buckets(distinct: DataFrame, names: list[str], keys: int = KEYS) -> DataFrame:
+    """(key, node) for each key in the columns ``names`` of ``distinct`` (node) that several nodes have.
+
+    A task sorts ``keys`` keys at once and packs them by ranges; those that it
+    finds twice go through at once, and one mark tells the range of them. So a
+    range sees a frequent key once from each such run, and keys never are rows
+    of their own before it is known that they are shared.
+    """
+    parts = max(1, -(-distinct.count() * len(names) // keys))
+
+    def runs(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Both by key, where each key's run starts, and how long it is."""
+        order = np.argsort(key)
+        key, node = key[order], node[order]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        return key, node, starts, np.diff(np.append(starts, len(key)))
+
+    def packed(part: np.ndarray, sure: bool, key: list[np.ndarray], node: list[np.ndarray]) -> pa.RecordBatch:
+        blobs = {c: pa.array([x.tobytes() for x in of], pa.binary()) for c, of in (("keys", key), ("nodes", node))}
+        return K.batch({"part": pa.array(part.astype(np.int32)), "sure": pa.array([sure] * len(part), pa.bool_()), **blobs})
+
+    @K.releasing
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sorted_out() -> Iterator[pa.RecordBatch]:
+            key, node, starts, lengths = runs(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            twice = np.repeat(lengths > 1, lengths)
+            if twice.any():
+                yield packed(np.array([int(key[0]) % parts]), True, [key[twice]], [node[twice]])
+            key, node = key[starts], np.where(lengths > 1, -1, node[starts])
+            part = ((key >> K.U64(32)) * K.U64(parts)) >> K.U64(32)
+            at = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            yield packed(part[at], False, np.split(key, at[1:]), np.split(node, at[1:]))
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            node = batch.column(0).to_numpy()
+            held += [(batch.column(i + 1).to_numpy().view(K.U64), node) for i in range(len(names))] if len(node) else []
+            if sum(len(node) for _, node in held) >= keys:
+                yield from sorted_out()
+                held.clear()
+        if held:
+            yield from sorted_out()
+
+    def gather(_key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        sure = table.column("sure").to_numpy()
+        of = lambda c, kind, which: np.concatenate([np.zeros(0, kind), *[np.frombuffer(x, kind) for x in table.column(c).filter(pa.array(which)).to_pylist()]])
+        key, node, _, lengths = runs(of("keys", K.U64, ~sure), of("nodes", np.int64, ~sure))
+        again = np.repeat(lengths > 1, lengths) & (node >= 0)
+        both = np.concatenate([key[again], of("keys", K.U64, sure)]), np.concatenate([node[again], of("nodes", np.int64, sure)])
+        return pa.table({"key": both[0].view(np.int64), "node": both[1]})
+
+    dealt = distinct.select("node", *names).mapInArrow(deal, "part int, sure boolean, keys binary, nodes binary")
+    return dealt.groupBy("part").applyInArrow(gather, "key long, node long")
+
+
 def line_sets(shingle: int) -> Sets:
     def build(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         lines = Lines(column.to_pylist())
@@ -189,20 +297,28 @@ def line_components(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[in
     signatures = line_signatures(docs, shingle, bands, rows)
     distinct = numbered(signatures.groupBy("k1", "k2").agg(*first, *[F.max(c).alias(c) for c in columns], F.count(F.lit(1)).alias("rows")), "distinct")
 
-    keyed = distinct.select("node", F.explode(F.array(*names)).alias("key"))
-    shared = staged(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "shared")
-    buckets = staged(keyed.join(shared, "key"), "buckets")
+    buckets = staged(band_buckets(distinct, names), "buckets")
     active = distinct.select("node", "id", "line", "k1", "n", F.array(*SKETCH).alias("sketch")).join(buckets.select("node").distinct(), "node")
     active = staged(active, "active")
 
+    held: list[DataFrame] = []
+
     def texts(nodes: DataFrame) -> DataFrame:
-        return staged(line_texts(docs, active.select("node", "id", "line", "k1").join(nodes, "node"), unique), "texts")
+        """Texts of ``nodes``. All that is asked for after the first time are nodes of larger buckets, so one pass over the documents finds both."""
+        if held:
+            held.append(staged(held[0].join(small_side(staged(nodes, "nodes")), "node"), "some"))
+            return held[-1]
+        large = buckets.join(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > TINY), "key")
+        asked = nodes.unionByName(large.select("node")).distinct()
+        wanted = staged(active.select("node", "id", "line", "k1").join(asked, "node"), "wanted")
+        held.append(staged(line_texts(docs, wanted, unique), "texts", lasting=True))
+        return held[0]
 
     def verify(pairs: DataFrame) -> DataFrame:
         return similar_pairs(pairs, texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), line_sets(shingle), threshold)
 
     labels = resolve(buckets, threshold, verify, active, sets=line_sets(shingle), texts=texts)
-    discard(shared, buckets, active)
+    discard(buckets, active, *held)
     place = F.struct("id", "line", "k1", "k2")
     in_component = staged(distinct.select("node", "k1", "k2", "id", "line").join(small_side(labels), "node").drop("node"), "in_component")
     stays = in_component.groupBy("component").agg(F.min(place).alias("stays"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 _written: list[tuple[object, str]] = []
 _of_stage: set[str] = set()
+_lasting: set[str] = set()
 _in_stage = False
 
 
@@ -58,14 +59,16 @@ def bound_batches(spark: SparkSession) -> None:
 ROWS_PER_TASK = 50_000
 
 
-def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def staged(df: DataFrame, name: str, rows: int | None = None, lasting: bool = False) -> DataFrame:
     """Write ``df`` as Parquet and read it back: later steps neither recompute it nor depend on executors' disks.
 
     Where the number of ``rows`` is known to be small, few tasks write them;
     many rows keep all the partitions they have. ``discard`` deletes the table
-    before the driver ends.
+    before the driver ends; ``discard_since`` leaves one that is ``lasting``.
     """
     path = new_path(df.sparkSession, name)
+    if lasting:
+        _lasting.add(path)
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
     # Hashes and sketches, most of what is written, have no dictionary worth building.
@@ -87,12 +90,13 @@ def discard(*tables: DataFrame | None) -> None:
     for table in tables:
         if (path := getattr(table, "_docketlake_path", None)) is not None:
             delete(table.sparkSession, path)
+            _lasting.discard(path)
             _written[:] = [entry for entry in _written if entry[1] != path]
 
 
 def discard_since(mark: int, *keep: DataFrame) -> None:
-    """Delete the tables written after ``mark`` (an earlier ``len`` of them) but for those to keep."""
-    kept = {getattr(table, "_docketlake_path", None) for table in keep}
+    """Delete the tables written after ``mark`` (an earlier ``len`` of them) but for those to keep and lasting ones."""
+    kept = {getattr(table, "_docketlake_path", None) for table in keep} | _lasting
     for spark, path in [entry for entry in _written[mark:] if entry[1] not in kept]:
         delete(spark, path)
         _written.remove((spark, path))
